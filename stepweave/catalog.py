@@ -1,15 +1,349 @@
-"""Every query of the library by name, and the SQL that checks it."""
+"""Every query of the library by name, over stand-ins in the driver's tables, and the SQL that checks it.
+
+The stand-in for the lineage graph: regions are metrics, nations are calculation steps, suppliers are tables and their
+parts columns. A region declares its nations; a nation depends on the nation numbered ``(7 k + 3) mod 25`` (which makes
+cycles) and reads its suppliers.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stepweave.functions import text as tx
+from stepweave.operators import changes, contracts, products, search
+from stepweave.plans import graph
+from stepweave.streaming import events as ev
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def demo_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    region, nation, supplier = (_t(spark, d, x) for x in ("region", "nation", "supplier"))
+    rid, nid, sid = (lambda c: F.concat(F.lit("canonical:"), c.cast("string"))), (lambda c: F.concat(F.lit("transform:"), c.cast("string"))), (lambda c: F.concat(F.lit("tech:"), c.cast("string")))
+    node = lambda i, layer, name: (i.alias("node_id"), F.lit(layer).alias("layer"), name.alias("name"))
+    edge = lambda a, b, kind: (a.alias("source_id"), b.alias("target_id"), F.lit(kind).alias("edge_type"))
+    n, s = F.col("n_nationkey"), F.col("s_suppkey")
+    nodes = region.select(*node(rid(F.col("r_regionkey")), "canonical", F.col("r_name"))).unionByName(nation.select(*node(nid(n), "transformation", F.col("n_name")))).unionByName(supplier.select(*node(sid(s), "technical", F.col("s_name"))))
+    columns = _t(spark, d, "lineitem").where("l_partkey <= 50").select("l_suppkey", "l_partkey").distinct()
+    edges = nation.select(*edge(rid(F.col("n_regionkey")), nid(n), graph.C2T)).unionByName(nation.select(*edge(nid(n), nid((n * 7 + 3) % 25), graph.T2T)))
+    edges = edges.unionByName(supplier.select(*edge(nid(F.col("s_nationkey")), sid(s), graph.T2TECH)))
+    edges = edges.unionByName(columns.select(*edge(sid(F.col("l_suppkey")), F.concat(F.lit("col:"), F.col("l_partkey").cast("string")), graph.TAB2COL)))
+    return nodes, edges
+
+
+GRAPH_SQL = f"""
+nodes AS (
+  SELECT 'canonical:' || r_regionkey AS node_id, 'canonical' AS layer, r_name AS name FROM region
+  UNION ALL SELECT 'transform:' || n_nationkey, 'transformation', n_name FROM nation
+  UNION ALL SELECT 'tech:' || s_suppkey, 'technical', s_name FROM supplier),
+edges AS (
+  SELECT 'canonical:' || n_regionkey AS source_id, 'transform:' || n_nationkey AS target_id, '{graph.C2T}' AS edge_type FROM nation
+  UNION ALL SELECT 'transform:' || n_nationkey, 'transform:' || ((n_nationkey * 7 + 3) % 25), '{graph.T2T}' FROM nation
+  UNION ALL SELECT 'transform:' || s_nationkey, 'tech:' || s_suppkey, '{graph.T2TECH}' FROM supplier
+  UNION ALL SELECT DISTINCT 'tech:' || l_suppkey, 'col:' || l_partkey, '{graph.TAB2COL}' FROM lineitem WHERE l_partkey <= 50),
+walk(root, node_id) AS (
+  SELECT node_id, node_id FROM nodes WHERE layer = 'canonical'
+  UNION SELECT w.root, e.target_id FROM walk w JOIN edges e ON e.source_id = w.node_id WHERE e.edge_type <> '{graph.TAB2COL}'),
+uses AS (SELECT w.root AS metric_id, w.node_id AS table_id FROM walk w JOIN nodes n USING (node_id) WHERE n.layer = 'technical')
+"""
+WITH_GRAPH = "WITH RECURSIVE " + GRAPH_SQL
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None):
+    def keep(f):
+        name = f.__name__.removeprefix("q_")
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+# Graph
+
+
+@_query(WITH_GRAPH + "SELECT metric_id, table_id FROM uses")
+def q_tables_of_metric(spark, d):
+    return graph.uses_table(*demo_graph(spark, d))
+
+
+@_query(WITH_GRAPH + "SELECT metric_id FROM uses WHERE table_id = 'tech:7'")
+def q_metrics_of_table(spark, d):
+    return graph.uses_table(*demo_graph(spark, d)).where("table_id = 'tech:7'").select("metric_id")
+
+
+@_query(WITH_GRAPH + "SELECT metric_id, count(*) AS tables FROM uses GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+def q_most_read_metrics(spark, d):
+    return graph.most_read(graph.uses_table(*demo_graph(spark, d)), 3)
+
+
+@_query(WITH_GRAPH + "SELECT a.metric_id AS a, b.metric_id AS b, count(*) AS shared FROM uses a JOIN uses b USING (table_id) WHERE a.metric_id < b.metric_id GROUP BY 1, 2")
+def q_shared_source_metrics(spark, d):
+    return graph.shared_sources(graph.uses_table(*demo_graph(spark, d)))
+
+
+STEPS_SQL = f"""WITH RECURSIVE {GRAPH_SQL},
+hops(root, node_id, hop) AS (
+  SELECT node_id, node_id, 0 FROM nodes WHERE layer = 'canonical'
+  UNION SELECT h.root, e.target_id, h.hop + 1 FROM hops h JOIN edges e ON e.source_id = h.node_id WHERE e.edge_type IN ('{graph.C2T}', '{graph.T2T}') AND h.hop < 30),
+steps AS (SELECT root AS metric_id, node_id AS step_id, min(hop) AS hop FROM hops WHERE node_id LIKE 'transform:%' GROUP BY 1, 2)
+"""
+
+
+@_query(STEPS_SQL + "SELECT metric_id, step_id, row_number() OVER (PARTITION BY metric_id ORDER BY hop, step_id)::INTEGER AS step_no FROM steps")
+def q_steps_of_metric(spark, d):
+    return graph.calculated_by(*demo_graph(spark, d))
+
+
+@_query(STEPS_SQL + f"SELECT s.metric_id, count(DISTINCT s.step_id) AS steps, count(e.target_id) AS table_edges FROM steps s LEFT JOIN edges e ON e.source_id = s.step_id AND e.edge_type = '{graph.T2TECH}' GROUP BY 1")
+def q_validator_walk(spark, d):
+    return graph.validator_walk(*demo_graph(spark, d))
+
+
+@_query(WITH_GRAPH + "SELECT DISTINCT e.target_id AS column_id FROM edges e WHERE e.source_id = 'tech:7' AND e.edge_type = 'table_to_column'")
+def q_columns_of_table(spark, d):
+    edges = demo_graph(spark, d)[1]
+    return edges.where((F.col("source_id") == "tech:7") & (F.col("edge_type") == graph.TAB2COL)).select(F.col("target_id").alias("column_id")).distinct()
+
+
+@_query(WITH_GRAPH + "SELECT 'node' AS kind, layer AS value, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge', edge_type, count(*) FROM edges GROUP BY 2")
+def q_node_counts(spark, d):
+    return graph.degree_by_layer(*demo_graph(spark, d))
+
+
+@_query(WITH_GRAPH + "SELECT DISTINCT source_id, target_id, edge_type FROM edges WHERE source_id NOT IN (SELECT node_id FROM nodes) OR target_id NOT IN (SELECT node_id FROM nodes)")
+def q_dangling_edges(spark, d):
+    return graph.dangling_edges(*demo_graph(spark, d))
+
+
+@_query("""WITH RECURSIVE links AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM nation UNION SELECT (n_nationkey * 7 + 3) % 25, n_nationkey FROM nation),
+paths(path, hop) AS (SELECT [1::BIGINT], 0 UNION ALL SELECT list_append(p.path, l.b::BIGINT), p.hop + 1 FROM paths p JOIN links l ON l.a = p.path[len(p.path)] WHERE l.a <> l.b AND NOT list_contains(p.path, l.b) AND p.hop < 6)
+SELECT array_to_string(path, '>') AS path FROM paths WHERE hop > 0 AND path[len(path)] IN (2, 10, 17)""")
+def q_path_enumeration(spark, d):
+    n = _t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("source_id"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("string").alias("target_id"))
+    ends = n.where(F.col("source_id").isin("2", "10", "17")).select(F.col("source_id").alias("node_id"))
+    return graph.simple_paths(n, n.where("source_id = '1'").select(F.col("source_id").alias("node_id")), ends, 6).select(F.array_join("path", ">").alias("path"))
+
+
+# Contracts
+
+
+@_query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def q_unique_violations(spark, d):
+    return contracts.unique_violations(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@_query("SELECT upper(c_mktsegment) AS c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY 1, 2 HAVING count(*) > 1")
+def q_unique_violations_folded(spark, d):
+    return contracts.unique_violations(_t(spark, d, "customer"), ["c_mktsegment", "c_nationkey"], fold_case=True)
+
+
+@_query("SELECT o_orderstatus AS value, count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('F', 'O') GROUP BY 1")
+def q_allowed_values(spark, d):
+    return contracts.allowed_violations(_t(spark, d, "orders"), "o_orderstatus", ["F", "O"])
+
+
+@_query("SELECT l_orderkey AS value, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
+def q_reference_violations(spark, d):
+    return contracts.reference_violations(_t(spark, d, "lineitem"), "l_orderkey", _t(spark, d, "orders").where("o_orderstatus = 'F'"), "o_orderkey")
+
+
+@_query("SELECT a.n AS left_count, b.n AS right_count, a.n = b.n AS equal FROM (SELECT count(*) AS n FROM orders) a, (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem) b")
+def q_count_equals(spark, d):
+    return contracts.count_equals(_t(spark, d, "orders"), _t(spark, d, "lineitem").select("l_orderkey").distinct())
+
+
+# Changes
+
+
+@_query("""WITH a AS (SELECT o_orderkey, o_orderstatus AS h FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS h FROM orders WHERE o_orderkey % 11 <> 0)
+SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'new' WHEN b.o_orderkey IS NULL THEN 'deleted' WHEN a.h IS NOT DISTINCT FROM b.h THEN 'unchanged' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey""")
+def q_change_data(spark, d):
+    o = _t(spark, d, "orders")
+    before = o.where("o_orderkey % 7 <> 0").select("o_orderkey", F.col("o_orderstatus").alias("h"))
+    now = o.where("o_orderkey % 11 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("h"))
+    return changes.change_data(before, now, "o_orderkey", "h")
+
+
+@_query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN -1.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def q_upsert(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", "c_acctbal")
+    return changes.upsert(c, c.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.lit(-1.0)), "c_custkey")
+
+
+@_query("""WITH n AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-15'), o AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-05'), g AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-05')
+SELECT coalesce(n.user_id, o.user_id) AS user_id, CASE WHEN n.user_id IS NULL THEN 'resolved' WHEN o.user_id IS NOT NULL THEN 'known' WHEN g.user_id IS NOT NULL THEN 'regressed' ELSE 'new' END AS status
+FROM n FULL JOIN o ON n.user_id = o.user_id LEFT JOIN g ON g.user_id = coalesce(n.user_id, o.user_id)""")
+def q_error_status(spark, d):
+    e = _t(spark, d, "events")
+    errors = e.where("event_type = 'error'")
+    return changes.error_status(errors.where("ts >= timestamp'2024-01-15'"), errors.where("ts < timestamp'2024-01-05'"), e.where("event_type = 'purchase' AND ts < timestamp'2024-01-05'"), "user_id")
+
+
+@_query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
+def q_first_wins(spark, d):
+    return changes.first_wins(_t(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@_query("SELECT event_id, user_id FROM events WHERE ts = (SELECT max(ts) FROM events)")
+def q_latest_run(spark, d):
+    return changes.latest_run(_t(spark, d, "events"), "ts").select("event_id", "user_id")
+
+
+@_query("SELECT conv_id, turn, CASE WHEN k = 1 THEN role ELSE role || '#' || k END AS occurrence FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, upper(role) ORDER BY turn) AS k FROM conversations)")
+def q_occurrence_names(spark, d):
+    return changes.occurrence_names(_t(spark, d, "conversations"), ["conv_id"], "role", ["turn"]).select("conv_id", "turn", "occurrence")
+
+
+@_query("SELECT n.c_custkey, CASE WHEN n.c_custkey % 4 <> 0 AND n.c_custkey % 9 <> 0 THEN '2024-01-01' ELSE '2024-02-01' END AS logic_last_changed_at FROM customer n")
+def q_freshness(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    old = c.where("c_custkey % 9 <> 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 4 == 0, "other").otherwise(F.col("c_mktsegment"))).withColumn("logic_last_changed_at", F.lit("2024-01-01"))
+    return changes.freshness(c, old, "c_custkey", "c_mktsegment", "2024-02-01")
+
+
+# Products
+
+
+@_query(r"""SELECT left(sha256(lower(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')))), 16) AS content_key, count(*) AS members, min(doc_id) AS first_id FROM documents WHERE length(trim(coalesce(text, ''))) > 0 GROUP BY 1""")
+def q_content_partition(spark, d):
+    return products.content_partition(_t(spark, d, "documents"), "doc_id", "text")
+
+
+@_query("""SELECT 'documents' AS stage, count(*) AS in_count, count(*) AS out_count, 0::BIGINT AS fell_off FROM documents
+UNION ALL SELECT 'labelled', (SELECT count(*) FROM documents), count(*), (SELECT count(*) FROM documents) - count(*) FROM labels
+UNION ALL SELECT 'trusted', (SELECT count(*) FROM labels), count(*), (SELECT count(*) FROM labels) - count(*) FROM labels WHERE quality = 1""")
+def q_funnel(spark, d):
+    labels = _t(spark, d, "labels")
+    return products.funnel([("documents", _t(spark, d, "documents")), ("labelled", labels), ("trusted", labels.where("quality = 1"))])
+
+
+@_query("SELECT lang, count(*) AS total, count(l.doc_id) AS covered, floor(count(l.doc_id) * 100 / count(*))::BIGINT AS percent FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY lang")
+def q_coverage(spark, d):
+    joined = _t(spark, d, "documents").select("doc_id", "lang").join(_t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return products.coverage(joined, F.col("quality").isNotNull(), "lang")
+
+
+@_query("SELECT c_custkey, coalesce(o.n, 0) AS orders, coalesce(u.n, 0) AS urgent FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1) u ON u.o_custkey = c_custkey")
+def q_metric_journey(spark, d):
+    orders = _t(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return products.journey(_t(spark, d, "customer").select("c_custkey"), [("orders", orders), ("urgent", orders.where(F.col("o_orderpriority").startswith("1")))], "c_custkey")
+
+
+@_query("SELECT event_type, count(DISTINCT user_id) AS owners, count(DISTINCT user_id) = (SELECT count(DISTINCT user_id) FROM events) AS in_all FROM events GROUP BY 1")
+def q_set_algebra(spark, d):
+    return products.set_algebra(_t(spark, d, "events"), "user_id", "event_type")
+
+
+@_query("SELECT p_partkey, p_brand, p_retailprice, group_rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey)::INTEGER AS group_rank FROM part) WHERE group_rank <= 2 ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
+def q_stratified_plurality(spark, d):
+    return products.stratified(_t(spark, d, "part"), "p_brand", "p_retailprice", "p_partkey", 2, 10).select("p_partkey", "p_brand", "p_retailprice", "group_rank")
+
+
+@_query("SELECT s_suppkey, s_name, 'A. Steward' AS steward FROM supplier WHERE contains(lower(s_name), '1')")
+def q_steward_by_pattern(spark, d):
+    return products.steward_names(_t(spark, d, "supplier"), "s_name", "1", "A. Steward").select("s_suppkey", "s_name", "steward")
+
+
+# Texts
+
+
+@_query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])inable($|[^a-z0-9])')")
+def q_token_mention(spark, d):
+    return _t(spark, d, "documents").where(tx.mentions(F.col("text"), "inable")).select("doc_id")
+
+
+@_query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'license')")
+def q_all_tokens(spark, d):
+    return _t(spark, d, "documents").where(tx.mentions_all(F.col("text"), "The License")).select("doc_id")
+
+
+_FOUND = [f"list_distinct(regexp_extract_all(coalesce(text, ''), '{p}', 0)) AS r{k}" for k, (_, p) in enumerate(tx.PRIVACY_RULES)]
+_FREE = " UNION ALL ".join(
+    f"SELECT doc_id AS id, '{rule}' AS rule, unnest(list_filter(r{k}, lambda m: NOT list_bool_or(list_concat([false], list_transform({'list_concat(' + ', '.join(f'r{j}' for j in range(k)) + ')' if k > 1 else 'r0' if k else '[]::VARCHAR[]'}, lambda c: contains(c, m)))))) AS matched_text FROM found"
+    for k, (rule, _) in enumerate(tx.PRIVACY_RULES)
+)
+
+
+@_query(f"WITH found AS (SELECT doc_id, {', '.join(_FOUND)} FROM documents) {_FREE}")
+def q_privacy_scan(spark, d):
+    return tx.privacy_findings(_t(spark, d, "documents"), "doc_id", "text")
+
+
+def _redact_sql(text: str) -> str:
+    for rule, pattern in tx.PRIVACY_RULES:
+        text = f"regexp_replace({text}, '{pattern}', '<{rule}>', 'g')"
+    return text
+
+
+@_query(f"SELECT doc_id, sha256({_redact_sql('text')}) AS redacted FROM documents WHERE text IS NOT NULL")
+def q_privacy_redact(spark, d):
+    docs = _t(spark, d, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", F.sha2(tx.redact(F.col("text")), 256).alias("redacted"))
+
+
+# Search
+
+
+@_query("""WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id = 3),
+s AS (SELECT e.vec_id, round(list_dot_product(list_transform(e.embedding, lambda x: x::DOUBLE), q.v) / sqrt(list_dot_product(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(e.embedding, lambda x: x::DOUBLE))) / sqrt(list_dot_product(q.v, q.v)), 6) AS closeness FROM embeddings e, q)
+SELECT vec_id, closeness, (SELECT count(*) FROM s WHERE closeness >= 0.1) AS total_matches FROM s WHERE closeness >= 0.1 ORDER BY closeness DESC, vec_id LIMIT 8""")
+def q_semantic_search(spark, d):
+    e = _t(spark, d, "embeddings")
+    query = e.where("vec_id = 3").first()["embedding"]
+    return search.similar(e, query, "embedding", "vec_id", 0.1, 8).select("vec_id", "closeness", "total_matches")
+
+
+# Events
+
+
+@_query("SELECT date_trunc('day', ts) AS window_start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def q_windowed_counts(spark, d):
+    return ev.windowed_counts(_t(spark, d, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_type = 'click'")
+def q_event_properties(spark, d):
+    return _t(spark, d, "events").where("event_type = 'click'").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@_query("SELECT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-20' AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE ts < TIMESTAMP '2024-01-03') GROUP BY 1, 2")
+def q_idempotent_ingest(spark, d):
+    e = _t(spark, d, "events").select("user_id", "event_type", "ts")
+    return ev.new_events(e.where("ts >= timestamp'2024-01-20'"), e.where("ts < timestamp'2024-01-03'"), ("user_id", "event_type")).select("user_id", "event_type")
+
+
+# Analytical reports over the star schema
+
+
+@_query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+def q_pricing_summary(spark, d):
+    rows = _t(spark, d, "lineitem").where("l_shipdate <= timestamp'1998-09-02'")
+    disc = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.sum(disc), 2).alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
+
+
+@_query("SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
+def q_revenue_by_region(spark, d):
+    t = lambda n: _t(spark, d, n)
+    joined = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return joined.groupBy("r_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
