@@ -3,7 +3,7 @@
 First pass: every partition sketches how often its window anchors occur; the partition sketches are merged segment by
 segment in Spark. An anchor of a window is its sub-window of half the length with the least hash, so equal windows have
 equal anchors and a window's count is never above its anchor's, nor above the merged sketch. Second pass: only windows
-whose estimate is two or more are grouped, by a 128-bit key over the whole window; none that repeats is lost.
+whose estimate is two or more are grouped, by a 96-bit key over the whole window; none that repeats is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from stepweave.llm.common import shuffle_width
 BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4D)
 SEGMENT_BITS = 20
 #: Characters that a task turns into words at one time.
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 1_500_000
 #: Cells of one sketch row, at most (64 MB as bits). Past that more windows reach the exact pass; the result is the same.
 MAX_WIDTH_BITS = 29
 
@@ -32,7 +32,7 @@ class _Words(dict):
     """128-bit values of words, as bytes; refilled when it gets large."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = xxhash.xxh3_128_digest(word)
         return value
@@ -169,7 +169,7 @@ def repeated_sketch(docs: DataFrame, window: int, depth: int = 2) -> tuple[int,
     return bits, out
 
 
-_KEYED = "k1 bigint, k2 bigint, id {id}, th bigint, start int, stop int"
+_KEYED = "k1 bigint, k2 int, id {id}, th bigint, start int, stop int"
 
 
 def _candidate_rows(window: int, bits: int, depth: int, sketch):
@@ -191,7 +191,7 @@ def _candidate_rows(window: int, bits: int, depth: int, sketch):
                 if not len(starts):
                     continue
                 k1 = _rolling(np.ascontiguousarray(values[:, 0]), window, BASES[0])[starts]
-                k2 = _rolling(np.ascontiguousarray(values[:, 1]), window, BASES[1])[starts]
+                k2 = _rolling(np.ascontiguousarray(values[:, 1]), window, BASES[1])[starts] >> np.uint64(32)
                 begin = np.cumsum(counts) - counts
                 doc = np.searchsorted(begin + counts, starts, side="right")
                 place = starts - begin[doc]
@@ -212,13 +212,13 @@ def _candidate_rows(window: int, bits: int, depth: int, sketch):
                 pick = np.concatenate([alone, run_first]).astype(np.int64)
                 stops = np.concatenate([place[alone], place[run_last]]) + window
                 own1 = np.concatenate([k1[alone].view(np.int64), th[first + doc[run_first]]])
-                own2 = np.concatenate([k2[alone].view(np.int64), place[run_first]])
+                own2 = np.concatenate([k2[alone].astype(np.uint32).view(np.int32), place[run_first].astype(np.int32)])
                 n = len(heads)
                 tag = np.concatenate([place[alone], -place[run_first] - 1, np.zeros(n, np.int64)])  # below zero: a run that is known
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([own1, k1[heads].view(np.int64)])),
-                        pa.array(np.concatenate([own2, k2[heads].view(np.int64)])),
+                        pa.array(np.concatenate([own2, k2[heads].astype(np.uint32).view(np.int32)])),
                         pa.concat_arrays([ids.take(pa.array(first + doc[pick])), pa.nulls(n, ids.type)]),
                         pa.array(np.concatenate([th[first + doc[pick]], np.zeros(n, np.int64)])),
                         pa.array(tag.astype(np.int32)),
@@ -236,7 +236,8 @@ def _repeated_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def spans(batch: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
         out = batch.filter(pa.array(keep))
         start = out.column(4).to_numpy(zero_copy_only=False)
-        return pa.RecordBatch.from_arrays([out.column(2), out.column(3), pa.array(np.where(start < 0, -start - 1, start).astype(np.int32)), out.column(5)], names=["id", "th", "start", "stop"])
+        start = np.where(start < 0, -start - 1, start).astype(np.int64)
+        return pa.RecordBatch.from_arrays([out.column(2), out.column(3), pa.array(start << 32 | out.column(5).to_numpy(zero_copy_only=False))], names=["id", "th", "span"])
 
     held, held_key, held_done = None, None, False
     for batch in rows:
@@ -285,8 +286,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = _KEYED.format(id=rows.schema["id"].dataType.simpleString())
     found = rows.select("id", "th", "text").mapInArrow(_candidate_rows(window, bits, depth, shared), schema)
     found = found.repartition(shuffle_width(spark), "k1", "k2").sortWithinPartitions("k1", "k2")
-    spans = found.mapInArrow(_repeated_rows, f"id {rows.schema['id'].dataType.simpleString()}, th bigint, start int, stop int")
-    spans = spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).select(F.col("id").alias("span_id"), F.col("th").alias("span_th"), "spans")
+    spans = found.mapInArrow(_repeated_rows, f"id {rows.schema['id'].dataType.simpleString()}, th bigint, span bigint")
+    spans = spans.groupBy("id", "th").agg(F.collect_list("span").alias("spans")).select(F.col("id").alias("span_id"), F.col("th").alias("span_th"), "spans")
     both = rows.join(spans, F.col("id").eqNullSafe(F.col("span_id")) & (F.col("th") == F.col("span_th")), "left")
 
     @F.pandas_udf("kept string, n_words long, n_removed long")
@@ -295,9 +296,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for t, found in zip(text, spans, strict=True):
             parts = (t or "").encode("utf-8", "surrogatepass").split()
             gone = np.zeros(len(parts) + 1, np.int32)
-            for span in found if found is not None else ():
-                gone[span["start"]] += 1
-                gone[span["stop"]] -= 1
+            if found is not None:
+                np.add.at(gone, np.asarray(found, np.int64) >> 32, 1)
+                np.subtract.at(gone, np.asarray(found, np.int64) & 0xFFFFFFFF, 1)
             left = np.flatnonzero(np.cumsum(gone[:-1]) == 0) if len(parts) else ()
             kept = parts if len(left) == len(parts) else [parts[i] for i in left]
             out.append((b" ".join(kept).decode("utf-8", "surrogatepass"), len(parts), len(parts) - len(kept)))
