@@ -116,6 +116,7 @@ def estimated_candidates(n: int, gram: np.ndarray, bits: list[int], threshold: i
 
 def allocate(n: int, gram: np.ndarray, groups: list[list[int]], tau: int) -> list[int]:
     """Thresholds, one a partition (-1: never probed), that sum to ``tau - partitions + 1`` at the least estimated work."""
+    n = max(n, 2)  # of no fingerprints the least probing is the best, too
     goal = tau - len(groups) + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for bits in groups:
@@ -129,15 +130,12 @@ def allocate(n: int, gram: np.ndarray, groups: list[list[int]], tau: int) -> lis
     return best[goal][1]
 
 
-def _extract(fp, bits: list[int]):
-    """The chosen bits of a fingerprint as a long."""
-    value = F.lit(0).cast("long")
-    for k, b in enumerate(bits):
-        value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, b).bitwiseAND(F.lit(1).cast("long")), k))
-    return value
+def _extract(bits: list[int], column: str = "fp") -> str:
+    """SQL for the chosen bits of a fingerprint as a long."""
+    return " | ".join(f"shiftleft(shiftrightunsigned({column}, {b}) & 1L, {k})" for k, b in enumerate(bits)) or "0L"
 
 
-def _keys(fp, groups: list[list[int]], thresholds: list[int]):
+def _keys(groups: list[list[int]], thresholds: list[int]) -> str:
     """All keys ``(partition, value)`` under which a fingerprint is stored: one exact value, or its probes.
 
     With threshold t both sides are stored under the values with up to t bits blanked out, so that two values that
@@ -151,8 +149,8 @@ def _keys(fp, groups: list[list[int]], thresholds: list[int]):
             for blank in combinations(range(len(bits)), k):
                 kept = [b for i, b in enumerate(bits) if i not in blank]
                 tag = g * 10_000 + (0 if not blank else 1 + sum(x * 64**i for i, x in enumerate(blank)) % 9_999)
-                out.append(F.struct(F.lit(tag).alias("part"), _extract(fp, kept).alias("value")))
-    return F.array(*out)
+                out.append(f"named_struct('part', {tag}, 'value', {_extract(kept)})")
+    return f"array({', '.join(out)})"
 
 
 def _bucket_links(tau: int, tile: int):
@@ -219,13 +217,13 @@ def near_links(prints: DataFrame, tau: int = 3, partitions: int = 4, tile: int =
     n, gram = bit_statistics(prints)
     groups = group_bits(n, gram, partitions)
     thresholds = allocate(n, gram, groups, tau)
-    keyed = prints.select("fp", F.explode(_keys(F.col("fp"), groups, thresholds)).alias("k")).select("fp", "k.part", "k.value")
+    keyed = prints.select("fp", F.explode(F.expr(_keys(groups, thresholds))).alias("k")).select("fp", "k.part", "k.value")
     counts = keyed.groupBy("part", "value").agg(F.count("*").alias("n")).where("n > 1")
     sized = durable(keyed.join(counts, ["part", "value"]).select("part", "value", "fp", "n"))
     small = sized.where(F.col("n") <= tile).select("part", "value", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp", F.lit(0).alias("side"))
     # A second pigeonhole inside a large bucket: distance tau over all 64 bits, cut in tau + 1 pieces, leaves one piece equal.
     pieces = [list(range(k, BITS, tau + 1)) for k in range(tau + 1)]
-    again = sized.where(F.col("n") > tile).select("fp", "part", "value", F.posexplode(F.array(*(_extract(F.col("fp"), x) for x in pieces))).alias("piece", "sub"))
+    again = sized.where(F.col("n") > tile).select("fp", "part", "value", F.posexplode(F.expr(f"array({', '.join(map(_extract, pieces))})")).alias("piece", "sub"))
     again = again.select("fp", (F.col("part") * 8 + F.col("piece") + 1_000_000).alias("part"), F.xxhash64("value", "sub").alias("value"))
     tiles = again.groupBy("part", "value").agg(F.count("*").alias("n")).where("n > 1").select("part", "value", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), F.col("tiles")).cast("int")
