@@ -157,6 +157,8 @@ class Decoder:
         return " ".join(" ".join(self.words(t)[-1:]) or t for t in joined.split())
 
 
+#: Share of the toxic documents that has a feature which counts whatever others explain.
+COMMON = 0.08
 #: Lengths of the word beginnings that are features beside whole words (inflected and compound words share them).
 PREFIXES = (4, 5, 6, 7)
 
@@ -202,6 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, logp: np.ndarray, id_col: str = "d
     totals = {toxic: n for toxic, n in marked.groupBy("toxic").count().collect()}
     sample = marked.where("toxic = 1").orderBy(order, "id").limit(sample_rows).unionByName(marked.where("toxic = 0").orderBy(order, "id").limit(sample_rows))
     chosen = plain(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id")  # 2 * sample_rows rows at most
+    chosen = chosen.withColumn("th", F.xxhash64("text")).dropDuplicates(["th", "toxic"])  # copies count once
     shared = docs.sparkSession.sparkContext.broadcast(logp)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +233,10 @@ def learn(docs: DataFrame, labels: DataFrame, logp: np.ndarray, id_col: str = "d
             break
         covered |= ids
         weights[word] = math.log((t * up_t + 0.5) / (c * up_c + 0.5))
+    # Common telling features count even where others explain their documents: later texts may have them alone.
+    for word, (_, t, c) in left.items():
+        if t >= max(5, COMMON * n_toxic):
+            weights[word] = math.log((t * up_t + 0.5) / (c * up_c + 0.5))
     missed = n_toxic - len(covered)
     return {"bias": math.log((missed * up_t + 0.5) / (n_clean * up_c + 0.5)) if weights else math.log(totals[1] / totals[0]), "weights": weights}
 
