@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.functions import text as tx
-from stepweave.operators import changes, contracts, products, search
+from stepweave.operators import algebra, changes, compare, contracts, products, search
 from stepweave.plans import graph
 from stepweave.streaming import events as ev
 
@@ -304,6 +304,109 @@ def q_semantic_search(spark, d):
     return search.similar(e, query, "embedding", "vec_id", 0.1, 8).select("vec_id", "closeness", "total_matches")
 
 
+# Comparisons
+
+
+@_query("SELECT lower(o_orderpriority || ':' || (o_custkey % 100)) AS group_key, count(*) AS member_count, count(DISTINCT o_orderstatus) AS versions, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN 'identical' ELSE 'divergent' END AS verdict FROM orders GROUP BY 1 HAVING count(*) > 1")
+def q_twins(spark, d):
+    o = _t(spark, d, "orders")
+    return compare.twins(o.withColumn("name", F.concat("o_orderpriority", F.lit(":"), (F.col("o_custkey") % 100).cast("string"))), "name", "o_orderstatus")
+
+
+@_query("WITH r AS (SELECT lower(o_orderpriority) AS term, count(DISTINCT o_custkey) AS reach FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey) >= 2) SELECT term, o_orderstatus AS fragment, count(DISTINCT o_custkey) AS owners, any_value(reach) AS reach FROM orders JOIN r ON term = lower(o_orderpriority) GROUP BY 1, 2")
+def q_mined_terms(spark, d):
+    return compare.mined_terms(_t(spark, d, "orders"), "o_custkey", "o_orderpriority", "o_orderstatus")
+
+
+@_query("SELECT o_custkey, count(*) AS members, count(DISTINCT o_orderstatus) AS values, count(DISTINCT o_orderstatus) = 1 AND count(o_orderstatus) = count(*) AS all_equal FROM orders GROUP BY 1")
+def q_field_diff(spark, d):
+    return compare.field_diff(_t(spark, d, "orders"), "o_custkey", "o_orderstatus")
+
+
+@_query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'a' WHEN a.k IS NULL THEN 'b' ELSE 'both' END AS side FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_partkey <= 20) a FULL JOIN (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_partkey BETWEEN 15 AND 40) b ON a.k = b.k")
+def q_set_sides(spark, d):
+    rows = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), "l_partkey")
+    return compare.set_sides(rows.where("l_partkey <= 20"), rows.where("l_partkey BETWEEN 15 AND 40"), ["k"])
+
+
+@_query("""WITH t AS (SELECT s_nationkey AS g, s_suppkey % 40 AS n, 's' || s_suppkey AS target FROM supplier), f AS (SELECT g, n, min(target) AS target FROM t GROUP BY 1, 2), b AS (SELECT n, min(target) AS target, count(DISTINCT target) AS many FROM t GROUP BY 1)
+SELECT c_custkey, coalesce(f.target, CASE WHEN b.many = 1 THEN b.target END) AS target, CASE WHEN f.target IS NOT NULL THEN 'qualified' WHEN b.many = 1 THEN 'bare' WHEN b.many > 1 THEN 'ambiguous' ELSE 'unresolved' END AS how
+FROM customer LEFT JOIN f ON f.g = c_nationkey AND f.n = c_custkey % 60 LEFT JOIN b ON b.n = c_custkey % 60""")
+def q_tiered_resolution(spark, d):
+    targets = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("g"), (F.col("s_suppkey") % 40).alias("n"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("target"))
+    refs = _t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("g"), (F.col("c_custkey") % 60).alias("n"))
+    return compare.resolve(refs, targets, "g", "n").select("c_custkey", "target", "how")
+
+
+@_query(None)
+def q_step_alignment(spark, d):
+    """Suppliers as steps that read parts: all lines beside those of odd orders, some renamed. Best first has no SQL."""
+    lines = _t(spark, d, "lineitem")
+    steps = lambda rows: rows.groupBy(F.col("l_suppkey").alias("step")).agg(F.array_sort(F.collect_set("l_partkey")).alias("tables")).withColumn("content", F.when(F.col("step") % 3 == 0, F.concat(F.lit("c"), F.col("step").cast("string"))))
+    a = steps(lines).withColumn("name", F.concat(F.lit("S"), F.col("step").cast("string")))
+    b = steps(lines.where("l_orderkey % 8 <> 1")).withColumn("name", F.when(F.col("step") % 2 == 0, F.concat(F.lit("s"), F.col("step").cast("string"))))
+    return compare.align_steps(a, b)
+
+
+# Questions
+
+
+@_query(WITH_GRAPH + "SELECT node_id, layer, name FROM nodes WHERE regexp_matches(lower(name), '(^|[^a-z0-9])asia($|[^a-z0-9])')")
+def q_census(spark, d):
+    return algebra.census(demo_graph(spark, d)[0], ["name"], "asia zzqq")[0]
+
+
+@_query(STEPS_SQL + """, named AS (SELECT s.metric_id, s.step_id, n.name, row_number() OVER (PARTITION BY s.metric_id ORDER BY s.hop, s.step_id) AS k FROM steps s JOIN nodes n ON n.node_id = s.step_id),
+c AS (SELECT metric_id, count(*) AS transform_count, string_agg(name, ' -> ' ORDER BY k) AS calculation FROM named GROUP BY 1),
+u AS (SELECT metric_id, count(DISTINCT table_id) AS table_count, string_agg(DISTINCT n.name, ', ' ORDER BY n.name) AS source_tables FROM uses JOIN nodes n ON n.node_id = table_id GROUP BY 1)
+SELECT n.node_id AS metric_id, n.name, coalesce(transform_count, 0) AS transform_count, coalesce(calculation, '') AS calculation, coalesce(table_count, 0) AS table_count, coalesce(source_tables, '') AS source_tables
+FROM nodes n LEFT JOIN c ON c.metric_id = n.node_id LEFT JOIN u ON u.metric_id = n.node_id WHERE n.layer = 'canonical'""")
+def q_metric_cards(spark, d):
+    return algebra.metric_cards(*demo_graph(spark, d))
+
+
+@_query("""SELECT name, value, threshold, blocking, value >= threshold AS passed FROM (
+SELECT 'parse' AS name, coalesce(avg(CASE WHEN text IS NOT NULL THEN 1.0 ELSE 0.0 END), 0) AS value, 0.9::DOUBLE AS threshold, true AS blocking FROM documents
+UNION ALL SELECT 'trusted', coalesce(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 0), 0.8::DOUBLE, false FROM labels)""")
+def q_readiness_gate(spark, d):
+    return algebra.readiness([("parse", _t(spark, d, "documents"), "text IS NOT NULL", 0.9, True), ("trusted", _t(spark, d, "labels"), "quality = 1", 0.8, False)])
+
+
+@_query("""WITH RECURSIVE hit(kind, id) AS (SELECT 'table', '3' UNION
+SELECT e.tk, e.t FROM hit h JOIN (SELECT 'table' AS fk, s_suppkey::VARCHAR AS f, 'job' AS tk, s_nationkey::VARCHAR AS t FROM supplier UNION ALL SELECT 'job', n_nationkey::VARCHAR, 'table', (n_nationkey * 3 + 1)::VARCHAR FROM nation) e ON e.fk = h.kind AND e.f = h.id)
+SELECT kind, id FROM hit""")
+def q_replan(spark, d):
+    reads = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("table"), F.col("s_nationkey").alias("job"))
+    writes = _t(spark, d, "nation").select(F.col("n_nationkey").alias("job"), (F.col("n_nationkey") * 3 + 1).alias("table"))
+    return algebra.replan(reads.where("table = 3").select("table").distinct(), reads, writes)
+
+
+@_query("WITH n AS (SELECT DISTINCT conv_id, role, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS number FROM conversations) SELECT conv_id, number FROM n WHERE role = 'assistant' EXCEPT SELECT conv_id, number FROM n WHERE role = 'user'")
+def q_ungrounded_numbers(spark, d):
+    c = _t(spark, d, "conversations")
+    return algebra.ungrounded_numbers(c.where("role = 'assistant'"), c.where("role = 'user'"), "conv_id", "text")
+
+
+@_query("SELECT doc_id, score FROM (SELECT doc_id, contains(lower(text), 'the')::INTEGER + contains(lower(text), 'license')::INTEGER + contains(lower(text), 'data')::INTEGER AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
+def q_keyword_scores(spark, d):
+    return algebra.keyword_scores(_t(spark, d, "documents"), "text", ["the", "License", "data"], "doc_id", 20).select("doc_id", "score")
+
+
+@_query("SELECT least(l_partkey % 50, l_suppkey % 50) AS a, greatest(l_partkey % 50, l_suppkey % 50) AS b, count(*) AS evidence FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50 GROUP BY 1, 2")
+def q_join_evidence(spark, d):
+    return algebra.join_evidence(_t(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("x"), (F.col("l_suppkey") % 50).alias("y")), "x", "y")
+
+
+@_query("SELECT event_type, count(value) AS n, median(value) AS median FROM events GROUP BY 1")
+def q_median_latency(spark, d):
+    return algebra.latency(_t(spark, d, "events"), "event_type", "value")
+
+
+@_query("SELECT o_custkey, o_orderkey, o_orderstatus IS NOT DISTINCT FROM first_value(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS same_as_first FROM orders")
+def q_n_way_diff(spark, d):
+    return algebra.first_in_row(_t(spark, d, "orders"), "o_custkey", "o_orderkey", "o_orderstatus")
+
+
 # Events
 
 
