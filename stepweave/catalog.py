@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.functions import text as tx
-from stepweave.operators import algebra, changes, compare, contracts, products, search
+from stepweave.operators import algebra, changes, compare, contracts, products, records, search
 from stepweave.plans import graph
 from stepweave.streaming import events as ev
 
@@ -407,6 +407,106 @@ def q_n_way_diff(spark, d):
     return algebra.first_in_row(_t(spark, d, "orders"), "o_custkey", "o_orderkey", "o_orderstatus")
 
 
+# Records
+
+
+@_query("SELECT CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE lower(s_name) END AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'own' ELSE 'vendor' END AS origin, CASE WHEN s_suppkey % 3 <> 0 THEN s_nationkey END AS place FROM supplier")
+def q_dictionary_merge(spark, d):
+    s = _t(spark, d, "supplier")
+    own = s.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("name"), F.lit("own").alias("origin"))
+    return records.merge_dictionaries([own, s.select(F.lower("s_name").alias("name"), F.lit("vendor").alias("origin"), F.col("s_nationkey").alias("place"))], "name")
+
+
+@_query("SELECT upper(c_mktsegment) AS name, string_agg(DISTINCT c_nationkey::VARCHAR, ',' ORDER BY c_nationkey::VARCHAR) AS schemas FROM customer GROUP BY 1 HAVING count(DISTINCT c_nationkey) > 1")
+def q_schema_collisions(spark, d):
+    return records.schema_collisions(_t(spark, d, "customer"), "c_mktsegment", "c_nationkey")
+
+
+@_query("SELECT count(*) AS total, count(s_suppkey) AS covered, count(s_suppkey) / count(*) AS fraction FROM (SELECT DISTINCT l_suppkey FROM lineitem) LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 <> 0) ON s_suppkey = l_suppkey")
+def q_dictionary_coverage(spark, d):
+    known = _t(spark, d, "supplier").where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return records.dictionary_coverage(_t(spark, d, "lineitem"), known, "l_suppkey")
+
+
+@_query("SELECT l_orderkey, count(*) AS leaves, count(*) - count(s_suppkey) AS missing, CASE WHEN count(*) = count(s_suppkey) THEN 'grounded' ELSE 'fallout' END AS verdict FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 <> 0) ON s_suppkey = l_suppkey GROUP BY 1")
+def q_leaf_grounding(spark, d):
+    known = _t(spark, d, "supplier").where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return records.leaf_grounding(_t(spark, d, "lineitem"), known, "l_orderkey", "l_suppkey")
+
+
+@_query("""WITH r AS (SELECT o_custkey AS k, o_orderkey % 25 AS h, o_orderstatus AS s FROM orders)
+SELECT c_custkey AS k, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.k = c_custkey AND r.h = c_nationkey AND r.s = 'F') THEN 'reuse' WHEN EXISTS (SELECT 1 FROM r WHERE r.k = c_custkey AND r.s = 'O') THEN 'retry' ELSE 'generate' END AS plan FROM customer""")
+def q_generation_plan(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "rejected").otherwise("failed")
+    made = _t(spark, d, "orders").select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 25).alias("h"), status.alias("status"))
+    return records.generation_plan(_t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("h")), made, "k", "h", "status")
+
+
+@_query("WITH e AS (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN date_diff('day', ts::DATE, DATE '2024-02-01') END AS age_days FROM events) SELECT event_id, age_days, CASE WHEN age_days IS NULL THEN 'unknown' WHEN age_days > 14 THEN 'stale' ELSE 'fresh' END AS state FROM e")
+def q_staleness(spark, d):
+    e = _t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 10 == 0, "n/a").otherwise(F.col("ts").cast("string")).alias("stamp"))
+    return records.staleness(e, "event_id", "stamp", "2024-02-01", 14)
+
+
+@_query("""WITH r AS (SELECT l_orderkey % 50 AS step, CASE WHEN l_linenumber % 3 <> 0 THEN 'A' || (l_suppkey % 5) END AS q, CASE WHEN l_partkey % 20 <> 19 THEN 'C' || (l_partkey % 20) END AS c, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+t AS (SELECT DISTINCT s_suppkey % 40 AS step, 'A' || (s_suppkey % 4) AS a, 'T' || (s_suppkey % 7) AS tab FROM supplier), c AS (SELECT DISTINCT 'T' || (n_nationkey % 7) AS tab, 'C' || (n_nationkey % 20) AS col FROM nation),
+x AS (SELECT r.step, q, r.c, n, count(t.tab) AS tabs, count(DISTINCT c.tab) AS hits, min(c.tab) AS one FROM r LEFT JOIN t ON t.step = r.step AND (q IS NULL OR q = t.a) LEFT JOIN c ON c.tab = t.tab AND c.col = r.c GROUP BY 1, 2, 3, 4),
+y AS (SELECT *, CASE WHEN hits = 1 THEN one || '.' || c END AS target FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY step, target ORDER BY q NULLS FIRST) AS k FROM y),
+o AS (SELECT *, CASE WHEN c IS NULL THEN 'no_column_name' WHEN q IS NOT NULL AND tabs = 0 THEN 'unresolved_qualifier' WHEN hits = 0 THEN 'no_dictionary_column' WHEN hits > 1 THEN 'ambiguous' WHEN k > 1 THEN 'duplicate' ELSE 'minted' END AS outcome FROM z)
+SELECT step, q AS qualifier, c AS column_name, n, (outcome = 'minted')::INTEGER AS minted, outcome, target FROM o""")
+def q_projection_edges(spark, d):
+    named = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    line, sup, nat = F.col("l_linenumber"), F.col("s_suppkey"), F.col("n_nationkey")
+    refs = _t(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("step"), F.when(line % 3 != 0, named("a", F.col("l_suppkey") % 5)).alias("qualifier"), F.when(F.col("l_partkey") % 20 != 19, named("c", F.col("l_partkey") % 20)).alias("column_name"))
+    tables = _t(spark, d, "supplier").select((sup % 40).alias("step"), named("A", sup % 4).alias("alias"), named("t", sup % 7).alias("table"))
+    return records.projection_edges(refs, tables, _t(spark, d, "nation").select(named("T", nat % 7).alias("table"), named("c", nat % 20).alias("column_name")))
+
+
+@_query("""WITH a AS (SELECT o_custkey, bool_or(o_orderstatus = 'F') AS g FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey, bool_or(o_orderstatus = 'F') AS g FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+SELECT * FROM (SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN b.o_custkey IS NULL THEN 'missing' WHEN a.o_custkey IS NULL THEN 'extra' WHEN a.g <> b.g THEN 'grouping' END AS difference FROM a FULL JOIN b ON a.o_custkey = b.o_custkey) WHERE difference IS NOT NULL""")
+def q_fact_diff(spark, d):
+    o = _t(spark, d, "orders").withColumn("g", F.col("o_orderstatus") == "F")
+    return records.fact_diff(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"), "o_custkey", "g")
+
+
+@_query("SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'both' ELSE 'neither' END AS problem FROM customer WHERE c_custkey % 10 <> 0 AND (c_custkey % 6 = 0 OR c_custkey % 6 IN (1, 5)) UNION ALL SELECT c_custkey, 'unknown' FROM customer WHERE c_custkey % 10 = 0 AND (c_custkey % 2 = 0 OR c_custkey % 3 = 0)")
+def q_cover_gaps(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey")
+    return records.cover_gaps(c.where("c_custkey % 10 <> 0"), c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0"), "c_custkey")
+
+
+@_query("SELECT source, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents c WHERE c.lang = 'de' AND c.source = d.source AND c.doc_id < 100) GROUP BY 1")
+def q_undeclared(spark, d):
+    docs = _t(spark, d, "documents")
+    return records.undeclared(docs, "source", docs.where("lang = 'de' AND doc_id < 100"))
+
+
+@_query("WITH e AS (SELECT event_type, ts::DATE AS run, user_id % 10 AS code FROM events) SELECT event_type, code, count(*) AS n FROM e WHERE run = (SELECT max(run) FROM e f WHERE f.event_type = e.event_type) GROUP BY 1, 2")
+def q_fallout_reasons(spark, d):
+    e = _t(spark, d, "events").select("event_type", F.col("ts").cast("date").alias("run"), (F.col("user_id") % 10).alias("code"))
+    return records.fallout_reasons(e, "event_type", "run", "code")
+
+
+@_query("SELECT DISTINCT 'filters' AS relation, l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT DISTINCT 'selects', l_partkey, l_suppkey FROM lineitem WHERE l_discount > 0.08")
+def q_column_usage(spark, d):
+    rows = _t(spark, d, "lineitem")
+    return records.column_usage(rows.where("l_quantity > 45"), rows.where("l_discount > 0.08"), "l_partkey", "l_suppkey")
+
+
+@_query("SELECT p_partkey, concat_ws(' | ', nullif(trim(p_name), ''), CASE WHEN p_size % 2 = 0 THEN nullif(trim(p_brand), '') END, p_size::VARCHAR) AS document FROM part")
+def q_catalog_documents(spark, d):
+    return records.catalog_documents(_t(spark, d, "part"), "p_partkey", [F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.lit(" ")), F.col("p_size")])
+
+
+@_query("""WITH l AS (SELECT o_custkey AS k, count(DISTINCT o_orderkey % 3) AS n, min(o_orderkey % 3) AS m FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1)
+SELECT c_custkey, CASE WHEN n = 1 AND m <> 2 THEN m END AS metric, CASE WHEN n IS NULL THEN 'no_link' WHEN n > 1 THEN 'many_links' WHEN m = 2 THEN 'no_description' ELSE 'matched' END AS outcome FROM customer LEFT JOIN l ON k = c_custkey""")
+def q_report_matches(spark, d):
+    links = _t(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderkey") % 3).alias("metric"))
+    cards = _t(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("metric"), F.when(F.col("r_regionkey") != 2, F.col("r_name")).alias("description"))
+    return records.report_matches(_t(spark, d, "customer"), links, cards, "c_custkey", "metric", "description")
+
+
 # Events
 
 
