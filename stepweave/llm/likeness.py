@@ -1,0 +1,161 @@
+"""Near-duplicate texts by exact Jaccard likeness of word shingles, without comparing all pairs.
+
+Two sets at Jaccard ``least`` or more share an element among their first ``n - ceil(least * n) + 1`` in any common
+order (prefix filter), so only texts that meet at such an element are candidates and none is lost. The order puts
+elements that a sample finds common last, which decides the work, never the result. Candidates are verified exactly.
+Where many texts meet, they are first compared with one of them at a time, and pairs that are by then in one component
+are left out, as a further link inside it changes nothing.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from stepweave.llm.common import durable, n_words, plain
+from stepweave.llm.components import connected_components
+
+#: Texts that meet at one element are all paired up to this number.
+WIDE = 48
+#: Comparisons with one text of the bucket before the pairs that are still apart are enumerated.
+ROUNDS = 3
+#: Pairs of one text that a task verifies, about.
+SHARE = 512
+#: Texts from which common elements are learnt, and how many of them are kept.
+SAMPLE, COMMON = 8192, 50_000
+ROOM = 1e-9
+
+
+def text_class(text: Column) -> Column:
+    """A hash of the text; texts without a word are one class."""
+    return F.when(n_words(text) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(text))
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct hashes of the word shingles (A-Z lower-cased); a shorter text is one shingle, one without words none."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.empty(0, np.int64)
+    digest = xxhash.xxh64_intdigest
+    found = [digest(b" ".join(x), 7) for x in zip(*(parts[i:] for i in range(shingle)), strict=False)] or [digest(b" ".join(parts), 7)]
+    return np.unique(np.array(found, dtype=np.uint64).view(np.int64))
+
+
+def _sets(shingle: int):
+    def sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                found = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                values = pa.array(np.concatenate([*found, np.empty(0, np.int64)]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), values)], names=["cid", "n", "els"])
+
+    return sets
+
+
+def _prefixes(common: np.ndarray, rank: np.ndarray, least: float):
+    """Task side: ``(cid, n, el, pos)`` for the elements of each prefix; ``common`` is sorted, ``rank`` above zero."""
+
+    def prefixes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in rows:
+            for at in range(0, len(whole), 1024):
+                batch = whole.slice(at, 1024)
+                n = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                els = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(n)), n)
+                place = np.minimum(np.searchsorted(common, els), max(len(common) - 1, 0))
+                late = np.where(common[place] == els, rank[place], 0) if len(common) else np.zeros(len(els), np.int64)
+                order = np.lexsort((els, late, row))
+                pos = np.arange(len(els)) - np.repeat(np.cumsum(n) - n, n)
+                keep = pos < (n - np.ceil(least * n - ROOM).astype(np.int64) + 1)[row]
+                row, pos, els = row[keep], pos[keep], els[order][keep]
+                cid = batch.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(cid[row]), pa.array(n[row].astype(np.int32)), pa.array(els), pa.array(pos.astype(np.int32))], names=["cid", "n", "el", "pos"])
+
+    return prefixes
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the distinct pairs ``(a, b)`` at likeness ``least`` or more, as ``(u, v)``; a frequent text is spread out."""
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    first = shares.join(sets, shares.a == sets.cid).select("a", "shares", F.col("els").alias("left"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    # A text is read once for all pairs that have it as b.
+    whole = pairs.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")).drop("shares")
+    second = whole.join(sets.select(F.col("cid").alias("b"), F.col("els").alias("right")), "b")
+    both = second.join(first.select("a", "share", "left"), ["a", "share"])
+
+    def likely(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            left, right = batch.column(2), batch.column(3)
+            keep = []
+            for k in range(len(batch)):
+                x, y = left[k].values.to_numpy(zero_copy_only=False), right[k].values.to_numpy(zero_copy_only=False)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= least * (len(x) + len(y) - shared) - ROOM)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+
+    return both.select("a", "b", "left", "right").mapInArrow(likely, "u bigint, v bigint")
+
+
+def _possible(least: float) -> Column:
+    """Two texts x and y that meet at an element can still be alike, by their sizes and what is left after its places."""
+    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    need = (F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - 1e-6
+    return (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * least - 1e-6) & (rest >= need)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+
+
+def near_components(docs: DataFrame, text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``(node, root)``: the text classes (``text_class``) linked to others and the smallest class of their component.
+
+    Texts at Jaccard likeness ``least`` or more of their distinct ``shingle``-word shingles are linked. Classes that
+    are not listed stand alone. Equal texts are one class, so copies cost one row however many there are.
+    """
+    text = F.col("text")
+    texts = plain(docs, text=text_col).where(n_words(text) > 0).select(text_class(text).alias("cid"), "text")
+    sets = durable(texts.groupBy("cid").agg(F.first("text").alias("text")).mapInArrow(_sets(shingle), "cid bigint, n int, els array<bigint>"))
+    part = max(1, sets.count() // SAMPLE)
+    often = sets.where(F.pmod(F.xxhash64("cid"), F.lit(part)) == 0).select(F.explode("els").alias("el")).groupBy("el").count().where("count > 2")
+    often = sorted((r.el, r["count"]) for r in often.orderBy(F.desc("count"), "el").limit(COMMON).collect())
+    common, rank = np.array([e for e, _ in often], dtype=np.int64), np.array([c for _, c in often], dtype=np.int64)
+    keyed = sets.mapInArrow(_prefixes(common, rank, least), "cid bigint, n int, el bigint, pos int")
+    counts = keyed.groupBy("el").agg(F.count("*").alias("m")).where("m > 1")
+    sized = durable(keyed.join(counts, "el"))
+    few, many = sized.where(F.col("m") <= WIDE), sized.where(F.col("m") > WIDE)
+    met = few.alias("x").join(few.alias("y"), (F.col("x.el") == F.col("y.el")) & (F.col("x.cid") < F.col("y.cid")) & _possible(least))
+    links = durable(_verified(durable(_pairs(met)), sets, least))
+    roots = connected_components(links)
+    if many.isEmpty():
+        return roots
+    for k in range(ROUNDS + 1):
+        named = many.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        # Elements at which all texts are in one component by now need no more comparing.
+        split = named.groupBy("el").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("cid", "n", "pos", "root"), F.xxhash64("cid", F.lit(k))).alias("hub")).where("low <> high")
+        now = durable(named.join(split.select("el", "hub"), "el"))
+        if now.isEmpty():
+            break
+        if k < ROUNDS:
+            met = now.select(F.struct("cid", "n", "pos", "root").alias("x"), F.col("hub").alias("y"))
+            met = met.where((F.col("x.root") != F.col("y.root")) & _possible(least))
+        else:
+            met = now.alias("x").join(now.alias("y"), (F.col("x.el") == F.col("y.el")) & (F.col("x.root") < F.col("y.root")) & _possible(least))
+        links = durable(links.unionByName(_verified(durable(_pairs(met)), sets, least)))
+        roots = connected_components(links)
+    return roots
+
+
+def with_component(docs: DataFrame, roots: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(row, cid, component)`` for each row of ``docs``: its text class and the component of that."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_class(F.col(f"`{text_col}`")).alias("cid"))
+    out = rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    return out.select("row", "cid", F.coalesce("root", "cid").alias("component"))

@@ -1,0 +1,59 @@
+"""Near-duplicates by likeness against brute force, where texts are few and where many meet at one shingle."""
+
+import random
+
+import pytest
+
+import corpus_pipeline as cp
+from stepweave.llm import likeness
+
+SF = "/root/testdata/sf0.001"
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def groups(texts):
+    """Sets of indexes of texts that links of likeness 0.8 or more connect."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    found = {}
+    for k, r in enumerate(root):
+        found.setdefault(r, set()).add(k)
+    return sorted(map(sorted, found.values()))
+
+
+def kept(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted(((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF).collect()), key=repr)
+
+
+@pytest.mark.parametrize("wide", [48, 4])
+def test_stage_against_brute_force(spark, monkeypatch, wide):
+    monkeypatch.setattr(likeness, "WIDE", wide)
+    rng = random.Random(wide)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()][:120]
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    for k in range(70):
+        copy = list(base)
+        for _ in range(k % 6):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    texts += ["", None, " \n", "Two words", "two  words", "two others"]
+    want = groups(texts)
+    assert kept(spark, [(k, t, "en", "s", None) for k, t in enumerate(texts)]) == sorted(((g[0], texts[g[0]]) for g in want), key=repr)
+    assert any(1 < len(g) for g in want)
+
+
+def test_stage_links_between_080_and_096(spark):
+    words = [f"w{k}" for k in range(200)]
+    near = " ".join([*words[:50], "x", *words[51:100], "y", *words[101:]])  # Jaccard 186 / 206
+    far = " ".join("z" if k % 20 == 7 else w for k, w in enumerate(words))
+    assert [i for i, _ in kept(spark, [(1, " ".join(words), "en", "s", 1), (2, near, "en", "s", 1), (3, far, "en", "s", 1)])] == [1, 3]
