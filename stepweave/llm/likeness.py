@@ -154,8 +154,10 @@ def near_components(docs: DataFrame, text_col: str = "text", shingle: int = 5, l
     return roots
 
 
-def with_component(docs: DataFrame, roots: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(row, cid, component)`` for each row of ``docs``: its text class and the component of that."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_class(F.col(f"`{text_col}`")).alias("cid"))
+def clustered(docs: DataFrame, text_col: str = "text", cluster_col: str = "cluster") -> DataFrame:
+    """The rows with the component of each row's text (``near_components``) as a further column, a long."""
+    roots = near_components(docs, text_col)
+    cid = text_class(F.col(f"`{text_col}`"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != cluster_col)).alias("row"), cid.alias("cid"))
     out = rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    return out.select("row", "cid", F.coalesce("root", "cid").alias("component"))
+    return out.select("row.*", F.coalesce("root", "cid").alias(cluster_col))

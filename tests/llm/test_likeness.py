@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline as cp
-from stepweave.llm import likeness
+from stepweave.llm import likeness, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +57,16 @@ def test_stage_links_between_080_and_096(spark):
     near = " ".join([*words[:50], "x", *words[51:100], "y", *words[101:]])  # Jaccard 186 / 206
     far = " ".join("z" if k % 20 == 7 else w for k, w in enumerate(words))
     assert [i for i, _ in kept(spark, [(1, " ".join(words), "en", "s", 1), (2, near, "en", "s", 1), (3, far, "en", "s", 1)])] == [1, 3]
+
+
+@pytest.mark.parametrize("stage", ["query", "pipeline"])
+def test_no_sequence_holds_two_near_copies(spark, tmp_path, stage):
+    words = [f"w{k}" for k in range(100)]
+    texts = [" ".join("x" if i == 10 * k else w for i, w in enumerate(words)) for k in range(6)] + ["a short text", "a short text", "another one"]
+    docs = spark.createDataFrame([(k, t, "en", f"s{k}", None) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = (queries.op2_best_fit(spark, str(tmp_path)) if stage == "query" else cp.pack_sequences(spark, docs, SF)).collect()
+    bins = {r.doc_id: (r.shard, r.bin) for r in out}
+    for g in groups(texts):
+        assert len({bins[k] for k in g}) == len(g)
+    assert len(out) == len(texts) and max(map(len, groups(texts))) == 6
