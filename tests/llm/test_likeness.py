@@ -70,3 +70,10 @@ def test_no_sequence_holds_two_near_copies(spark, tmp_path, stage):
     for g in groups(texts):
         assert len({bins[k] for k in g}) == len(g)
     assert len(out) == len(texts) and max(map(len, groups(texts))) == 6
+
+
+def test_rows_of_one_id_and_of_none(spark):
+    rows = [(1, "one quite different text about the sea", "en", "s", 1), (1, "and a second one about high mountains", "en", "s", 1), (1, "one quite different text about the sea", "en", "s", 1)]
+    rows += [(None, "no id but copies all the same here", "en", "s", 1)] * 3 + [(None, "a copy of what has an id", "en", "s", 1), (7, "a copy of what has an id", "en", "s", 1)]
+    want = sorted({r[:2] for r in rows if r[:2] != (None, "a copy of what has an id")}, key=repr)
+    assert kept(spark, rows) == want
