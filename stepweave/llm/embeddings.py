@@ -20,33 +20,49 @@ from stepweave.llm.components import connected_components, local_forest
 
 #: A bound is compared with this much room, far above the rounding of 64 products and far below any use.
 ROOM = 1e-9
+#: The longest vectors that are rotated.
+WIDEST = 1024
 
 
-def principal_axes(units: DataFrame, dim: int) -> np.ndarray:
-    """Orthogonal axes, strongest first, of the second moments over all rows (summed by Spark, ``dim`` squared cells)."""
+def principal_axes(units: DataFrame, dims: list[int]) -> dict[int, np.ndarray]:
+    """For each length orthogonal axes, strongest first, of the second moments over all its rows (summed by Spark)."""
+    if not dims:
+        return {}
 
     def partial(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram = np.zeros((dim, dim))
+        grams: dict[int, np.ndarray] = {}
         for batch in rows:
-            if len(batch):
-                x = np.array(batch.column(0).to_pylist(), dtype=np.float64)
-                gram += x.T @ x
-        i, j = np.indices((dim, dim))
-        yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(gram.ravel())], names=["i", "j", "s"])
-
-    gram = np.zeros((dim, dim))
-    for i, j, s in units.select("unit").mapInArrow(partial, "i bigint, j bigint, s double").groupBy("i", "j").agg(F.sum("s")).collect():
-        gram[i, j] = s
-    values, axes = np.linalg.eigh((gram + gram.T) / 2)
-    return np.ascontiguousarray(axes[:, np.argsort(-values)])
-
-
-def _tile_pairs(axes: np.ndarray, threshold: float, lead: int):
+            units = batch.column(0).to_pylist()
+            for dim in {len(u) for u in units}:
+                x = np.array([u for u in units if len(u) == dim], dtype=np.float64)
+                grams[dim] = grams.get(dim, 0) + x.T @ x
+        for dim, gram in grams.items():
+            i, j = np.indices((dim, dim))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(dim * dim, dim)), pa.array(i.ravel()), pa.array(j.ravel()), pa.array(gram.ravel())], names=["dim", "i", "j", "s"])
+
+    moments = units.where(F.size("unit").isin(dims)).select("unit").mapInArrow(partial, "dim bigint, i bigint, j bigint, s double")
+    grams = {dim: np.zeros((dim, dim)) for dim in dims}
+    for dim, i, j, s in moments.groupBy("dim", "i", "j").agg(F.sum("s")).collect():
+        grams[dim][i, j] = s
+    out = {}
+    for dim, gram in grams.items():
+        values, axes = np.linalg.eigh((gram + gram.T) / 2)
+        out[dim] = np.ascontiguousarray(axes[:, np.argsort(-values)])
+    return out
+
+
+def _steps(dim: int, lead: int) -> list[int]:
+    """Axes that are accumulated before a bound is looked at: doubled each time, and all of them in the end."""
+    steps = [min(lead, dim)]
+    while steps[-1] < dim:
+        steps.append(min(2 * steps[-1], dim))
+    return steps
+
+
+def _tile_pairs(axes: dict[int, np.ndarray], threshold: float, lead: int):
     """Task side: one pair of tiles at a time, emitting link counts a row and the forest of its links, never its pairs."""
-    dim = len(axes)
-    steps = sorted({min(lead * 2**k, dim) for k in range(8)})
 
-    def linked(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, sx: list, sy: list):
+    def linked(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, sx: list, sy: list, steps: list):
         total, done = np.zeros((len(x), len(y))), 0
         rows = cols = None
         for k, upto in enumerate(steps):
@@ -55,7 +71,7 @@ def _tile_pairs(axes: np.ndarray, threshold: float, lead: int):
                 alive = total + np.outer(sx[k], sy[k]) >= threshold - ROOM
                 if not alive.any():
                     return np.empty(0, int), np.empty(0, int)
-                if upto == dim or np.count_nonzero(alive) * 8 < alive.size:
+                if upto == steps[-1] or np.count_nonzero(alive) * 8 < alive.size:
                     rows, cols = np.nonzero(alive)
                     sums = total[rows, cols]
             else:
@@ -75,18 +91,20 @@ def _tile_pairs(axes: np.ndarray, threshold: float, lead: int):
         x = np.array(table.column("unit").to_pylist(), dtype=np.float64)
         idx, own = table.column("idx").to_numpy(), table.column("own").to_numpy()
         cut = int(np.searchsorted(own, own[0], side="right")) if own[0] != own[-1] else 0
-        p = x @ axes
+        dim = x.shape[1]
+        steps = _steps(dim, lead)
+        p = x @ axes[dim] if dim in axes else x
         tails = [np.sqrt(np.maximum(0, (p[:, s:] ** 2).sum(axis=1))) for s in steps]
         a, b = [], []
         first = np.arange(len(x)) if not cut else np.arange(cut)
         second = first if not cut else np.arange(cut, len(x))
-        if not cut and key[0].as_py() != key[1].as_py():
+        if not cut and key[1].as_py() != key[2].as_py():
             second = second[:0]
         for i in range(0, len(first), 512):
             r = first[i : i + 512]
             for j in range(i if not cut else 0, len(second), 2048):
                 c = second[j : j + 2048]
-                rows, cols = linked(x[r], x[c], p[r], p[c], [t[r] for t in tails], [t[c] for t in tails])
+                rows, cols = linked(x[r], x[c], p[r], p[c], [t[r] for t in tails], [t[c] for t in tails], steps)
                 rows, cols = r[rows], c[cols]
                 fresh = rows < cols
                 a.append(rows[fresh])
@@ -104,10 +122,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """``(id, n_links, component_id, kept)``, one row for each row of ``vectors``.
 
     Rows at cosine ``threshold`` or more are linked (``threshold`` above 0). Null, empty or zero vectors, those with a
-    null or non-finite component, and those of another length than the longest usable ones link with nothing: no link,
-    a component of their own. Rows that repeat an id are vectors of their own and count each other when they are near;
+    null or non-finite component link with nothing: no link, a component of their own. Vectors are compared with all
+    others of their length. Rows that repeat an id are vectors of their own and count each other when they are near;
     null ids take part, and a component of null ids only has a null ``component_id``. An empty table gives an empty
-    result. All rows are compared in blocks: tiles of ``tile`` rows, each pair of tiles in one task.
+    result. All rows of a length are compared in blocks: tiles of ``tile`` rows, each pair of tiles in one task.
     """
     values = F.transform(F.col("vector"), lambda v: v.cast("double"))
     usable = F.coalesce(F.size("vector") > 0, F.lit(False)) & F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
@@ -119,15 +137,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = plain(vectors, id=id_col, vector=vector_col).withColumn("idx", F.monotonically_increasing_id())
     rows = rows.withColumn("top", F.when(usable, top)).withColumn("scaled", F.when(F.col("top").isNotNull(), scaled)).withColumn("norm", norm)
     rows = durable(rows.select("id", "idx", F.transform("scaled", lambda v: v / F.col("norm")).alias("unit")))
-    dim, n = rows.agg(F.max(F.size("unit")), F.count("unit")).first()
-    if not n:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    units = rows.where(F.size("unit") == dim).select("idx", "unit")
-    tiles = -(-n // tile)
-    own = F.pmod(F.xxhash64("idx"), F.lit(tiles)).cast("int")
-    dealt = units.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    dealt = dealt.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "idx", "unit")
-    found = durable(dealt.groupBy("a", "b").applyInArrow(_tile_pairs(principal_axes(units, dim), threshold, lead), "idx bigint, root bigint, n bigint"))
+    units = rows.where("unit IS NOT NULL").select("idx", "unit", F.size("unit").alias("size"))
+    sizes = durable(units.groupBy("size").agg(F.count("*").alias("n")).where("n > 1"))  # one row a length
+    # The rotation only saves work: short of rows, or where its squared length is too much for the driver, there is none.
+    dims = [r["size"] for r in sizes.where((F.col("n") > F.col("size")) & (F.col("size") <= WIDEST)).collect()]
+    tiles = F.broadcast(sizes.select("size", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
+    own = F.pmod(F.xxhash64("idx"), F.col("tiles")).cast("int")
+    dealt = units.join(tiles, "size").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("size", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "idx", "unit")
+    found = durable(dealt.groupBy("size", "a", "b").applyInArrow(_tile_pairs(principal_axes(units, dims), threshold, lead), "idx bigint, root bigint, n bigint"))
     roots = connected_components(found.select(F.col("idx").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("idx").agg(F.sum("n").alias("n_links"))
     placed = rows.select("id", "idx").join(links, "idx", "left").join(roots.withColumnRenamed("node", "idx"), "idx", "left")
