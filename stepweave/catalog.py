@@ -304,6 +304,15 @@ def q_semantic_search(spark, d):
     return search.similar(e, query, "embedding", "vec_id", 0.1, 8).select("vec_id", "closeness", "total_matches")
 
 
+@_query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.v, q.v) / sqrt(list_dot_product(e.v, e.v)) / sqrt(list_dot_product(q.v, q.v)), 6) AS closeness FROM v e, v q WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, closeness, count(*) OVER (PARTITION BY query_id) AS total_matches FROM s WHERE closeness >= 0.1
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC, vec_id) <= 8""")
+def q_semantic_searches(spark, d):
+    e = _t(spark, d, "embeddings")
+    return search.similar_to_each(e, e.where("vec_id % 20 = 0"), "embedding", "vec_id", 0.1, 8)
+
+
 # Comparisons
 
 
