@@ -27,7 +27,9 @@ ROUNDS = 3
 #: Pairs of one text that a task verifies, about.
 SHARE = 512
 #: Texts from which common elements are learnt, and how many of them are kept.
-SAMPLE, COMMON = 8192, 50_000
+SAMPLE, COMMON = 4096, 50_000
+#: Rows of a list of classes that go to every task.
+BROADCAST = 300_000
 ROOM = 1e-9
 
 
@@ -81,8 +83,15 @@ def _prefixes(common: np.ndarray, rank: np.ndarray, least: float):
     return prefixes
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """A broadcast where the rows (a few longs each) are few enough; otherwise they are joined by shuffling."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of the distinct pairs ``(a, b)`` at likeness ``least`` or more, as ``(u, v)``; a frequent text is spread out."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    sets = sets.join(_small(ends), "cid", "left_semi")  # before anything is shuffled
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     first = shares.join(sets, shares.a == sets.cid).select("a", "shares", F.col("els").alias("left"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     # A text is read once for all pairs that have it as b.
@@ -128,7 +137,7 @@ def near_components(docs: DataFrame, text_col: str = "text", shingle: int = 5, l
     often = sets.where(F.pmod(F.xxhash64("cid"), F.lit(part)) == 0).select(F.explode("els").alias("el")).groupBy("el").count().where("count > 2")
     often = sorted((r.el, r["count"]) for r in often.orderBy(F.desc("count"), "el").limit(COMMON).collect())
     common, rank = np.array([e for e, _ in often], dtype=np.int64), np.array([c for _, c in often], dtype=np.int64)
-    keyed = sets.mapInArrow(_prefixes(common, rank, least), "cid bigint, n int, el bigint, pos int")
+    keyed = sets.mapInArrow(_prefixes(common, rank, least), "cid bigint, n int, el bigint, pos int").repartition("el")
     counts = keyed.groupBy("el").agg(F.count("*").alias("m")).where("m > 1")
     sized = durable(keyed.join(counts, "el"))
     few, many = sized.where(F.col("m") <= WIDE), sized.where(F.col("m") > WIDE)
@@ -159,5 +168,5 @@ def clustered(docs: DataFrame, text_col: str = "text", cluster_col: str = "clust
     roots = near_components(docs, text_col)
     cid = text_class(F.col(f"`{text_col}`"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != cluster_col)).alias("row"), cid.alias("cid"))
-    out = rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    out = rows.join(_small(roots.withColumnRenamed("node", "cid")), "cid", "left")
     return out.select("row.*", F.coalesce("root", "cid").alias(cluster_col))
