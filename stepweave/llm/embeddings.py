@@ -1,9 +1,10 @@
 """Near-duplicate vectors by cosine: PCA-ordered, tiled comparison with suffix-norm bounds.
 
-Unit vectors are rotated onto the principal axes of all rows, strongest first. Two tiles of vectors accumulate the
-products of the leading axes; the rest of a product is at most the product of the suffix norms, so a pair whose sum and
-bound stay below the threshold is dropped, and the accumulation stops when no pair of a block is left. Every survivor
-is compared in double precision over the original components.
+Unit vectors are rotated onto the principal axes of all rows, strongest first. Cells of a tree over the leading axes are
+cut into tiles; two tiles accumulate the products of the leading axes, and the rest of a product is at most the product
+of the suffix norms, so a pair whose sum and bound stay below the threshold is dropped, and the accumulation stops when
+no pair of a block is left. Every survivor is compared in double precision over the original components. Tiles whose
+boxes over the leading axes are too far apart for the threshold never meet.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,44 @@ from stepweave.llm.components import connected_components, local_forest
 ROOM = 1e-9
 #: The longest vectors that are rotated.
 WIDEST = 1024
+#: Rows from which the tree of cells is cut, and the leading axes that it and the boxes of the cells use.
+SAMPLE, BOX = 8192, 16
+#: Rows and columns of a block of products.
+HIGH, WIDE = 512, 2048
+
+
+def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Parts of a batch by the length of its last column."""
+    sizes = pc.list_value_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False)
+    for dim in np.unique(sizes):
+        yield int(dim), batch if (sizes == dim).all() else batch.filter(pa.array(sizes == dim))
+
+
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(id, idx, vector)`` with the vector at length one; null where it can link with nothing.
+
+    Scaled by the largest component first: squares of very large or small components neither overflow nor vanish.
+    """
+    for batch in batches:
+        vectors = batch.column(2)
+        sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        good = sizes > 0
+        good[row[~np.isfinite(values)]] = False
+        top = np.zeros(len(sizes))
+        np.maximum.at(top, row, np.where(np.isfinite(values), np.abs(values), 0))
+        good &= top > 0
+        values, row = values[good[row]], row[good[row]]
+        values = values / top[row]
+        values /= np.sqrt(np.bincount(row, values * values, minlength=len(sizes)))[row]
+        ends = np.concatenate([[0], np.cumsum(np.where(good, sizes, 0))]).astype(np.int32)
+        units = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array(~good))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), units], names=["id", "idx", "unit"])
 
 
 def principal_axes(units: DataFrame, dims: list[int]) -> dict[int, np.ndarray]:
@@ -32,9 +72,8 @@ def principal_axes(units: DataFrame, dims: list[int]) -> dict[int, np.ndarray]:
     def partial(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[int, np.ndarray] = {}
         for batch in rows:
-            units = batch.column(0).to_pylist()
-            for dim in {len(u) for u in units}:
-                x = np.array([u for u in units if len(u) == dim], dtype=np.float64)
+            for dim, part in _by_length(batch):
+                x = _matrix(part.column(0), dim)
                 grams[dim] = grams.get(dim, 0) + x.T @ x
         for dim, gram in grams.items():
             i, j = np.indices((dim, dim))
@@ -51,6 +90,33 @@ def principal_axes(units: DataFrame, dims: list[int]) -> dict[int, np.ndarray]:
     return out
 
 
+def _tree(points: np.ndarray, leaves: int, depth: int = 0) -> tuple | None:
+    """Median cuts of a sample over its widest axes, ``(axis, value, left, right)``; None is a leaf."""
+    if leaves < 2 or len(points) < 2:
+        return None
+    axis = int(np.argmax(np.var(points, axis=0)))
+    cut = float(np.median(points[:, axis]))
+    low = points[:, axis] < cut
+    if not low.any():
+        return None
+    return axis, cut, _tree(points[low], leaves // 2, depth + 1), _tree(points[~low], leaves - leaves // 2, depth + 1)
+
+
+def _cells(tree: tuple | None, points: np.ndarray) -> np.ndarray:
+    """The leaf of each point, numbered along the path from the root."""
+    out = np.zeros(len(points), np.int64)
+    stack = [(tree, np.arange(len(points)), 1)]
+    while stack:
+        node, rows, name = stack.pop()
+        if node is None or not len(rows):
+            out[rows] = name
+            continue
+        axis, cut, left, right = node
+        low = points[rows, axis] < cut
+        stack += [(left, rows[low], 2 * name), (right, rows[~low], 2 * name + 1)]
+    return out
+
+
 def _steps(dim: int, lead: int) -> list[int]:
     """Axes that are accumulated before a bound is looked at: doubled each time, and all of them in the end."""
     steps = [min(lead, dim)]
@@ -59,93 +125,165 @@ def _steps(dim: int, lead: int) -> list[int]:
     return steps
 
 
+class _Links:
+    """Link counts and the forest of the links of one pair of tiles, never the links themselves."""
+
+    def __init__(self, n: int):
+        self.count, self.root = np.zeros(n, np.int64), np.arange(n)
+
+    def add(self, rows: np.ndarray, cols: np.ndarray) -> None:
+        n = len(self.root)
+        self.count += np.bincount(rows, minlength=n) + np.bincount(cols, minlength=n)
+        a, b = self.root[rows], self.root[cols]
+        apart = a != b
+        if apart.any():
+            self.root = local_forest(a[apart], b[apart], n)[self.root]
+
+
 def _tile_pairs(axes: dict[int, np.ndarray], threshold: float, lead: int):
     """Task side: one pair of tiles at a time, emitting link counts a row and the forest of its links, never its pairs."""
 
-    def linked(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, sx: list, sy: list, steps: list):
-        total, done = np.zeros((len(x), len(y))), 0
-        rows = cols = None
-        for k, upto in enumerate(steps):
-            if rows is None:
-                total += px[:, done:upto] @ py[:, done:upto].T
-                alive = total + np.outer(sx[k], sy[k]) >= threshold - ROOM
-                if not alive.any():
-                    return np.empty(0, int), np.empty(0, int)
-                if upto == steps[-1] or np.count_nonzero(alive) * 8 < alive.size:
-                    rows, cols = np.nonzero(alive)
-                    sums = total[rows, cols]
-            else:
-                sums = sums + np.einsum("ij,ij->i", px[rows, done:upto], py[cols, done:upto])
-                keep = sums + sx[k][rows] * sy[k][cols] >= threshold - ROOM
-                rows, cols, sums = rows[keep], cols[keep], sums[keep]
-            done = upto
-        keep = [np.empty(0, bool)]
-        for at in range(0, len(rows), 65536):
-            keep.append(np.einsum("ij,ij->i", x[rows[at : at + 65536]], y[cols[at : at + 65536]]) >= threshold)
-        keep = np.concatenate(keep)
-        return rows[keep], cols[keep]
-
     def pairs(key, table):
-        order = np.lexsort((table.column("idx").to_numpy(), table.column("own").to_numpy()))
-        table = table.take(pa.array(order))
-        x = np.array(table.column("unit").to_pylist(), dtype=np.float64)
+        table = table.take(pa.array(np.lexsort((table.column("idx").to_numpy(), table.column("own").to_numpy()))))
+        dim = key[0].as_py()
+        x = _matrix(table.column("unit").combine_chunks(), dim)
         idx, own = table.column("idx").to_numpy(), table.column("own").to_numpy()
-        cut = int(np.searchsorted(own, own[0], side="right")) if own[0] != own[-1] else 0
-        dim = x.shape[1]
+        same = key[1].as_py() == key[2].as_py()
+        cut = 0 if same else int(np.searchsorted(own, own[0], side="right"))
         steps = _steps(dim, lead)
         p = x @ axes[dim] if dim in axes else x
-        tails = [np.sqrt(np.maximum(0, (p[:, s:] ** 2).sum(axis=1))) for s in steps]
-        a, b = [], []
-        first = np.arange(len(x)) if not cut else np.arange(cut)
-        second = first if not cut else np.arange(cut, len(x))
-        if not cut and key[1].as_py() != key[2].as_py():
-            second = second[:0]
-        for i in range(0, len(first), 512):
-            r = first[i : i + 512]
-            for j in range(i if not cut else 0, len(second), 2048):
-                c = second[j : j + 2048]
-                rows, cols = linked(x[r], x[c], p[r], p[c], [t[r] for t in tails], [t[c] for t in tails], steps)
-                rows, cols = r[rows], c[cols]
-                fresh = rows < cols
-                a.append(rows[fresh])
-                b.append(cols[fresh])
-        a, b = (np.concatenate(v) if v else np.empty(0, int) for v in (a, b))
-        count = np.bincount(a, minlength=len(x)) + np.bincount(b, minlength=len(x))
-        root = local_forest(a, b, len(x))
-        hit = count > 0
-        return pa.table({"idx": idx[hit], "root": idx[root[hit]], "n": count[hit].astype(np.int64)})
+        tails = np.sqrt(np.maximum(0, np.stack([(p[:, s:] ** 2).sum(axis=1) for s in steps])))
+        # Leading products and the bound of the rest are one product of vectors that have their suffix norm as a further component.
+        first = np.column_stack([p[:, : steps[0]], tails[0]]).astype(np.float32)
+        least = np.float32(threshold - ROOM - 2e-7 * (steps[0] + 8))
+        links = _Links(len(x))
+        left, right = (np.arange(len(x)),) * 2 if same else (np.arange(cut), np.arange(cut, len(x)))
+        for i in range(0, len(left), HIGH):
+            r = left[i : i + HIGH]
+            for j in range(i // WIDE * WIDE if same else 0, len(right), WIDE):
+                c = right[j : j + WIDE]
+                bound = first[r[0] : r[-1] + 1] @ first[c[0] : c[-1] + 1].T
+                if bound.max() < least:
+                    continue
+                a, b = np.nonzero(bound >= least)
+                a, b = r[a], c[b]
+                if same:
+                    a, b = a[a < b], b[a < b]
+                done, total = 0, np.zeros(len(a))
+                for k, upto in enumerate(steps):
+                    if len(a) * 8 > bound.size:  # a dense group: whole products cost less than pair by pair
+                        break
+                    total = total + np.einsum("ij,ij->i", p[a, done:upto], p[b, done:upto])
+                    alive = total + tails[k, a] * tails[k, b] >= threshold - ROOM
+                    a, b, total, done = a[alive], b[alive], total[alive], upto
+                    if not len(a):
+                        break
+                if not len(a):
+                    continue
+                if len(a) * 8 > bound.size:
+                    near = (x[r] @ x[c].T)[a - r[0], b - c[0]] >= threshold
+                else:
+                    near = np.concatenate([np.einsum("ij,ij->i", x[a[k : k + 8192]], x[b[k : k + 8192]]) >= threshold for k in range(0, len(a), 8192)])
+                links.add(a[near], b[near])
+        hit = links.count > 0
+        return pa.table({"idx": idx[hit], "root": idx[links.root[hit]], "n": links.count[hit]})
 
     return pairs
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tile: int = 4096, lead: int = 16) -> DataFrame:
+def _far(box: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """Squared distance of one box ``(low, high)`` to each of several."""
+    gap = np.maximum(0, np.maximum(boxes[:, 0] - box[1], box[0] - boxes[:, 1]))
+    return (gap**2).sum(axis=1)
+
+
+def _deal(units: DataFrame, counts: dict[int, int], axes: dict[int, np.ndarray], threshold: float, tile: int) -> DataFrame:
+    """``(size, a, b, own, idx, unit)``: each row once for each tile that its own has to meet.
+
+    A tree over a bounded sample names the cell of every row; its box spans the leading axes of all its rows. Cells of
+    more than ``tile`` rows are cut by hash, so equal vectors fill several tiles.
+    """
+    trees = {}
+    for dim, n in counts.items():
+        some = units.where(F.size("unit") == dim).where(F.pmod(F.xxhash64("idx"), F.lit(n)) < SAMPLE).select("unit").collect() if n > tile else []  # about SAMPLE rows
+        points = np.array([r.unit for r in some], float).reshape(-1, dim)
+        trees[dim] = _tree((points @ axes[dim] if dim in axes else points)[:, :BOX], -(-n // tile))
+
+    def lead(part: pa.RecordBatch, dim: int) -> np.ndarray:
+        x = _matrix(part.column(part.num_columns - 1), dim)
+        return x @ axes[dim][:, :BOX] if dim in axes else x[:, :BOX]
+
+    def place(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+        for batch in rows:
+            for dim, part in _by_length(batch):
+                points = lead(part, dim)
+                cells = _cells(trees[dim], points)
+                for cell in np.unique(cells):
+                    own = points[cells == cell]
+                    n, low, high = held.get((dim, cell), (0, np.inf, -np.inf))
+                    held[dim, cell] = n + len(own), np.minimum(low, own.min(axis=0)), np.maximum(high, own.max(axis=0))
+        for (dim, cell), (n, low, high) in held.items():
+            k = len(low)
+            yield pa.RecordBatch.from_arrays([pa.array([dim] * k, pa.int32()), pa.array([cell] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([n] * k, pa.int64()), pa.array(low), pa.array(high)], names=["size", "cell", "axis", "n", "low", "high"])
+
+    found = units.select("unit").mapInArrow(place, "size int, cell bigint, axis int, n bigint, low double, high double")
+    found = found.groupBy("size", "cell", "axis").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    cells: dict[int, dict[int, dict]] = {}
+    for r in found.collect():  # a cell has some tile / 2 rows or more: 16 rows for each of them
+        cells.setdefault(r.size, {}).setdefault(r.cell, {})[r.axis] = (r.n, r.low, r.high)
+    plan = {}
+    for dim, own in cells.items():
+        names = np.array(sorted(own))
+        boxes = np.array([[[own[c][a][k] for a in sorted(own[c])] for k in (1, 2)] for c in names])
+        parts = np.array([-(-own[c][0][0] // tile) for c in names])
+        plan[dim] = names, boxes, parts, np.cumsum(parts) - parts
+    limit = 2 - 2 * threshold + ROOM
+
+    def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[tuple[int, int], np.ndarray] = {}
+        for whole in rows:
+            for at in range(0, len(whole), 1024):
+                for dim, part in _by_length(whole.slice(at, 1024)):
+                    names, boxes, parts, start = plan[dim]
+                    cell = np.searchsorted(names, _cells(trees[dim], lead(part, dim)))
+                    for c in np.unique(cell):
+                        if (dim, c) not in met:
+                            near = np.flatnonzero(_far(boxes[c], boxes) <= limit)
+                            met[dim, c] = np.concatenate([np.arange(start[k], start[k] + parts[k]) for k in near])
+                    h = part.column(1).to_numpy(zero_copy_only=False)
+                    own = start[cell] + h % parts[cell]
+                    each = np.array([len(met[dim, c]) for c in cell])
+                    row, other = np.repeat(np.arange(len(cell)), each), np.concatenate([met[dim, c] for c in cell])
+                    mine = own[row]
+                    cols = [np.full(len(row), dim, np.int32), np.minimum(mine, other).astype(np.int32), np.maximum(mine, other).astype(np.int32), mine.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row))], names=["size", "a", "b", "own", "idx", "unit"])
+
+    hashed = units.select("idx", F.pmod(F.xxhash64("idx", F.lit(1)), F.lit(1 << 30)).alias("h"), "unit")
+    return hashed.mapInArrow(deal, "size int, a int, b int, own int, idx bigint, unit array<double>")
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tile: int = 16384, lead: int = 24) -> DataFrame:
     """``(id, n_links, component_id, kept)``, one row for each row of ``vectors``.
 
     Rows at cosine ``threshold`` or more are linked (``threshold`` above 0). Null, empty or zero vectors, those with a
     null or non-finite component link with nothing: no link, a component of their own. Vectors are compared with all
     others of their length. Rows that repeat an id are vectors of their own and count each other when they are near;
     null ids take part, and a component of null ids only has a null ``component_id``. An empty table gives an empty
-    result. All rows of a length are compared in blocks: tiles of ``tile`` rows, each pair of tiles in one task.
+    result. Rows of a length are compared in tiles of about ``tile`` rows, each pair of tiles in one task; where the
+    vectors spread evenly over all axes no pair of tiles is ruled out, and the work is that of all pairs of rows.
     """
-    values = F.transform(F.col("vector"), lambda v: v.cast("double"))
-    usable = F.coalesce(F.size("vector") > 0, F.lit(False)) & F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    top = F.array_max(F.transform(values, lambda v: F.abs(v)))
-    usable = F.coalesce(usable & (top > 0), F.lit(False))
-    # Scaled by the largest component first: squares of very large or small components neither overflow nor vanish.
-    scaled = F.transform(values, lambda v: v / F.col("top"))
-    norm = F.sqrt(F.aggregate(F.col("scaled"), F.lit(0.0), lambda s, v: s + v * v))
     rows = plain(vectors, id=id_col, vector=vector_col).withColumn("idx", F.monotonically_increasing_id())
-    rows = rows.withColumn("top", F.when(usable, top)).withColumn("scaled", F.when(F.col("top").isNotNull(), scaled)).withColumn("norm", norm)
-    rows = durable(rows.select("id", "idx", F.transform("scaled", lambda v: v / F.col("norm")).alias("unit")))
-    units = rows.where("unit IS NOT NULL").select("idx", "unit", F.size("unit").alias("size"))
-    sizes = durable(units.groupBy("size").agg(F.count("*").alias("n")).where("n > 1"))  # one row a length
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = rows.select("id", "idx", F.col("vector").cast("array<double>").alias("vector"))
+    rows = durable(rows.mapInArrow(_unit_rows, f"id {kind}, idx bigint, unit array<double>"))
+    units = rows.where("unit IS NOT NULL").select("idx", "unit")
+    counts = {r["size"]: r.n for r in units.groupBy(F.size("unit").alias("size")).agg(F.count("*").alias("n")).where("n > 1").collect()}  # one row a length
+    units = units.where(F.size("unit").isin(list(counts)))
     # The rotation only saves work: short of rows, or where its squared length is too much for the driver, there is none.
-    dims = [r["size"] for r in sizes.where((F.col("n") > F.col("size")) & (F.col("size") <= WIDEST)).collect()]
-    tiles = F.broadcast(sizes.select("size", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
-    own = F.pmod(F.xxhash64("idx"), F.col("tiles")).cast("int")
-    dealt = units.join(tiles, "size").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("size", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "idx", "unit")
-    found = durable(dealt.groupBy("size", "a", "b").applyInArrow(_tile_pairs(principal_axes(units, dims), threshold, lead), "idx bigint, root bigint, n bigint"))
+    axes = principal_axes(units, [dim for dim, n in counts.items() if n > dim and dim <= WIDEST])
+    dealt = _deal(units, counts, axes, threshold, tile)
+    found = durable(dealt.groupBy("size", "a", "b").applyInArrow(_tile_pairs(axes, threshold, lead), "idx bigint, root bigint, n bigint"))
     roots = connected_components(found.select(F.col("idx").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("idx").agg(F.sum("n").alias("n_links"))
     placed = rows.select("id", "idx").join(links, "idx", "left").join(roots.withColumnRenamed("node", "idx"), "idx", "left")
