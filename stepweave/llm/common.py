@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,12 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """The rows, computed once and written to the shared checkpoint folder, so that a lost executor loses nothing.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``. Where none is set a local session (tests) gets a temporary one;
+    a cluster has to name one that its machines share.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
@@ -41,6 +46,11 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def has_word(text: Column) -> Column:
+    """Whether a text has a word; false for null."""
+    return F.coalesce(F.rlike(text, F.lit(WORD)), F.lit(False))
+
+
 def sha256_hex(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import chat, embeddings, fingerprints, langid, likeness, mixing, packing, quality, simhash, substrings, toxicity
+from stepweave.llm import chat, embeddings, fingerprints, langid, mixing, packing, quality, simhash, substrings, toxicity
 from stepweave.llm.common import sha256_hex, table
 
 
@@ -21,7 +21,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return packing.pack(likeness.clustered(docs), cluster_col="cluster").withColumnRenamed("id", "doc_id")
+    return packing.pack(simhash.clustered(docs), cluster_col="cluster").withColumnRenamed("id", "doc_id")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,46 +3,70 @@
 A 64-bit fingerprint is the bitwise majority over the hashes of word shingles. Fingerprints at Hamming distance
 ``tau`` or less are linked. The search groups correlated bits into partitions, gives each partition its own threshold
 by dynamic programming on estimated candidate counts (thresholds sum to ``tau - partitions + 1``, so no link is lost),
-probes each partition within its threshold and verifies the whole distance.
+probes each partition within its threshold and verifies the whole distance. Texts can be verified beyond that: links
+whose shingle sets are less alike than a given Jaccard similarity are dropped (``near_components``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import durable, plain, shuffle_width
+from stepweave.llm.common import durable, has_word, plain, shuffle_width
 from stepweave.llm.components import connected_components, local_forest
 
 BITS = 64
 #: Rows of a bucket that one task compares; larger buckets are dealt out in pairs of tiles of this size.
 TILE = 2048
-
-
-def simhash_text(text: str | None, shingle: int = 3) -> int:
-    """Fingerprint of one text (A-Z lower-cased, words of non-blank bytes); zero without words."""
+#: Rows of a tile where all fingerprints are compared.
+SCAN = 8192
+#: Work of storing a fingerprint under one key, in comparisons.
+KEY_WORK = 400
+#: Fingerprints that can still be alike by size, as a share of all (a guess that steers the plan, never the result).
+BY_SIZE = 0.25
+#: Of 64 bits 12 may differ where a similarity of 0.8 is asked.
+ALIKE_TAU, ALIKE = 12, 0.8
+#: Pairs of one text that a task verifies, about.
+SHARE = 512
+#: Rows of a few longs each that are sent to every task; more are joined by a shuffle.
+SMALL = 300_000
+ROOM = 1e-9
+
+
+def _shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the word shingles of a text (A-Z lower-cased, words of non-blank bytes), repeats included."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(parts) <= shingle:
-        hashes = [digest(b" ".join(parts), 42)]
-    else:
-        hashes = [digest(b" ".join(x), 42) for x in zip(*(parts[i:] for i in range(shingle)), strict=False)]
+        return np.array([digest(b" ".join(parts), 42)], np.uint64)
+    return np.array([digest(b" ".join(x), 42) for x in zip(*(parts[i:] for i in range(shingle)), strict=False)], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     total = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 255):
-        block = np.array(hashes[at : at + 255], dtype=np.uint64).view(np.uint8)
+        block = hashes[at : at + 255].view(np.uint8)
         total += np.unpackbits(block, bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.uint8)
     ones = np.packbits(total * 2 > len(hashes), bitorder="little")
     return int(ones.view("<u8")[0])
 
 
+def simhash_text(text: str | None, shingle: int = 3) -> int:
+    """Fingerprint of one text; zero without words."""
+    return _majority(_shingles(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(id, fp)``, one row for each row of ``docs``; ``fp`` holds the 64 bits as a signed long. Null text: no words."""
 
@@ -103,15 +127,18 @@ def group_bits(n: int, gram: np.ndarray, partitions: int) -> list[list[int]]:
 
 
 def estimated_candidates(n: int, gram: np.ndarray, bits: list[int], threshold: int) -> float:
-    """Estimated work of one partition: pairs within ``threshold`` on its bits, plus the keys that are probed."""
+    """Estimated work of one partition: pairs within ``threshold`` on its bits, plus the keys that are stored."""
     if threshold < 0:
         return 0.0
+    if threshold > len(bits):
+        return float("inf")
     p = np.diag(gram)[bits] / max(n, 1)
     within = np.array([1.0])
     for agree in p**2 + (1 - p) ** 2:
         within = np.convolve(within, [agree, 1 - agree])
-    probes = sum(len(list(combinations(range(len(bits)), k))) for k in range(threshold + 1)) if threshold < 3 else 1e6
-    return n * n / 2 * within[: threshold + 1].sum() + 40.0 * n * probes
+    # A pair that differs in k of the bits meets at the keys that blank those and any others.
+    meets = sum(comb(len(bits) - k, threshold - k) * within[k] for k in range(threshold + 1))
+    return n * n / 2 * meets + float(KEY_WORK) * n * comb(len(bits), threshold)
 
 
 def allocate(n: int, gram: np.ndarray, groups: list[list[int]], tau: int) -> list[int]:
@@ -120,81 +147,139 @@ def allocate(n: int, gram: np.ndarray, groups: list[list[int]], tau: int) -> lis
     goal = tau - len(groups) + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for bits in groups:
+        work = {t: estimated_candidates(n, gram, bits, t) for t in range(-1, tau + 1)}
         nxt: dict[int, tuple[float, list[int]]] = {}
         for total, (cost, taken) in best.items():
-            for t in range(-1, tau + 1):
-                value = (cost + estimated_candidates(n, gram, bits, t), [*taken, t])
+            for t, own in work.items():
+                value = (cost + own, [*taken, t])
                 if total + t not in nxt or value < nxt[total + t]:
                     nxt[total + t] = value
         best = nxt
     return best[goal][1]
 
 
+def cheapest(n: int, gram: np.ndarray, tau: int, share: float) -> tuple[list[list[int]], list[int]]:
+    """Partitions and thresholds of the least estimated work; one partition (every bit, the whole ``tau``) compares all pairs."""
+    best, least = ([list(range(BITS))], [tau]), n * n / 2 * share
+    for partitions in range(2, 2 * tau // 3 + 3):
+        groups = group_bits(n, gram, partitions)
+        found = allocate(n, gram, groups, tau)
+        work = sum(estimated_candidates(n, gram, bits, t) for bits, t in zip(groups, found, strict=True))
+        if work < least:
+            best, least = (groups, found), work
+    return best
+
+
 def _extract(bits: list[int], column: str = "fp") -> str:
     """SQL for the chosen bits of a fingerprint as a long."""
     return " | ".join(f"shiftleft(shiftrightunsigned({column}, {b}) & 1L, {k})" for k, b in enumerate(bits)) or "0L"
 
 
-def _keys(groups: list[list[int]], thresholds: list[int]) -> str:
-    """All keys ``(partition, value)`` under which a fingerprint is stored: one exact value, or its probes.
+def _probes(groups: list[list[int]], thresholds: list[int]) -> list[tuple[int, list[int]]]:
+    """All keys ``(tag, kept bits)`` under which a fingerprint is stored: one exact value, or its probes.
 
-    With threshold t both sides are stored under the values with up to t bits blanked out, so that two values that
-    differ in t bits meet at the key that blanks exactly those.
+    With threshold t both sides are stored under the values with t bits blanked out, so that two values that differ in
+    up to t bits meet at a key that blanks those.
     """
     out = []
-    for g, (bits, t) in enumerate(zip(groups, thresholds, strict=True)):
-        for k in range(t + 1):
-            if k < t:
+    for bits, t in zip(groups, thresholds, strict=True):
+        if t >= 0:
+            for blank in combinations(bits, t):
+                out.append((len(out), [b for b in bits if b not in blank]))
+    return out
+
+
+def _stored(probes: list[tuple[int, list[int]]]):
+    def stored(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in rows:
+            for at in range(0, len(whole), 2048):
+                batch = whole.slice(at, 2048)
+                bits = _bits(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.int64)
+                values = [bits[:, kept] @ (1 << np.arange(len(kept), dtype=np.int64)) for _, kept in probes]
+                tags = np.repeat(np.array([tag for tag, _ in probes], np.int32), len(batch))
+                every = pa.array(np.tile(np.arange(len(batch)), len(probes)))
+                yield pa.RecordBatch.from_arrays([pa.array(tags), pa.array(np.concatenate(values)), *(c.take(every) for c in batch.columns)], names=["part", "value", *batch.schema.names])
+
+    return stored
+
+
+_ROW = ("node", "fp", "n", "root")
+_AT = ("part", "value", "a", "b", "side")
+
+
+def _bucket_links(tau: int, least: float, apart: bool):
+    """Task side of the verification of distances, over rows sorted by bucket.
+
+    Out go links ``(u, v)``: all of a bucket, or, where they are many, a forest of them and each node that has others as
+    ``(u, u)``. With ``apart`` only links between nodes of different roots, and all of those.
+    """
+
+    def near(left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        other = left if right is None else right
+        x, y = left[:, 6].view(np.uint64), other[:, 6].view(np.uint64)
+        for i in range(0, len(x), 64):
+            for j in range(i // 4096 * 4096 if right is None else 0, len(y), 4096):
+                a, b = np.nonzero(np.bitwise_count(x[i : i + 64, None] ^ y[None, j : j + 4096]) <= tau)
+                a, b = a + i, b + j
+                if right is None:
+                    a, b = a[a < b], b[a < b]
+                n, m = left[a, 7], other[b, 7]
+                keep = np.minimum(n, m) >= least * np.maximum(n, m) - ROOM
+                if apart:
+                    keep &= left[a, 8] != other[b, 8]
+                yield a[keep], b[keep]
+
+    def bucket(left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nodes = left[:, 5] if right is None else np.concatenate([left[:, 5], right[:, 5]])
+        root, held, spare = np.arange(len(nodes)), 0, np.zeros(len(nodes), bool)
+        for a, b in near(left, right):
+            b = b if right is None else b + len(left)
+            if apart:
+                yield nodes[a], nodes[b]
                 continue
-            for blank in combinations(range(len(bits)), k):
-                kept = [b for i, b in enumerate(bits) if i not in blank]
-                tag = g * 10_000 + (0 if not blank else 1 + sum(x * 64**i for i, x in enumerate(blank)) % 9_999)
-                out.append(f"named_struct('part', {tag}, 'value', {_extract(kept)})")
-    return f"array({', '.join(out)})"
-
-
-def _bucket_links(tau: int, tile: int):
-    """Task side of the verification: rows sorted by bucket, each bucket's forest is emitted, never its pairs."""
-
-    def forest(left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        every = left if right is None else np.concatenate([left, right])
-        a, b = [], []
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            others = every if right is None else right
-            near = np.bitwise_count(rows[:, None] ^ others[None, :]) <= tau
-            i, j = np.nonzero(near)
-            if right is None:
-                keep = i + at < j
-                i, j = i[keep], j[keep]
-            a.append(i + at)
-            b.append(j + (0 if right is None else len(left)))
-        root = local_forest(np.concatenate(a), np.concatenate(b), len(every)) if a else np.arange(len(every))
-        moved = root != np.arange(len(every))
-        return every[moved], every[root[moved]]
+            while len(a):
+                open_ = root[a] != root[b]
+                more = ~open_
+                if more.any():  # links inside what is linked already
+                    if held < 4 * len(nodes):
+                        held += np.count_nonzero(more)
+                        yield nodes[a[more]], nodes[b[more]]
+                    else:
+                        spare[a[more]] = spare[b[more]] = True
+                a, b = a[open_], b[open_]
+                if len(a):  # one link of each node at the least
+                    pick = np.unique(np.concatenate([np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1]]))
+                    yield nodes[a[pick]], nodes[b[pick]]
+                    root = local_forest(root[a[pick]], root[b[pick]], len(root))[root]
+                    rest = np.ones(len(a), bool)
+                    rest[pick] = False
+                    a, b = a[rest], b[rest]
+        yield nodes[spare], nodes[spare]
 
     def links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = []
-
         def flush(block: np.ndarray) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero((block[1:, :4] != block[:-1, :4]).any(axis=1)) + 1
-            us, vs = [], []
+            us, vs, size = [], [], 0
             for part in np.split(block, cuts):
                 if len(part) < 2:
                     continue
-                fps = part[:, 4].view(np.uint64)
-                second = part[:, 5] == 1
-                u, v = forest(fps, None) if part[0, 2] == part[0, 3] else forest(fps[~second], fps[second])
-                us.append(u)
-                vs.append(v)
-            if us:
-                u, v = np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                second = part[:, 4] == 1
+                pairs = bucket(part, None) if part[0, 2] == part[0, 3] else bucket(part[~second], part[second])
+                for u, v in pairs:
+                    us.append(u)
+                    vs.append(v)
+                    size += len(u)
+                    if size > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+                        us, vs, size = [], [], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
+        rest: list[np.ndarray] = []
         for batch in rows:
             if not len(batch):
                 continue
-            block = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)])
+            block = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
             block = np.concatenate([*rest, block]) if rest else block
             changes = np.flatnonzero((block[1:, :4] != block[:-1, :4]).any(axis=1))
             cut = changes[-1] + 1 if len(changes) else 0
@@ -207,30 +292,71 @@ def _bucket_links(tau: int, tile: int):
     return links
 
 
-def near_links(prints: DataFrame, tau: int = 3, partitions: int = 4, tile: int = TILE) -> DataFrame:
-    """``(u, v)``: links of which the reachable sets equal those of all pairs at distance ``tau`` or less.
+def _tiled(rows: DataFrame, keys: list[str], tile: int) -> DataFrame:
+    """Rows of large buckets once for each pair of tiles that theirs is in."""
+    tiles = rows.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1").select(*keys, F.ceil(F.col("n_rows") / tile).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int")
+    dealt = rows.join(tiles, keys).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return dealt.select(*keys, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), *_ROW)
+
 
-    ``prints``: distinct non-null fingerprints ``fp``. Buckets with more than ``tile`` fingerprints are split once more
-    by a second pigeonhole over the other bits, and what is still larger is dealt out in pairs of tiles.
+def _scanned(prints: DataFrame, n: int, least: float, tile: int) -> DataFrame:
+    """All rows in tiles by size, each once for each tile whose sizes its own can be alike to."""
+    spark = prints.sparkSession
+    wanted = max(1, -(-n // tile))
+    cuts = sorted(set(prints.approxQuantile("n", [k / wanted for k in range(1, wanted)], 0.25 / wanted))) if wanted > 1 else []
+    cell = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)).cast("array<double>"), lambda c: c <= F.col("n")))
+    placed = prints.withColumn("cell", cell)
+    cells = placed.groupBy("cell").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high")).orderBy("cell").collect()  # a row a tile
+    parts = [-(-c.rows // tile) for c in cells]
+    start = np.cumsum([0, *parts]).tolist()
+    plan = []
+    for c, k, at in zip(cells, parts, start, strict=False):
+        met = [t for o, m, s in zip(cells, parts, start, strict=False) if min(o.high, c.high) >= least * max(o.low, c.low) - ROOM for t in range(s, s + m)]
+        plan.append((c.cell, at, k, met))
+    plan = F.broadcast(spark.createDataFrame(plan, "cell int, start int, parts int, met array<int>"))  # a row a tile
+    own = F.col("start") + F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    dealt = placed.join(plan, "cell").withColumn("own", own).withColumn("other", F.explode("met"))
+    return dealt.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("value"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), *_ROW)
+
+
+def near_links(prints: DataFrame, tau: int = 3, partitions: int | None = 4, tile: int = TILE, least: float = 0.0, apart: bool = False) -> DataFrame:
+    """``(u, v)``: links at distance ``tau`` or less between rows whose sizes ``n`` are within ``least`` of each other.
+
+    ``prints``: ``(node, fp, n, root)`` without nulls, ``node`` unique; of distinct fingerprints ``fp`` alone will do. The
+    sets that the links reach are those of all
+    links; where links are left out, their nodes come as ``(u, u)``. With ``apart`` links between different roots, and
+    all of them. ``partitions``: None for the number that is estimated the cheapest. Buckets of more than ``tile`` rows
+    are split once more by a second pigeonhole over all bits where that helps, and what is still larger is dealt out in
+    pairs of tiles.
     """
     spark = prints.sparkSession
+    given = {"node": F.col("fp"), "n": F.lit(0), "root": F.col("fp")}
+    prints = prints.select(*(F.col(c) if c in prints.columns else given[c].alias(c) for c in _ROW))
     n, gram = bit_statistics(prints)
-    groups = group_bits(n, gram, partitions)
-    thresholds = allocate(n, gram, groups, tau)
-    keyed = prints.select("fp", F.explode(F.expr(_keys(groups, thresholds))).alias("k")).select("fp", "k.part", "k.value")
-    counts = keyed.groupBy("part", "value").agg(F.count("*").alias("n")).where("n > 1")
-    sized = durable(keyed.join(counts, ["part", "value"]).select("part", "value", "fp", "n"))
-    small = sized.where(F.col("n") <= tile).select("part", "value", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp", F.lit(0).alias("side"))
-    # A second pigeonhole inside a large bucket: distance tau over all 64 bits, cut in tau + 1 pieces, leaves one piece equal.
-    pieces = [list(range(k, BITS, tau + 1)) for k in range(tau + 1)]
-    again = sized.where(F.col("n") > tile).select("fp", "part", "value", F.posexplode(F.expr(f"array({', '.join(map(_extract, pieces))})")).alias("piece", "sub"))
-    again = again.select("fp", (F.col("part") * 8 + F.col("piece") + 1_000_000).alias("part"), F.xxhash64("value", "sub").alias("value"))
-    tiles = again.groupBy("part", "value").agg(F.count("*").alias("n")).where("n > 1").select("part", "value", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), F.col("tiles")).cast("int")
-    dealt = again.join(tiles, ["part", "value"]).withColumn("own", own).select("part", "value", "own", "fp", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    large = dealt.select("part", "value", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-    rows = small.unionByName(large).repartition(shuffle_width(spark), "part", "value", "a", "b").sortWithinPartitions("part", "value", "a", "b")
-    return rows.select("part", "value", "a", "b", "fp", "side").mapInArrow(_bucket_links(tau, tile), "u bigint, v bigint").distinct()
+    if partitions is None:
+        groups, thresholds = cheapest(n, gram, tau, BY_SIZE if least else 1.0)
+    else:
+        groups = group_bits(n, gram, partitions)
+        thresholds = allocate(n, gram, groups, tau)
+    if len(groups) == 1:
+        rows = _scanned(prints, n, least, SCAN if tile == TILE else tile)
+    else:
+        kind = "part int, value bigint, node bigint, fp bigint, n int, root bigint"
+        keyed = prints.select("node", "fp", F.col("n").cast("int").alias("n"), "root").mapInArrow(_stored(_probes(groups, thresholds)), kind)
+        counts = keyed.groupBy("part", "value").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high")).where("held > 1")
+        counts = counts.where("low <> high") if apart else counts
+        sized = durable(keyed.join(counts.select("part", "value", "held"), ["part", "value"]))
+        small = sized.where(F.col("held") <= tile).select("part", "value", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), *_ROW)
+        large = sized.where(F.col("held") > tile)
+        if tau < 8:
+            # Distance tau over all 64 bits, cut in tau + 1 pieces, leaves one piece equal.
+            pieces = [list(range(k, BITS, tau + 1)) for k in range(tau + 1)]
+            large = large.select("part", "value", *_ROW, F.posexplode(F.expr(f"array({', '.join(map(_extract, pieces))})")).alias("piece", "sub"))
+            large = large.select((F.col("part") * 8 + F.col("piece") + 1_000_000).alias("part"), F.xxhash64("value", "sub").alias("value"), *_ROW)
+        rows = small.unionByName(_tiled(large.select("part", "value", *_ROW), ["part", "value"], tile))
+    rows = rows.repartition(shuffle_width(spark), "part", "value", "a", "b").sortWithinPartitions("part", "value", "a", "b")
+    return rows.select(*_AT, *_ROW).mapInArrow(_bucket_links(tau, least, apart), "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = 3) -> DataFrame:
@@ -250,5 +376,105 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("id", "fp", "component_id")
 
 
+def text_class(text: Column) -> Column:
+    """A hash of the text; texts without a word are one class."""
+    return F.when(has_word(text), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+
+
+def _sketched(shingle: int):
+    """``(node, fp, n)`` of ``(node, text)``; ``n`` is the number of distinct shingles."""
+
+    def sketched(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in rows:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                found = [_shingles(t, shingle) for t in batch.column(1).to_pylist()]
+                fps = np.array([_majority(h) for h in found], np.uint64)
+                sizes = np.array([len(set(h.tolist())) for h in found], np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(sizes)], names=["node", "fp", "n"])
+
+    return sketched
+
+
+def _sets(shingle: int):
+    """``(node, els)`` of ``(node, text)``: the sorted distinct shingle hashes."""
+
+    def sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in rows:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                found = [np.unique(_shingles(t, shingle).view(np.int64)) for t in batch.column(1).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                values = pa.array(np.concatenate([*found, np.empty(0, np.int64)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["node", "els"])
+
+    return sets
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """A broadcast where the rows (a few longs each) are few enough; otherwise they are joined by shuffling."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the distinct pairs ``(u, v)`` at Jaccard similarity ``least`` or more; a frequent text is spread out."""
+    shares = pairs.groupBy("u").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    first = sets.join(_small(shares), sets.node == F.col("u")).select("u", F.col("els").alias("left"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    spread = pairs.join(shares, "u").withColumn("share", F.pmod(F.xxhash64("v"), F.col("shares")).cast("int")).drop("shares")
+    second = spread.join(sets.select(F.col("node").alias("v"), F.col("els").alias("right")), "v")
+    both = second.join(first, ["u", "share"]).select("u", "v", "left", "right")
+
+    def alike(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            left, right = batch.column(2), batch.column(3)
+            keep = []
+            for k in range(len(batch)):
+                x, y = left[k].values.to_numpy(zero_copy_only=False), right[k].values.to_numpy(zero_copy_only=False)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= least * (len(x) + len(y) - shared) - ROOM)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+
+    return both.mapInArrow(alike, "u bigint, v bigint")
+
+
+def near_components(docs: DataFrame, text_col: str = "text", shingle: int = 5, tau: int = ALIKE_TAU, least: float = ALIKE, partitions: int | None = None) -> DataFrame:
+    """``(node, root)``: text classes (``text_class``) linked to others, and the smallest class of their component.
+
+    Two texts are linked if their fingerprints differ in ``tau`` bits or fewer and their distinct ``shingle``-word
+    shingles have a Jaccard similarity of ``least`` or more. Classes that are not listed stand alone. Equal texts are one
+    class, so copies cost one row however many there are. Inside a large group of near copies a forest of its links is
+    verified first; further links are only looked for between the parts that are still apart by then.
+    """
+    texts = plain(docs, text=text_col).where(has_word(F.col("text"))).select(text_class(F.col("text")).alias("node"), "text")
+    prints = texts.mapInArrow(_sketched(shingle), "node bigint, fp bigint, n int")
+    classes = durable(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n")))
+    # Of texts with one fingerprint only the first is searched for; the others are held against it.
+    firsts = durable(classes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("f")).select(F.col("f.node").alias("node"), "fp", F.col("f.n").alias("n"), F.col("f.node").alias("root")))
+    twins = classes.join(firsts.select("fp", F.col("node").alias("u")), "fp").where("node <> u").select("u", F.col("node").alias("v"))
+    found = durable(near_links(firsts, tau, partitions, least=least).unionByName(twins))
+    ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = texts.join(_small(ends), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = durable(sets.mapInArrow(_sets(shingle), "node bigint, els array<bigint>"))
+    links = durable(_alike(found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, least))
+    roots = connected_components(links)
+    # Left to look at: nodes with further links, and texts that turned out unlike the first of their fingerprint.
+    again = found.where("u = v").select(F.col("u").alias("node")).unionByName(twins.join(links, ["u", "v"], "left_anti").select(F.explode(F.array("u", "v")).alias("node"))).distinct()
+    if again.isEmpty():
+        return roots
+    open_ = classes.join(_small(again), "node", "left_semi").join(roots, "node", "left").select("node", "fp", "n", F.coalesce("root", "node").alias("root"))
+    more = near_links(durable(open_), tau, partitions, least=least, apart=True).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return connected_components(links.unionByName(durable(_alike(durable(more), sets, least))))
+
+
+def clustered(docs: DataFrame, text_col: str = "text", cluster_col: str = "cluster") -> DataFrame:
+    """The rows with the component of each row's text (``near_components``) as a further column, a long."""
+    roots = near_components(docs, text_col)
+    node = text_class(F.col(f"`{text_col}`"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != cluster_col)).alias("row"), node.alias("node"))
+    out = rows.join(_small(roots), "node", "left")
+    return out.select("row.*", F.coalesce("root", "node").alias(cluster_col))
+
+
 def hex16(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
