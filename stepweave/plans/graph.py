@@ -6,6 +6,7 @@ checkpoint folder, so that lineage stays short. Cycles and diamonds end by thems
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -15,10 +16,13 @@ C2T, T2T, T2TECH, TAB2COL = "canonical_to_transformation", "transformation_to_tr
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared checkpoint folder."""
+    """The rows, computed once and kept in the shared checkpoint folder; only a local session gets one of its own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
