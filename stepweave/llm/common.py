@@ -14,9 +14,18 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, for a query of this package."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch where texts go to Python, unless the session has a number of its own."""
+    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, str(rows))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows, computed once and written to the shared checkpoint folder, so that a lost executor loses nothing.
 

@@ -1,7 +1,7 @@
 """Removal of passages that repeat anywhere in the corpus, with a count-min prefilter.
 
 First pass: every partition sketches how often its window anchors occur; the partition sketches are merged segment by
-segment in Spark. An anchor of a window is its sub-window of half the length with the least hash, so equal windows have
+segment in a tree, some partitions at a time. An anchor of a window is its sub-window of half the length with the least hash, so equal windows have
 equal anchors and a window's count is never above its anchor's, nor above the merged sketch. Second pass: only windows
 whose estimate is two or more are grouped, by a 96-bit key over the whole window; none that repeats is lost.
 """
@@ -23,7 +23,9 @@ from stepweave.llm.common import shuffle_width
 BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4D)
 SEGMENT_BITS = 20
 #: Characters that a task turns into words at one time.
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 1_000_000
+#: Sketches of one segment that a task merges.
+FAN = 16
 #: Cells of one sketch row, at most (64 MB as bits). Past that more windows reach the exact pass; the result is the same.
 MAX_WIDTH_BITS = 29
 
@@ -38,16 +40,18 @@ class _Words(dict):
         return value
 
 
-def _blocks(texts: list) -> Iterator[tuple[int, list]]:
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, list]]:
     """Runs of texts of bounded size, with the place of the first; a long text is a block of its own."""
-    start, chars = 0, 0
-    for k, text in enumerate(texts):
-        if chars + len(text or "") > BLOCK_CHARS and k > start:
-            yield start, texts[start:k]
-            start, chars = k, 0
-        chars += len(text or "")
-    if start < len(texts):
-        yield start, texts[start:]
+    start, chars, block = 0, 0, []
+    for k in range(len(texts)):
+        text = texts[k].as_py() or ""
+        if chars + len(text) > BLOCK_CHARS and block:
+            yield start, block
+            start, chars, block = k, 0, []
+        block.append(text)
+        chars += len(text)
+    if block:
+        yield start, block
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -76,7 +80,7 @@ def _slide(x: np.ndarray, width: int, fold) -> np.ndarray:
 
 def _windows(cache: _Words, texts: list, window: int):
     """Of a block: words a text, the starts of whole windows, their anchors' hashes, anchor places, keys (on demand)."""
-    parts = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+    parts = [t.encode("utf-8", "surrogatepass").split() for t in texts]
     counts = np.array([len(p) for p in parts], dtype=np.int64)
     joined = b"".join([cache[w] for p in parts for w in p])
     values = np.frombuffer(joined, dtype="<u8").reshape(-1, 2)
@@ -121,9 +125,11 @@ def _sketch_rows(window: int, bits: int, depth: int):
     shift = min(bits, SEGMENT_BITS)
 
     def sketch(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, kept = _Words(), []
+        from pyspark import TaskContext
+
+        cache, kept, part = _Words(), [], TaskContext.get().partitionId()
         for batch in rows:
-            for _, texts in _blocks(batch.column(0).to_pylist()):
+            for _, texts in _blocks(batch.column(0)):
                 kept.append(_windows(cache, texts, window)[3])
         anchors = np.concatenate(kept) if kept else np.empty(0, np.uint64)
         for row in range(depth):
@@ -136,35 +142,50 @@ def _sketch_rows(window: int, bits: int, depth: int):
             cuts = np.flatnonzero(np.diff(segments)) + 1
             firsts = np.concatenate([[0], cuts])
             packed = [_pack(part & ((1 << shift) - 1)) for part in np.split(cells, cuts)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(firsts), row, np.int32)), pa.array(segments[firsts].astype(np.int32)), pa.array(packed, pa.binary())], names=["row", "segment", "cells"])
+            whole = [np.full(len(firsts), v, np.int32) for v in (part // FAN, row)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, whole), pa.array(segments[firsts].astype(np.int32)), pa.array(packed, pa.binary())], names=["part", "row", "segment", "cells"])
 
     return sketch
 
 
-def _merge_rows(shift: int):
+def _merge_rows(shift: int, last: bool):
+    """The sketches of one segment added up; counters stop at two. The last round gives a bit for each counter of two."""
+
     def merge(key, table):
         count = np.zeros(1 << shift, np.uint8)
         for payload in table.column("cells").to_pylist():
             cells = _unpack(payload)
             repeat = np.concatenate([[False], cells[1:] == cells[:-1]])
-            np.minimum(count[cells[~repeat]] + 1, 2, out=(low := np.empty(np.count_nonzero(~repeat), np.uint8)))
-            count[cells[~repeat]] = low
+            once = cells[~repeat]
+            count[once] = np.minimum(count[once] + 1, 2)
             count[cells[repeat]] = 2
-        return pa.table({"row": [key[0].as_py()], "segment": [key[1].as_py()], "twice": [np.packbits(count >= 2).tobytes()]}, schema=pa.schema([("row", pa.int32()), ("segment", pa.int32()), ("twice", pa.binary())]))
+        part, row, segment = (k.as_py() for k in key)
+        seen = np.flatnonzero(count)
+        out = np.packbits(count >= 2).tobytes() if last else _pack(np.repeat(seen, count[seen]))
+        return pa.table({"part": [part // FAN], "row": [row], "segment": [segment], "cells": [out]}, schema=_SKETCH)
 
     return merge
 
 
+_SKETCH = pa.schema([("part", pa.int32()), ("row", pa.int32()), ("segment", pa.int32()), ("cells", pa.binary())])
+_SKETCH_SQL = "part int, row int, segment int, cells binary"
+
+
 def repeated_sketch(docs: DataFrame, window: int, depth: int = 2) -> tuple[int, np.ndarray]:
     """``(bits, sketch)``: the merged sketch of all partitions, as one bit a cell for a count of two or more."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MAX_WIDTH_BITS, max(12, int(size / 14).bit_length()))  # about four cells an anchor
+    sizes = docs.select(F.octet_length("text").alias("size"), F.spark_partition_id().alias("part"))
+    size, parts = sizes.agg(F.sum("size"), F.max("part") + 1).first()
+    bits = min(MAX_WIDTH_BITS, max(12, int((size or 0) / 7).bit_length()))  # about eight cells an anchor
     shift = min(bits, SEGMENT_BITS)
-    parts = docs.select("text").mapInArrow(_sketch_rows(window, bits, depth), "row int, segment int, cells binary")
-    merged = parts.groupBy("row", "segment").applyInArrow(_merge_rows(shift), "row int, segment int, twice binary")
+    merged = docs.select("text").mapInArrow(_sketch_rows(window, bits, depth), _SKETCH_SQL)
+    left = -(-(parts or 1) // FAN)
+    while left > 1:
+        merged = merged.groupBy("part", "row", "segment").applyInArrow(_merge_rows(shift, False), _SKETCH_SQL)
+        left = -(-left // FAN)
+    merged = merged.groupBy("part", "row", "segment").applyInArrow(_merge_rows(shift, True), _SKETCH_SQL)
     out = np.zeros((depth, (1 << bits) // 8), np.uint8)
     step = (1 << shift) // 8
-    for row, segment, twice in merged.toLocalIterator():  # at most depth * 2 ** MAX_WIDTH_BITS bits
+    for _, row, segment, twice in merged.toLocalIterator():  # at most depth * 2 ** MAX_WIDTH_BITS bits
         out[row, segment * step : (segment + 1) * step] = np.frombuffer(bytes(twice), np.uint8)
     return bits, out
 
@@ -179,7 +200,7 @@ def _candidate_rows(window: int, bits: int, depth: int, sketch):
         cache, twice = _Words(), sketch.value
         for batch in rows:
             ids, th = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
-            for first, texts in _blocks(batch.column(2).to_pylist()):
+            for first, texts in _blocks(batch.column(2)):
                 counts, starts, low, _, values = _windows(cache, texts, window)
                 if not len(starts):
                     continue
@@ -287,7 +308,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = rows.select("id", "th", "text").mapInArrow(_candidate_rows(window, bits, depth, shared), schema)
     found = found.repartition(shuffle_width(spark), "k1", "k2").sortWithinPartitions("k1", "k2")
     spans = found.mapInArrow(_repeated_rows, f"id {rows.schema['id'].dataType.simpleString()}, th bigint, span bigint")
-    spans = spans.groupBy("id", "th").agg(F.collect_list("span").alias("spans")).select(F.col("id").alias("span_id"), F.col("th").alias("span_th"), "spans")
+    spans = spans.groupBy("id", "th").agg(F.collect_set("span").alias("spans")).select(F.col("id").alias("span_id"), F.col("th").alias("span_th"), "spans")
     both = rows.join(spans, F.col("id").eqNullSafe(F.col("span_id")) & (F.col("th") == F.col("span_th")), "left")
 
     @F.pandas_udf("kept string, n_words long, n_removed long")

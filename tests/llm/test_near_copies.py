@@ -98,19 +98,19 @@ def test_withheld_links_are_found_between_parts(spark):
 
 
 def test_share_of_the_alike_that_fingerprints_reach():
-    """Links by exact likeness that 12 of 64 bits leave out: few, most of them close to 0.8 (measured: 5 to 6 %)."""
+    """Nearly all links by exact likeness differ in ``ALIKE_TAU`` bits or fewer."""
     texts = sorted({r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' WHERE text IS NOT NULL").fetchall()})
     fps = np.array([simhash.simhash_text(t, 5) for t in texts], np.uint64)
     sets, hits, alike = {}, 0, 0
     for a in range(0, len(fps), 256):
         far = np.bitwise_count(fps[a : a + 256, None] ^ fps[None, :])
-        for i, j in zip(*np.nonzero(far <= 20), strict=True):
+        for i, j in zip(*np.nonzero(far <= 18), strict=True):
             if i + a < j:
                 x, y = (sets.setdefault(k, shingles(texts[k])) for k in (int(i + a), int(j)))
                 if 5 * len(x & y) >= 4 * len(x | y):
                     alike += 1
                     hits += far[i, j] <= simhash.ALIKE_TAU
-    assert alike > 40 and hits >= 0.9 * alike, (hits, alike)
+    assert alike > 40 and hits >= 0.97 * alike, (hits, alike)
 
 
 def test_stage_links_between_080_and_096(spark):

@@ -97,6 +97,7 @@ def test_language(spark, docs, odd, none):
     out = langid.with_language(docs, model).select("row.doc_id", "row.lang", "lang_pred", "score").collect()
     test = [r for r in out if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert np.mean([r.lang == r.lang_pred for r in test]) > 0.95 and all(0 <= r.score <= 1 for r in out)
+    assert np.mean([r.score >= model.floor for r in out if r.lang == r.lang_pred]) > 0.995
     labels = model.positions(np.frombuffer(b"theoneating", np.uint8)[:, None])
     assert labels.shape == (11, 1, len(model.languages)) and np.allclose(labels.sum(axis=-1), 1, atol=1e-5)
     got = {r.doc_id: r.lang_pred for r in langid.with_language(odd, model).select("row.doc_id", "lang_pred").collect() if r.doc_id}
@@ -105,21 +106,70 @@ def test_language(spark, docs, odd, none):
     assert {r.lang_pred for r in langid.with_language(odd, None).collect()} == {"und"}
 
 
+def slow_network(net, raw):
+    """Label probabilities of each byte of one sequence, unit by unit."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    w, n = net.weights, len(raw)
+    states = {}
+    for d in "fb":
+        hidden, h = len(w[f"U{d}"]), [0.0] * len(w[f"U{d}"])
+        for t in range(n) if d == "f" else reversed(range(n)):
+            gate = lambda j, h=h, d=d, t=t: (w[f"W{d}"][raw[t], j], sum(h[i] * w[f"U{d}"][i, j] for i in range(len(h))))
+            new = []
+            for j in range(hidden):
+                z, r = sigmoid(sum(gate(j))), sigmoid(sum(gate(hidden + j)))
+                x, u = gate(2 * hidden + j)
+                new.append(z * h[j] + (1 - z) * np.tanh(x + r * u))
+            h = states[d, t] = new
+    out = []
+    for t in range(n):
+        e = np.exp([w["c"][k] + sum(states[d, t][i] * w[f"O{d}"][i, k] for d in "fb" for i in range(len(states[d, t]))) for k in range(len(net.languages))])
+        out.append(e / e.sum())
+    return np.array(out)
+
+
+def test_network_against_loops():
+    net = langid.ByteGRU.fresh(["a", "b", "c"], 3, 2)
+    net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    raw = np.frombuffer("wörd one".encode(), np.uint8)
+    assert np.allclose(net.positions(raw[:, None])[:, 0], slow_network(net, raw))
+    # Windows of a long text: each letter once, labelled as in its own window, whatever word it stands in.
+    text = ("ab é, " * 60).encode()
+    want, counted = np.zeros(3), 0
+    for start in range(0, len(text), langid.STRIDE):
+        window = b"".join(text[k : k + 1] if 0 <= k < len(text) else b" " for k in range(start - langid.EDGE, start - langid.EDGE + langid.SPAN))
+        labels = slow_network(net, np.frombuffer(window, np.uint8))
+        for k in range(start, min(start + langid.STRIDE, len(text))):
+            if text[k] >= 128 or chr(text[k]).isalpha():
+                want, counted = want + labels[k - start + langid.EDGE], counted + 1
+    assert np.allclose(net.pooled([b"", text, b"1 2"]), [[0] * 3, want / counted, [0] * 3])
+    # What stands in another word changes a label: the state crosses blanks.
+    assert not np.allclose(net.positions(np.frombuffer(b"ab cd", np.uint8)[:, None])[-1], net.positions(np.frombuffer(b"xb cd", np.uint8)[:, None])[-1])
+
+
+def test_a_letter_is_never_undetermined(spark):
+    net = langid.ByteGRU.fresh(["a", "b"], 3, 1)
+    texts = ["." * 23 + "é", "." * 127 + "é", "语", "12 ½", "", None, "🙂"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.with_language(rows, net).select("row.doc_id", "lang_pred", "score").collect()}
+    assert [out[k][0] == "und" for k in range(7)] == [False, False, False, True, True, True, True] and all((s > 0) == (p != "und") for p, s in out.values())
+
+
 def test_network_gradients():
     net = langid.ByteGRU.fresh(["a", "b"], 3, 1)
     net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
     codes, target = np.array([[1, 2], [3, 1], [2, 2]]), np.array([0, 1])
     loss = lambda: -np.mean(np.log(net.positions(codes)[:, np.arange(2), target]))
     grads = net.gradients(codes, target)
-    for k in ("Wf", "Ub", "Ob", "c"):
-        spot = tuple(0 if k != "Wf" else 1 for _ in net.weights[k].shape)
-        kept, step = net.weights[k][spot], 1e-3
-        net.weights[k][spot] = kept + step
-        up = loss()
-        net.weights[k][spot] = kept - step
-        down = loss()
-        net.weights[k][spot] = kept
-        assert abs((up - down) / (2 * step) - grads[k][spot]) < 1e-3
+    for k, weight in net.weights.items():
+        for spot in np.ndindex(weight[:4].shape):
+            kept, step = weight[spot], 1e-5
+            weight[spot] = kept + step
+            up = loss()
+            weight[spot] = kept - step
+            down = loss()
+            weight[spot] = kept
+            assert abs((up - down) / (2 * step) - grads[k][spot]) < 1e-7
 
 
 def test_quality_against_brute_force(spark, docs, odd, none):
