@@ -31,15 +31,17 @@ def unescape(text: Column) -> Column:
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: str = "assistant") -> DataFrame:
     """``(conv_id, formatted, loss_spans)``, one row a conversation.
 
-    Turns are sorted by number (null first; equal numbers by role, then text) and adjacent turns of one role become one
-    block. ``loss_spans`` has ``(start, length)`` in code points of each text of the role ``learn`` in ``formatted``,
-    without marks. Null roles and texts are empty; rows with a null conversation are one conversation. An empty table
-    gives an empty result. Repeated rows are turns of their own.
+    Turns are sorted by number (null first; equal numbers by role, then text, as they were before escaping) and adjacent
+    turns of one role become one block. ``loss_spans`` has ``(start, length)`` in code points of each text of the role
+    ``learn`` in ``formatted``, without marks. Null roles and texts are empty. Rows with a null conversation belong to
+    none: each is one of its own, so however many there are they never meet. An empty table gives an empty result.
+    Repeated rows are turns of their own.
     """
     rows = plain(turns, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
-    turn = F.struct("turn", escape(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
-    sorted_turns = F.array_sort(F.collect_list(turn))
-    chats = rows.groupBy("conv_id").agg(sorted_turns.alias("turns"))
+    rows = rows.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    chats = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    chats = chats.unionByName(rows.where("conv_id IS NULL").select("conv_id", F.array("t").alias("turns")))
+    chats = chats.select("conv_id", F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"))).alias("turns"))
 
     # A turn with the marks before it; adjacent turns of a role share a block.
     def marked(t: Column, i: Column) -> Column:

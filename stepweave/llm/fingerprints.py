@@ -93,22 +93,26 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Fingerprints of each text and of its edit: the last third replaced by the start of the next document.
 
     ``(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``. Null texts are empty. Of
-    rows that share an id the one with the greatest text stands for it, so ids are distinct in the result; a null id is
-    the last. The only document is its own next. An empty table gives an empty result. Very long texts need memory for
-    their own hashes only.
+    rows that share an id the longest text stands for it (of equally long ones the one of the greatest hash), so ids are
+    distinct in the result; a null id is the last. The only document is its own next. An empty table gives an empty
+    result. Very long texts need memory for their own hashes only.
     """
     rows = plain(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
     lengths = rows.groupBy("id").agg(F.max(F.length("text")).alias("n"))
     return _edited(rows, next_documents(lengths), bins, shingle)
 
 
+def _key(id_: Column) -> Column:
+    """The id as a string that is never null, so that joins on it keep the partitioning of groups by it."""
+    return F.coalesce(F.concat(F.lit("i"), id_.cast("string")), F.lit(""))
+
+
 def _edited(rows: DataFrame, following: DataFrame, bins: int, shingle: int) -> DataFrame:
-    printed = rows.select("id", "text", fingerprint(F.col("text"), bins, shingle).alias("fingerprint"))
-    before = following.select(F.col("next_id").alias("key"), F.col("id").alias("prev_id"), F.floor(F.col("n") / 3).cast("int").alias("wanted"))
-    joined = printed.join(before, F.col("id").eqNullSafe(F.col("key")))
-    mine = joined.select("id", "text", "fingerprint")
-    lent = joined.select("prev_id", F.left("text", F.col("wanted")).alias("lent"), F.col("fingerprint").alias("next_print"))
-    both = mine.join(lent, F.col("id").eqNullSafe(F.col("prev_id")))
+    printed = rows.select(_key(F.col("id")).alias("key"), F.struct("id", "text", fingerprint(F.col("text"), bins, shingle).alias("fingerprint")).alias("row"))
+    one = printed.groupBy("key").agg(F.max_by("row", F.struct(F.length("row.text"), F.xxhash64("row.text"))).alias("row")).select("key", "row.*")
+    before = following.select(_key(F.col("next_id")).alias("key"), _key(F.col("id")).alias("prev"), F.floor(F.col("n") / 3).cast("int").alias("wanted"))
+    lent = one.join(before, "key").select(F.col("prev").alias("key"), F.left("text", F.col("wanted")).alias("lent"), F.col("fingerprint").alias("next_print"))
+    both = one.join(lent, "key")
     n = F.length("text")
     both = both.withColumn("edited", F.concat(F.left("text", (n - F.floor(n / 3)).cast("int")), "lent"))
     out = both.select("id", n.cast("long").alias("n_chars"), sha256_hex(F.col("edited")).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited"), bins, shingle).alias("edited_fingerprint"), "next_print")

@@ -109,12 +109,12 @@ WITH turns AS (
 sized AS (
   SELECT *, length(replace(replace(replace(text, '\', '\e'), '<', '\l'), '|', '\p')) AS text_chars,
     length(replace(replace(replace(role, '\', '\e'), '<', '\l'), '|', '\p')) AS role_chars,
-    lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
   FROM turns)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   (7 + sum(text_chars + CASE WHEN before IS NULL THEN 4 + role_chars WHEN before = role THEN 5 ELSE 11 + role_chars END))::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """

@@ -65,6 +65,38 @@ def test_fingerprints_odd(odd, none):
     assert fingerprints.edited_pairs(alone).first().near_next == 1.0
 
 
+def test_fingerprints_of_repeated_ids(spark):
+    rows = [(1, "a b c"), (1, "a longer text of this id"), (2, "the second one"), (3, "x y z"), (3, "x y z"), (None, "no id at all"), (None, None)]
+    out = {r.id: r for r in fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.count() == len(out) == 4
+    stands = {3: "x y z", 2: "the second one", 1: "a longer text of this id", None: "no id at all"}
+    for k, i in enumerate(stands):
+        text, after = stands[i], list(stands.values())[(k + 1) % 4]
+        n = len(text) // 3
+        assert out[i].n_chars == len(text) and out[i].edited_sha256 == hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest()
+
+
+def test_packing_against_the_naive_choice(spark):
+    """Every item, largest first, into the fullest bin that takes it; bins looked through one by one."""
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(["w"] * int(rng.integers(1, 60))), f"s{rng.integers(4)}", str(rng.integers(60))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, cluster string")
+    got = {r.id: (r.bin, r.start) for r in packing.pack(df, cluster_col="cluster", capacity=100, source_slots=2, shard_rows=10_000).collect()}
+    items = [(len(t.split()), i, s, c) for i, t, s, c in rows]
+    bins, want = [], {}
+    for size, i, s, c in sorted(items, key=lambda x: (-x[0], x[1])):
+        open_ = [(100 - b["used"], k) for k, b in enumerate(bins) if 100 - b["used"] >= size and b["sources"][s] < 2 and c not in b["clusters"]]
+        k = min(open_)[1] if open_ else len(bins)
+        if k == len(bins):
+            bins.append({"used": 0, "sources": Counter(), "clusters": set()})
+        want[i] = (k, bins[k]["used"])
+        bins[k]["used"] += size
+        bins[k]["sources"][s] += 1
+        bins[k]["clusters"].add(c)
+    assert got == want
+
+
 def test_packing(docs, odd, none):
     for df, capacity in ((docs, 512), (odd, 1000)):
         out = packing.pack(df, capacity=capacity, source_slots=2, shard_rows=64).collect()
@@ -350,6 +382,14 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_chat_ties_go_by_the_raw_text(spark):
+    rows = [(1, 3, "user", t) for t in ("A", "<", "|", "\\", "a")] + [(1, None, "user", "none"), (None, 1, "user", "x"), (None, 1, "user", "x"), (None, 2, "b", None)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    out = out.select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()
+    assert [t.text for r in out if r.conv_id == 1 for t in r.t] == ["none", *sorted(["A", "<", "|", "\\", "a"])]
+    assert sorted((t.role, t.text) for r in out if r.conv_id is None for t in r.t) == [("b", ""), ("user", "x"), ("user", "x")] and len(out) == 4
+
+
 def test_chat_merges_and_is_native(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")], "conv_id long, turn long, role string, text string")
     out = chat.format_chats(turns)
