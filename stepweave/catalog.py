@@ -29,7 +29,7 @@ def demo_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     edge = lambda a, b, kind: (a.alias("source_id"), b.alias("target_id"), F.lit(kind).alias("edge_type"))
     n, s = F.col("n_nationkey"), F.col("s_suppkey")
     nodes = region.select(*node(rid(F.col("r_regionkey")), "canonical", F.col("r_name"))).unionByName(nation.select(*node(nid(n), "transformation", F.col("n_name")))).unionByName(supplier.select(*node(sid(s), "technical", F.col("s_name"))))
-    columns = _t(spark, d, "lineitem").where("l_partkey <= 50").select("l_suppkey", "l_partkey").distinct()
+    columns = _t(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
     edges = nation.select(*edge(rid(F.col("n_regionkey")), nid(n), graph.C2T)).unionByName(nation.select(*edge(nid(n), nid((n * 7 + 3) % 25), graph.T2T)))
     edges = edges.unionByName(supplier.select(*edge(nid(F.col("s_nationkey")), sid(s), graph.T2TECH)))
     edges = edges.unionByName(columns.select(*edge(sid(F.col("l_suppkey")), F.concat(F.lit("col:"), F.col("l_partkey").cast("string")), graph.TAB2COL)))
@@ -45,7 +45,7 @@ edges AS (
   SELECT 'canonical:' || n_regionkey AS source_id, 'transform:' || n_nationkey AS target_id, '{graph.C2T}' AS edge_type FROM nation
   UNION ALL SELECT 'transform:' || n_nationkey, 'transform:' || ((n_nationkey * 7 + 3) % 25), '{graph.T2T}' FROM nation
   UNION ALL SELECT 'transform:' || s_nationkey, 'tech:' || s_suppkey, '{graph.T2TECH}' FROM supplier
-  UNION ALL SELECT DISTINCT 'tech:' || l_suppkey, 'col:' || l_partkey, '{graph.TAB2COL}' FROM lineitem WHERE l_partkey <= 50),
+  UNION ALL SELECT DISTINCT 'tech:' || l_suppkey, 'col:' || l_partkey, '{graph.TAB2COL}' FROM lineitem),
 walk(root, node_id) AS (
   SELECT node_id, node_id FROM nodes WHERE layer = 'canonical'
   UNION SELECT w.root, e.target_id FROM walk w JOIN edges e ON e.source_id = w.node_id WHERE e.edge_type <> '{graph.TAB2COL}'),
@@ -258,28 +258,38 @@ def q_steward_by_pattern(spark, d):
 # Texts
 
 
-@_query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])inable($|[^a-z0-9])')")
+@_query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])license($|[^a-z0-9])')")
 def q_token_mention(spark, d):
-    return _t(spark, d, "documents").where(tx.mentions(F.col("text"), "inable")).select("doc_id")
+    return _t(spark, d, "documents").where(tx.mentions(F.col("text"), "license")).select("doc_id")
 
 
-@_query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'license')")
+@_query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])the($|[^a-z0-9])') AND regexp_matches(lower(text), '(^|[^a-z0-9])license($|[^a-z0-9])')")
 def q_all_tokens(spark, d):
     return _t(spark, d, "documents").where(tx.mentions_all(F.col("text"), "The License")).select("doc_id")
 
 
-_FOUND = [f"list_distinct(regexp_extract_all(coalesce(text, ''), '{p}', 0)) AS r{k}" for k, (_, p) in enumerate(tx.PRIVACY_RULES)]
-_FREE = " UNION ALL ".join(
-    f"SELECT doc_id AS id, '{rule}' AS rule, unnest(list_filter(r{k}, lambda m: NOT list_bool_or(list_concat([false], list_transform({'list_concat(' + ', '.join(f'r{j}' for j in range(k)) + ')' if k > 1 else 'r0' if k else '[]::VARCHAR[]'}, lambda c: contains(c, m)))))) AS matched_text FROM found"
-    for k, (rule, _) in enumerate(tx.PRIVACY_RULES)
-)
+def _scan_sql() -> str:
+    """Each rule reads the text in which the spans of the earlier ones are masked."""
+    text, parts = "coalesce(text, '')", []
+    for rule, pattern in tx.PRIVACY_RULES:
+        parts.append(f"SELECT doc_id AS id, '{rule}' AS rule, unnest(list_distinct(regexp_extract_all({text}, '{pattern}', 0))) AS matched_text FROM documents")
+        text = f"regexp_replace({text}, '{pattern}', '{tx.CLAIMED}', 'g')"
+    return " UNION ALL ".join(parts)
 
 
-@_query(f"WITH found AS (SELECT doc_id, {', '.join(_FOUND)} FROM documents) {_FREE}")
+@_query(_scan_sql())
 def q_privacy_scan(spark, d):
     return tx.privacy_findings(_t(spark, d, "documents"), "doc_id", "text")
 
 
+@_query(f"""WITH f AS ({_scan_sql()}), g AS (SELECT id, list(rule || chr(1) || matched_text ORDER BY length(matched_text) DESC, rule, matched_text) AS found FROM f GROUP BY 1)
+SELECT doc_id, sha256(CASE WHEN found IS NULL THEN text ELSE list_reduce(list_concat([text], found), lambda t, x: replace(t, split_part(x, chr(1), 2), '<' || split_part(x, chr(1), 1) || '>')) END) AS redacted
+FROM documents LEFT JOIN g ON id = doc_id WHERE text IS NOT NULL""")
+def q_privacy_redact_literals(spark, d):
+    docs = _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    return tx.redacted(docs, tx.privacy_findings(docs, "doc_id", "text"), "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("redacted"))
+
+
 def _redact_sql(text: str) -> str:
     for rule, pattern in tx.PRIVACY_RULES:
         text = f"regexp_replace({text}, '{pattern}', '<{rule}>', 'g')"
@@ -295,19 +305,21 @@ def q_privacy_redact(spark, d):
 # Search
 
 
-@_query("""WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id = 3),
-s AS (SELECT e.vec_id, round(list_dot_product(list_transform(e.embedding, lambda x: x::DOUBLE), q.v) / sqrt(list_dot_product(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(e.embedding, lambda x: x::DOUBLE))) / sqrt(list_dot_product(q.v, q.v)), 6) AS closeness FROM embeddings e, q)
-SELECT vec_id, closeness, (SELECT count(*) FROM s WHERE closeness >= 0.1) AS total_matches FROM s WHERE closeness >= 0.1 ORDER BY closeness DESC, vec_id LIMIT 8""")
+SEARCH_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(e.v, q.v) / sqrt(list_dot_product(e.v, e.v)) / sqrt(list_dot_product(q.v, q.v)) AS closeness FROM v e, v q WHERE q.vec_id % 20 = 0),
+near AS (SELECT query_id, vec_id, round(closeness, 6) AS closeness FROM s WHERE closeness >= {least})
+SELECT query_id, vec_id, closeness, count(*) OVER (PARTITION BY query_id) AS total_matches FROM near
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC, vec_id) <= 8"""
+
+
+@_query(SEARCH_SQL.format(least=0.35))
 def q_semantic_search(spark, d):
+    """At the threshold below which a search refuses to answer."""
     e = _t(spark, d, "embeddings")
-    query = e.where("vec_id = 3").first()["embedding"]
-    return search.similar(e, query, "embedding", "vec_id", 0.1, 8).select("vec_id", "closeness", "total_matches")
+    return search.similar_to_each(e, e.where("vec_id % 20 = 0"), "embedding", "vec_id", 0.35, 8)
 
 
-@_query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.v, q.v) / sqrt(list_dot_product(e.v, e.v)) / sqrt(list_dot_product(q.v, q.v)), 6) AS closeness FROM v e, v q WHERE q.vec_id % 20 = 0)
-SELECT query_id, vec_id, closeness, count(*) OVER (PARTITION BY query_id) AS total_matches FROM s WHERE closeness >= 0.1
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC, vec_id) <= 8""")
+@_query(SEARCH_SQL.format(least=0.1))
 def q_semantic_searches(spark, d):
     e = _t(spark, d, "embeddings")
     return search.similar_to_each(e, e.where("vec_id % 20 = 0"), "embedding", "vec_id", 0.1, 8)
@@ -332,14 +344,14 @@ def q_field_diff(spark, d):
     return compare.field_diff(_t(spark, d, "orders"), "o_custkey", "o_orderstatus")
 
 
-@_query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'a' WHEN a.k IS NULL THEN 'b' ELSE 'both' END AS side FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_partkey <= 20) a FULL JOIN (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_partkey BETWEEN 15 AND 40) b ON a.k = b.k")
+@_query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'a' WHEN a.k IS NULL THEN 'b' ELSE 'both' END AS side FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40) a FULL JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40) b ON a.k = b.k")
 def q_set_sides(spark, d):
-    rows = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), "l_partkey")
-    return compare.set_sides(rows.where("l_partkey <= 20"), rows.where("l_partkey BETWEEN 15 AND 40"), ["k"])
+    rows = _t(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("k"), "l_returnflag")
+    return compare.set_sides(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'"), ["k"])
 
 
 @_query("""WITH t AS (SELECT s_nationkey AS g, s_suppkey % 40 AS n, 's' || s_suppkey AS target FROM supplier), f AS (SELECT g, n, min(target) AS target FROM t GROUP BY 1, 2), b AS (SELECT n, min(target) AS target, count(DISTINCT target) AS many FROM t GROUP BY 1)
-SELECT c_custkey, coalesce(f.target, CASE WHEN b.many = 1 THEN b.target END) AS target, CASE WHEN f.target IS NOT NULL THEN 'qualified' WHEN b.many = 1 THEN 'bare' WHEN b.many > 1 THEN 'ambiguous' ELSE 'unresolved' END AS how
+SELECT c_custkey, coalesce(f.target, b.target) AS target, CASE WHEN f.target IS NOT NULL THEN 'qualified' WHEN b.many = 1 THEN 'bare' WHEN b.many > 1 THEN 'ambiguous' ELSE 'unresolved' END AS how
 FROM customer LEFT JOIN f ON f.g = c_nationkey AND f.n = c_custkey % 60 LEFT JOIN b ON b.n = c_custkey % 60""")
 def q_tiered_resolution(spark, d):
     targets = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("g"), (F.col("s_suppkey") % 40).alias("n"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("target"))
@@ -390,10 +402,10 @@ def q_replan(spark, d):
     return algebra.replan(reads.where("table = 3").select("table").distinct(), reads, writes)
 
 
-@_query("WITH n AS (SELECT DISTINCT conv_id, role, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS number FROM conversations) SELECT conv_id, number FROM n WHERE role = 'assistant' EXCEPT SELECT conv_id, number FROM n WHERE role = 'user'")
+@_query("WITH n AS (SELECT DISTINCT source, lang, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS number FROM documents) SELECT source, number FROM n WHERE lang = 'en' EXCEPT SELECT source, number FROM n WHERE lang = 'de'")
 def q_ungrounded_numbers(spark, d):
-    c = _t(spark, d, "conversations")
-    return algebra.ungrounded_numbers(c.where("role = 'assistant'"), c.where("role = 'user'"), "conv_id", "text")
+    docs = _t(spark, d, "documents")
+    return algebra.ungrounded_numbers(docs.where("lang = 'en'"), docs.where("lang = 'de'"), "source", "text")
 
 
 @_query("SELECT doc_id, score FROM (SELECT doc_id, contains(lower(text), 'the')::INTEGER + contains(lower(text), 'license')::INTEGER + contains(lower(text), 'data')::INTEGER AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
@@ -485,10 +497,10 @@ def q_cover_gaps(spark, d):
     return records.cover_gaps(c.where("c_custkey % 10 <> 0"), c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0"), "c_custkey")
 
 
-@_query("SELECT source, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents c WHERE c.lang = 'de' AND c.source = d.source AND c.doc_id < 100) GROUP BY 1")
+@_query("SELECT source, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents c WHERE c.lang = 'de' AND c.source = d.source AND c.n_chars > 8000) GROUP BY 1")
 def q_undeclared(spark, d):
     docs = _t(spark, d, "documents")
-    return records.undeclared(docs, "source", docs.where("lang = 'de' AND doc_id < 100"))
+    return records.undeclared(docs, "source", docs.where("lang = 'de' AND n_chars > 8000"))
 
 
 @_query("WITH e AS (SELECT event_type, ts::DATE AS run, user_id % 10 AS code FROM events) SELECT event_type, code, count(*) AS n FROM e WHERE run = (SELECT max(run) FROM e f WHERE f.event_type = e.event_type) GROUP BY 1, 2")
@@ -553,6 +565,9 @@ def q_revenue_by_region(spark, d):
     return joined.groupBy("r_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
+from stepweave import catalog_governance  # noqa: E402, F401  (its queries register themselves here)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

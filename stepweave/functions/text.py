@@ -27,9 +27,10 @@ def mentions(text: Column, token: str) -> Column:
 
 
 def mentions_all(text: Column, phrase: str) -> Column:
+    """Whether every word of a phrase stands in a text as a whole word, in any order."""
     out = F.lit(True)
     for token in phrase.split():
-        out = out & F.contains(F.lower(text), F.lit(token.lower()))
+        out = out & mentions(text, token)
     return out
 
 
@@ -42,19 +43,36 @@ def object_identity(sql: Column) -> Column:
     return F.when(name != "", found)
 
 
+#: Stands for text that an earlier rule has claimed.
+CLAIMED = "\ufffc"
+
+
 def privacy_findings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, rule, matched_text)``: distinct matches of each rule; a match lying in an earlier rule's match is dropped."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = df.select(F.col(id_col).alias("id"), *(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias(rule) for rule, pattern in PRIVACY_RULES))
+    """``(id, rule, matched_text)``: distinct matches of each rule, outside the spans that earlier rules claim."""
+    rows, found = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), []
+
+    def labelled(rule: str) -> Column:
+        return F.transform(rule, lambda m: F.struct(F.lit(rule).alias("rule"), m.alias("matched_text")))
+
+    for rule, pattern in PRIVACY_RULES:
+        rows = rows.withColumn(rule, F.array_distinct(F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))))
+        rows = rows.withColumn("_text", F.regexp_replace("_text", pattern, CLAIMED))
+        found.append(labelled(rule))
+    return rows.select("id", F.explode(F.concat(*found)).alias("f")).select("id", "f.rule", "f.matched_text")
+
+
+def finding_id(owner: Column, rule: Column, matched: Column) -> Column:
+    """Sixteen hex digits that name a finding in every run."""
+    return F.left(F.sha2(F.concat_ws("|", owner.cast("string"), rule, matched), 256), F.lit(16))
 
-    def unclaimed(rule: str, earlier: Column) -> Column:
-        free = F.filter(F.col(rule), lambda m: ~F.exists(earlier, lambda c: F.contains(c, m)))
-        return F.transform(free, lambda m: F.struct(F.lit(rule).alias("rule"), m.alias("matched_text")))
 
-    names = [rule for rule, _ in PRIVACY_RULES]
-    nothing = F.array().cast("array<string>")
-    parts = [unclaimed(rule, F.concat(nothing, *(F.col(r) for r in names[:k]))) for k, rule in enumerate(names)]
-    return found.select("id", F.explode(F.concat(*parts)).alias("f")).select("id", "f.rule", "f.matched_text")
+def redacted(df: DataFrame, findings: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows with every literal found in them masked everywhere, the longest first (ties by rule and text)."""
+    order = F.struct((-F.length("matched_text")).alias("o"), "rule", "matched_text")
+    held = findings.groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_set(order)).alias("_found"))
+    masked = F.aggregate("_found", F.col(text_col), lambda t, f: F.replace(t, f["matched_text"], F.concat(F.lit("<"), f["rule"], F.lit(">"))))
+    out = df.join(held, df[id_col] == F.col("_id"), "left")
+    return out.withColumn(text_col, F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(masked)).drop("_id", "_found")
 
 
 def redact(text: Column) -> Column:
@@ -62,3 +80,83 @@ def redact(text: Column) -> Column:
     for rule, pattern in PRIVACY_RULES:
         text = F.regexp_replace(text, pattern, f"<{rule}>")
     return text
+
+
+def plain_whitespace(sql: Column) -> Column:
+    """Marks and odd blanks become plain ones, runs one blank; lines are trimmed and empty ones dropped."""
+    text = F.regexp_replace(sql, "[\ufeff\u200b]", "")
+    text = F.regexp_replace(F.regexp_replace(text, "\r\n?|\u000b|\u000c", "\n"), "[ \t\u00a0]+", " ")
+    return F.regexp_replace(F.regexp_replace(text, " ?\n[ \n]*", "\n"), "^[ \n]+|[ \n]+$", "")
+
+
+#: What a parser's message says, in the order in which it is looked for, and the category. Fixed values.
+ERROR_WORDS = (("dynamic", "dynamic_sql"), ("timeout", "timeout"), ("unexpected", "syntax"), ("syntax", "syntax"), ("not found", "missing_object"), ("unsupported", "unsupported"))
+
+
+def error_category(message: Column) -> Column:
+    out = F.when(F.trim(F.coalesce(message, F.lit(""))) == "", "none")
+    for words, category in ERROR_WORDS:
+        out = out.when(F.contains(F.lower(message), F.lit(words)), category)
+    return out.otherwise("other")
+
+
+def exec_target(sql: Column) -> Column:
+    """``(schema, name)`` that an EXEC names, brackets or not; the schema is dbo if none is given; null without one."""
+    head = r"(?i)\bexec(?:ute)?\s+(?:\[?\w+\]?\.)??(?:\[?(\w+)\]?\.)?\[?(\w+)\]?(?:[\s;]|$)"
+    schema, name = F.regexp_extract(sql, head, 1), F.regexp_extract(sql, head, 2)
+    return F.when(name != "", F.struct(F.when(schema == "", "dbo").otherwise(schema).alias("schema"), name.alias("name")))
+
+
+def column_refs(expression: Column) -> Column:
+    """Distinct ``table.column`` of the references ``'table'[column]`` and ``table[column]`` of a measure, sorted."""
+    whole = F.regexp_extract_all(expression, F.lit(r"'[^']+'\[[^\]]+\]|\b\w+\[[^\]]+\]"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(whole, lambda m: F.replace(F.replace(F.replace(m, F.lit("'"), F.lit("")), F.lit("["), F.lit(".")), F.lit("]"), F.lit("")))))
+
+
+def table_refs(sql: Column, keywords: tuple[str, ...] = ("select", "where", "openjson")) -> Column:
+    """Rough table names after FROM and JOIN, upper case and sorted; keywords and temporary tables left out."""
+    names = F.transform(F.regexp_extract_all(sql, F.lit(r"(?i)\b(?:from|join)\s+([#\w.\[\]]+)"), F.lit(1)), lambda m: F.upper(F.regexp_replace(m, r"[\[\]]", "")))
+    return F.array_sort(F.array_distinct(F.filter(names, lambda m: (m != "") & ~m.startswith("#") & ~F.lower(m).isin(*keywords))))
+
+
+def sanitised(token: Column, most: int = 120) -> Column:
+    """A search token: quotes are blanks, blanks run together, ``most`` characters at the most."""
+    return F.substr(F.trim(F.regexp_replace(token, "[\"'`\\s]+", " ")), F.lit(1), F.lit(most))
+
+
+def titled(name: Column) -> Column:
+    """A name for people: underscores and hyphens are blanks, words capitalised."""
+    return F.initcap(F.trim(F.regexp_replace(name, "[_-]+", " ")))
+
+
+def anonymised(text: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """A text with ordered replacements ``(kind, from, to)``: whole words case aside, whole numbers, or literally."""
+    for kind, old, new in rules:
+        safe = "".join(c if c.isalnum() else "\\" + c for c in old)
+        if kind == "word":
+            text = F.regexp_replace(text, rf"(?i)\b{safe}\b", new)
+        elif kind == "number":
+            text = F.regexp_replace(text, rf"(?<![0-9]){safe}(?![0-9])", new)
+        else:
+            text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def leaks(df: DataFrame, id_col: str, text_col: str, terms: list[str], around: int = 30) -> DataFrame:
+    """``(id, term, context)``: forbidden terms left in texts, case aside, at their first place with what stands around it."""
+    listed = F.array(*(F.lit(t.lower()) for t in terms)).cast("array<string>")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), F.explode(F.filter(listed, lambda t: F.contains(F.lower(text_col), t))).alias("term"))
+    at = F.instr(F.lower("_t"), F.col("term"))
+    start = F.greatest(F.lit(1), at - around)
+    return rows.select("id", "term", F.substr("_t", start, at - start + F.length("term") + around).alias("context"))
+
+
+def date_token(token: Column, today: str) -> Column:
+    """Dates by token: T today, MB and ME the month's begin and end, YB and YE the year's, each with days added or taken off
+    (``T-7``); other tokens are read as dates, and what is none is today."""
+    day = F.lit(today).cast("date")
+    head, tail = F.upper(F.regexp_extract(token, r"^\s*([A-Za-z]+)\s*([+-]\s*[0-9]+)?\s*$", 1)), F.regexp_extract(token, r"^\s*([A-Za-z]+)\s*([+-]\s*[0-9]+)?\s*$", 2)
+    days = F.coalesce(F.try_to_number(F.nullif(F.regexp_replace(tail, r"[\s+]", ""), F.lit("")), F.lit("S999999999")).cast("int"), F.lit(0))
+    base = F.when(head == "T", day).when(head == "MB", F.trunc(day, "month")).when(head == "ME", F.last_day(day)).when(head == "YB", F.trunc(day, "year"))
+    base = base.when(head == "YE", F.date_sub(F.add_months(F.trunc(day, "year"), 12), 1))
+    return F.coalesce(F.date_add(base, days), F.try_to_timestamp(token).cast("date"), day)

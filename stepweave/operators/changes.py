@@ -19,8 +19,15 @@ def change_data(before: DataFrame, now: DataFrame, key: str, digest: str) -> Dat
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of ``current`` replaced or joined by those of ``changes`` with the same key."""
-    return current.join(changes.select(key), key, "left_anti").unionByName(changes)
+    """Rows of ``current`` replaced or joined by those of ``changes`` with the same key; null is a key like others.
+
+    Several changes of one key raise, as it is open which of them counts.
+    """
+    twice = changes.groupBy(key).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"several changes of {twice[0][0]!r}")
+    known = changes.select(F.col(key).alias("_key"))
+    return current.join(known, F.col(key).eqNullSafe(F.col("_key")), "left_anti").unionByName(changes)
 
 
 def error_status(current: DataFrame, previous: DataFrame, passed_before: DataFrame, key: str) -> DataFrame:
@@ -49,7 +56,11 @@ def occurrence_names(df: DataFrame, keys: list[str], name: str, order: list) ->
 
 
 def freshness(now: DataFrame, previous: DataFrame, key: str, logic: str, run_at: str) -> DataFrame:
-    """``(key, logic_last_changed_at)``: carried from the previous run where the logic is equal, else this run's time."""
-    old = previous.select(F.col(key).alias("_k"), F.col(logic).alias("_l"), F.col("logic_last_changed_at").alias("_at"))
+    """``(key, logic_last_changed_at)``: carried from the previous run where the logic is equal, else this run's time.
+
+    Of several previous rows of a key the last changed counts.
+    """
+    latest = F.max_by(F.struct(F.col(logic).alias("_l"), F.col("logic_last_changed_at").alias("_at")), F.struct("logic_last_changed_at", logic))
+    old = previous.groupBy(F.col(key).alias("_k")).agg(latest.alias("_p")).select("_k", "_p.*")
     same = F.col(logic).eqNullSafe(F.col("_l")) & F.col("_k").isNotNull()
     return now.join(old, F.col(key) == F.col("_k"), "left").select(key, F.when(same, F.col("_at")).otherwise(F.lit(run_at)).alias("logic_last_changed_at"))

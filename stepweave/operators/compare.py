@@ -37,14 +37,14 @@ def set_sides(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def resolve(refs: DataFrame, targets: DataFrame, group: str, name: str) -> DataFrame:
     """``refs`` with ``target`` and ``how``: qualified, bare (if that name is one target's), ambiguous or unresolved.
 
-    ``targets`` has ``group``, ``name`` and ``target``; of several targets of a qualified name the least counts. Every
-    reference comes out once.
+    ``targets`` has ``group``, ``name`` and ``target``; of several targets of a name, qualified or not, the least counts,
+    which ``ambiguous`` says of a bare one. Every reference comes out once.
     """
     full = targets.groupBy(F.col(group).alias("_g"), F.col(name).alias("_n")).agg(F.min("target").alias("_full"))
     bare = targets.groupBy(F.col(name).alias("_b")).agg(F.min("target").alias("_one"), F.countDistinct("target").alias("_many"))
     out = refs.join(full, (F.col(group) == F.col("_g")) & (F.col(name) == F.col("_n")), "left").join(bare, F.col(name) == F.col("_b"), "left")
     how = F.when(F.col("_full").isNotNull(), "qualified").when(F.col("_many") == 1, "bare").when(F.col("_many") > 1, "ambiguous").otherwise("unresolved")
-    target = F.coalesce("_full", F.when(F.col("_many") == 1, F.col("_one")))
+    target = F.coalesce("_full", "_one")
     return out.select(*(F.col(c) for c in refs.columns), target.alias("target"), how.alias("how"))
 
 
@@ -53,8 +53,10 @@ def align_steps(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
 
     Both sides have ``(step, name, content, tables)``, ``step`` unique and not null. Steps pair by name (case aside),
     then, among those left, by content, then by the overlap of their tables (Jaccard, ``least`` or more), best first,
-    ties by step. Equal names and contents pair in order of step. Overlap pairs come from a join on shared tables; best
-    first is reached by rounds that take all pairs that are the best of both their steps.
+    ties by step. Equal names and contents pair in order of step. Two sets at ``least`` or more share one of the rarest
+    tables of each (all but ``least`` of them, rounded up, and one more), so steps are joined on those and tables that
+    nearly all read make no pairs; candidates are measured whole. Best first is reached by rounds that take all pairs
+    that are the best of both their steps.
     """
     matched = None
     left, right = a.select("step", "name", "content", "tables"), b.select("step", "name", "content", "tables")
@@ -64,9 +66,18 @@ def align_steps(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
         pairs = settled(sides[0].join(sides[1], ["_k", "_i"]).select("a", "b", F.lit(how).alias("matched_by")))
         matched = pairs if matched is None else matched.unionByName(pairs)
         left, right = (x.join(pairs.select(F.col(s).alias("step")), "step", "left_anti") for x, s in ((left, "a"), (right, "b")))
-    flat = [x.select(F.col("step").alias(s), F.size(F.array_distinct("tables")).alias(f"n_{s}"), F.explode(F.array_distinct("tables")).alias("table")) for x, s in ((left, "a"), (right, "b"))]
-    shared = flat[0].join(flat[1], "table").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("n"))
-    open_pairs = settled(shared.withColumn("score", F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n"))).where(F.col("score") >= least).select("a", "b", "score"))
+    sets = [x.select(F.col("step").alias(s), F.array_distinct("tables").alias(f"t_{s}")).where(F.size(f"t_{s}") > 0) for x, s in ((left, "a"), (right, "b"))]
+    flat = [x.select(s, F.size(f"t_{s}").alias("n"), F.explode(f"t_{s}").alias("table")) for x, s in zip(sets, "ab", strict=True)]
+    often = flat[0].select("table").unionByName(flat[1].select("table")).groupBy("table").agg(F.count("*").alias("often"))
+
+    def rare(rows: DataFrame, s: str) -> DataFrame:
+        ranked = rows.join(often, "table").withColumn("_r", F.row_number().over(Window.partitionBy(s).orderBy("often", "table")))
+        return ranked.where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(s, "table")
+
+    pairs = rare(flat[0], "a").join(rare(flat[1], "b"), "table").select("a", "b").distinct().join(sets[0], "a").join(sets[1], "b")
+    n = F.size(F.array_intersect("t_a", "t_b"))
+    score = n / (F.size("t_a") + F.size("t_b") - n)
+    open_pairs = settled(pairs.withColumn("score", score).where(F.col("score") >= least).select("a", "b", "score"))
     while not open_pairs.isEmpty():
         rank = lambda s: F.row_number().over(Window.partitionBy(s).orderBy(F.desc("score"), "a", "b"))
         best = settled(open_pairs.withColumn("_ra", rank("a")).withColumn("_rb", rank("b")).where("_ra = 1 AND _rb = 1").select("a", "b"))

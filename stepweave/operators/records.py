@@ -29,6 +29,12 @@ def dictionary_coverage(refs: DataFrame, known: DataFrame, key: str) -> DataFram
     return rows.agg(F.count("*").alias("total"), F.count("_hit").alias("covered"), F.coalesce(F.count("_hit") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("fraction"))
 
 
+def grounded_fraction(refs: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``(fraction)`` of the distinct references that the dictionary knows; where there is nothing to ground it is 1."""
+    found = dictionary_coverage(refs, known, key)
+    return found.select(F.when(F.col("total") == 0, 1.0).otherwise(F.col("fraction")).alias("fraction"))
+
+
 def leaf_grounding(refs: DataFrame, known: DataFrame, owner: str, leaf: str) -> DataFrame:
     """``(owner, leaves, missing, verdict)``: distinct leaves of each owner and how many of them no dictionary holds."""
     rows = refs.select(owner, leaf).where(F.col(leaf).isNotNull()).distinct().join(known.select(leaf).distinct().withColumn("_hit", F.lit(1)), leaf, "left")

@@ -23,7 +23,8 @@ def similar(catalog: DataFrame, query: list[float], vector: str, id_col: str, th
     above the threshold are sorted.
     """
     q = F.array(*(F.lit(float(x)) for x in query))
-    near = catalog.withColumn("closeness", F.round(cosine(F.col(vector), q), 6)).where(F.col("closeness") >= threshold)
+    near = catalog.withColumn("closeness", cosine(F.col(vector), q)).where(F.col("closeness") >= threshold)
+    near = near.withColumn("closeness", F.round("closeness", 6))
     total = near.agg(F.count("*").alias("total_matches"))
     return near.orderBy(F.desc("closeness"), id_col).limit(k).crossJoin(total)  # one row
 
@@ -57,9 +58,10 @@ def similar_to_each(catalog: DataFrame, queries: DataFrame, vector: str, id_col:
                 continue
             x, y = (np.array([vectors[j] for j in at], dtype=np.float64) for at in (q, r))
             with np.errstate(all="ignore"):
-                close = np.round((x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]), 6)
+                close = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
             for row, at in zip(close, q, strict=True):
-                hit = np.flatnonzero(row >= threshold)
+                hit = np.flatnonzero(row >= threshold)  # by the raw value; ties are of rounded ones
+                row = np.round(row, 6)
                 best = hit[np.lexsort((order[r[hit]], -row[hit]))[:k]]
                 for place, j in enumerate(best):
                     for name, value in zip("qicn", (at, r[j], row[j], len(hit) if place == 0 else 0), strict=True):

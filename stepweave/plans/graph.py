@@ -48,7 +48,13 @@ def uses_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(metric_id, table_id)``: each metric and the distinct tables it ultimately reads."""
     roots = nodes.where("layer = 'canonical'").select(F.col("node_id").alias("root"))
     tables = nodes.where("layer = 'technical'").select("node_id")
-    return reachable(roots, lineage_edges(edges)).join(tables, "node_id", "left_semi").select(F.col("root").alias("metric_id"), F.col("node_id").alias("table_id"))
+    lineage = lineage_edges(edges).select("source_id", "target_id")
+    # Tables that lead nowhere end a walk: only the others are walked through, and the ends are joined once.
+    ends = tables.join(lineage.select(F.col("source_id").alias("node_id")), "node_id", "left_anti").select(F.col("node_id").alias("target_id"))
+    walk = settled(reachable(roots, lineage.join(ends, "target_id", "left_anti")))
+    last = walk.join(lineage.join(ends, "target_id", "left_semi"), F.col("node_id") == F.col("source_id")).select("root", F.col("target_id").alias("node_id"))
+    found = walk.select("root", "node_id").join(tables, "node_id", "left_semi").select("root", "node_id").unionByName(last).distinct()
+    return found.select(F.col("root").alias("metric_id"), F.col("node_id").alias("table_id"))
 
 
 def calculated_by(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -74,10 +80,18 @@ def most_read(uses: DataFrame, k: int) -> DataFrame:
     return uses.groupBy("metric_id").agg(F.count("*").alias("tables")).orderBy(F.desc("tables"), "metric_id").limit(k)
 
 
-def shared_sources(uses: DataFrame) -> DataFrame:
-    """``(a, b, shared)``: pairs of metrics (a before b) that read the same tables, and how many."""
-    left, right = uses.select(F.col("metric_id").alias("a"), "table_id"), uses.select(F.col("metric_id").alias("b"), "table_id")
-    return left.join(right, "table_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+def shared_sources(uses: DataFrame, part: int = 512) -> DataFrame:
+    """``(a, b, shared)``: pairs of metrics (a before b) that read the same tables, and how many.
+
+    The readers of a table are dealt into parts of about ``part``, and each pair of parts meets on its own, so that a
+    table which nearly all metrics read is not the work of one task.
+    """
+    parts = uses.groupBy("table_id").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    rows = uses.join(parts, "table_id").withColumn("own", F.pmod(F.xxhash64("metric_id"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = rows.select(F.col("metric_id").alias("a"), "table_id", F.col("own").alias("p"), every.alias("q"))
+    right = rows.select(F.col("metric_id").alias("b"), "table_id", every.alias("p"), F.col("own").alias("q"))
+    return left.join(right, ["table_id", "p", "q"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_hops: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN = "event_at string, user_id string, conversation_id string, turn_index int, question string, tools_used array<string>, basis string, answered boolean, verdict string, comment string"
@@ -17,9 +17,24 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.withColumn("kind", kind)
 
 
-def new_events(events: DataFrame, stored: DataFrame, keys: tuple[str, ...] = ("conversation_id", "turn_index", "event_at")) -> DataFrame:
-    """Events whose key is not stored yet, one of each key."""
-    return events.dropDuplicates(list(keys)).join(stored.select(*keys), list(keys), "left_anti")
+def new_events(events: DataFrame, stored: DataFrame, keys: tuple[str, ...] = ("conversation_id", "turn_index", "event_at"), order: tuple[str, ...] = ()) -> DataFrame:
+    """Events whose key is not stored yet; of those that share a key the first by ``order``, then by all columns.
+
+    Null parts of a key are equal to each other, so an event without a turn comes in once.
+    """
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *(c for c in events.columns if c not in order)))
+    first = events.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    known = stored.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+    same = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"_{k}"))
+        same = one if same is None else same & one
+    return first.join(known, same, "left_anti")
+
+
+def usage_rows(events: DataFrame) -> DataFrame:
+    """``(user_id, event_type, n, last_at)``: how often each user did what, and when last."""
+    return events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last_at"))
 
 
 def windowed_counts(events: DataFrame, time_col: str, kind_col: str, value_col: str, width: str = "1 day", late: str = "2 hours") -> DataFrame:
