@@ -34,8 +34,10 @@ BY_SIZE = 0.25
 #: Bits that may differ where a Jaccard similarity of 0.8 is asked: such pairs differ in ten on average, and fourteen reach
 #: 98 to 100 of 100 of them (twelve 87 to 95), as measured on two tables.
 ALIKE_TAU, ALIKE = 14, 0.8
-#: Pairs of one text that a task verifies, about.
-SHARE = 512
+#: Of 64 further bits so many may differ: pairs at 0.8 differ in ten (five standard deviations less), unrelated ones in 32.
+FURTHER = 24
+#: Pairs of one text that a task verifies, about, and texts of a tile in which parts of a group are held together.
+SHARE, PARTS = 512, 2048
 #: Rows of a few longs each that are sent to every task; more are joined by a shuffle.
 SMALL = 300_000
 ROOM = 1e-9
@@ -63,6 +65,12 @@ def _majority(hashes: np.ndarray) -> int:
     return int(ones.view("<u8")[0])
 
 
+def _again(hashes: np.ndarray) -> np.ndarray:
+    """The hashes hashed anew."""
+    x = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(33))
+
+
 def simhash_text(text: str | None, shingle: int = 3) -> int:
     """Fingerprint of one text; zero without words."""
     return _majority(_shingles(text, shingle))
@@ -204,15 +212,15 @@ def _stored(probes: list[tuple[int, list[int]]]):
     return stored
 
 
-_ROW = ("node", "fp", "n", "root")
+_ROW = ("node", "fp", "n", "further")
 _AT = ("part", "value", "a", "b", "side")
 
 
-def _bucket_links(tau: int, least: float, apart: bool):
+def _bucket_links(tau: int, least: float):
     """Task side of the verification of distances, over rows sorted by bucket.
 
     Out go links ``(u, v)``: all of a bucket, or, where they are many, a forest of them and each node that has others as
-    ``(u, u)``. With ``apart`` only links between nodes of different roots, and all of those.
+    ``(u, u)``.
     """
 
     def near(left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -226,8 +234,7 @@ def _bucket_links(tau: int, least: float, apart: bool):
                     a, b = a[a < b], b[a < b]
                 n, m = left[a, 7], other[b, 7]
                 keep = np.minimum(n, m) >= least * np.maximum(n, m) - ROOM
-                if apart:
-                    keep &= left[a, 8] != other[b, 8]
+                keep &= np.bitwise_count((left[a, 8] ^ other[b, 8]).view(np.uint64)) <= FURTHER
                 yield a[keep], b[keep]
 
     def bucket(left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -235,14 +242,11 @@ def _bucket_links(tau: int, least: float, apart: bool):
         root, held, spare = np.arange(len(nodes)), 0, np.zeros(len(nodes), bool)
         for a, b in near(left, right):
             b = b if right is None else b + len(left)
-            if apart:
-                yield nodes[a], nodes[b]
-                continue
             while len(a):
                 open_ = root[a] != root[b]
                 more = ~open_
                 if more.any():  # links inside what is linked already
-                    if held < 4 * len(nodes):
+                    if held + np.count_nonzero(more) <= 2 * len(nodes):
                         held += np.count_nonzero(more)
                         yield nodes[a[more]], nodes[b[more]]
                     else:
@@ -321,18 +325,17 @@ def _scanned(prints: DataFrame, n: int, least: float, tile: int) -> DataFrame:
     return dealt.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("value"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), *_ROW)
 
 
-def near_links(prints: DataFrame, tau: int = 3, partitions: int | None = 4, tile: int = TILE, least: float = 0.0, apart: bool = False) -> DataFrame:
+def near_links(prints: DataFrame, tau: int = 3, partitions: int | None = 4, tile: int = TILE, least: float = 0.0) -> DataFrame:
     """``(u, v)``: links at distance ``tau`` or less between rows whose sizes ``n`` are within ``least`` of each other.
 
-    ``prints``: ``(node, fp, n, root)`` without nulls, ``node`` unique; of distinct fingerprints ``fp`` alone will do. The
-    sets that the links reach are those of all
-    links; where links are left out, their nodes come as ``(u, u)``. With ``apart`` links between different roots, and
-    all of them. ``partitions``: None for the number that is estimated the cheapest. Buckets of more than ``tile`` rows
+    ``prints``: ``(node, fp, n, further)`` without nulls, ``node`` unique; of distinct fingerprints ``fp`` alone will do.
+    Of the bits of ``further`` at most ``FURTHER`` may differ. The sets that the links reach are those of all links;
+    where links are left out, their nodes come as ``(u, u)``. ``partitions``: None for the number that is estimated the cheapest. Buckets of more than ``tile`` rows
     are split once more by a second pigeonhole over all bits where that helps, and what is still larger is dealt out in
     pairs of tiles.
     """
     spark = prints.sparkSession
-    given = {"node": F.col("fp"), "n": F.lit(0), "root": F.col("fp")}
+    given = {"node": F.col("fp"), "n": F.lit(0), "further": F.lit(0).cast("long")}
     prints = prints.select(*(F.col(c) if c in prints.columns else given[c].alias(c) for c in _ROW))
     n, gram = bit_statistics(prints)
     if partitions is None:
@@ -343,11 +346,10 @@ def near_links(prints: DataFrame, tau: int = 3, partitions: int | None = 4, tile
     if len(groups) == 1:
         rows = _scanned(prints, n, least, SCAN if tile == TILE else tile)
     else:
-        kind = "part int, value bigint, node bigint, fp bigint, n int, root bigint"
-        keyed = prints.select("node", "fp", F.col("n").cast("int").alias("n"), "root").mapInArrow(_stored(_probes(groups, thresholds)), kind)
-        counts = keyed.groupBy("part", "value").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high")).where("held > 1")
-        counts = counts.where("low <> high") if apart else counts
-        sized = durable(keyed.join(counts.select("part", "value", "held"), ["part", "value"]))
+        kind = "part int, value bigint, node bigint, fp bigint, n int, further bigint"
+        keyed = prints.select("node", "fp", F.col("n").cast("int").alias("n"), "further").mapInArrow(_stored(_probes(groups, thresholds)), kind)
+        counts = keyed.groupBy("part", "value").agg(F.count("*").alias("held")).where("held > 1")
+        sized = durable(keyed.join(counts, ["part", "value"]))
         small = sized.where(F.col("held") <= tile).select("part", "value", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), *_ROW)
         large = sized.where(F.col("held") > tile)
         if tau < 8:
@@ -357,7 +359,7 @@ def near_links(prints: DataFrame, tau: int = 3, partitions: int | None = 4, tile
             large = large.select((F.col("part") * 8 + F.col("piece") + 1_000_000).alias("part"), F.xxhash64("value", "sub").alias("value"), *_ROW)
         rows = small.unionByName(_tiled(large.select("part", "value", *_ROW), ["part", "value"], tile))
     rows = rows.repartition(shuffle_width(spark), "part", "value", "a", "b").sortWithinPartitions("part", "value", "a", "b")
-    return rows.select(*_AT, *_ROW).mapInArrow(_bucket_links(tau, least, apart), "u bigint, v bigint").distinct()
+    return rows.select(*_AT, *_ROW).mapInArrow(_bucket_links(tau, least), "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = 3) -> DataFrame:
@@ -383,7 +385,8 @@ def text_class(text: Column) -> Column:
 
 
 def _sketched(shingle: int):
-    """``(node, fp, n)`` of ``(node, text)``; ``n`` is the number of distinct shingles."""
+    """``(node, fp, n, further)`` of ``(node, text)``: the fingerprint, the number of distinct shingles, and 64 further bits
+    of a fingerprint over the same shingles hashed anew."""
 
     def sketched(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
@@ -391,8 +394,9 @@ def _sketched(shingle: int):
                 batch = whole.slice(at, 256)
                 found = [_shingles(t, shingle) for t in batch.column(1).to_pylist()]
                 fps = np.array([_majority(h) for h in found], np.uint64)
-                sizes = np.array([len(set(h.tolist())) for h in found], np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(sizes)], names=["node", "fp", "n"])
+                sizes = np.array([len(np.unique(h)) for h in found], np.int32)
+                further = np.array([_majority(_again(h)) for h in found], np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(sizes), pa.array(further.view(np.int64))], names=["node", "fp", "n", "further"])
 
     return sketched
 
@@ -439,6 +443,45 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(alike, "u bigint, v bigint")
 
 
+def _between_parts(rows: DataFrame, tau: int, least: float) -> DataFrame:
+    """Links ``(u, v)`` that connect roots of one group: rows ``(grp, node, fp, n, further, root, els)``.
+
+    A group is dealt out in pairs of tiles, and a task holds the sets of its two tiles: pairs are verified where they are
+    found and never become rows. Inside a task pairs that are connected by then are left out.
+    """
+    tiles = rows.groupBy("grp").agg(F.ceil(F.count("*") / PARTS).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("tiles")).cast("int")
+    dealt = rows.join(tiles, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("grp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "fp", "n", "further", "root", "els")
+
+    def links(key, table):
+        own, node, n, root = (table.column(c).to_numpy() for c in ("own", "node", "n", "root"))
+        fp, further = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "further"))
+        els, up, out = table.column("els").combine_chunks(), {}, []
+
+        def find(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        first, second = (np.flatnonzero(own == k.as_py()) for k in key[1:])
+        for at in range(0, len(first), 64):
+            i, j = np.nonzero(np.bitwise_count(fp[first[at : at + 64], None] ^ fp[None, second]) <= tau)
+            i, j = first[i + at], second[j]
+            keep = (root[i] != root[j]) & (node[i] < node[j] if key[1] == key[2] else True) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - ROOM)
+            keep &= np.bitwise_count(further[i] ^ further[j]) <= FURTHER
+            for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+                r, t = find(int(root[x])), find(int(root[y]))
+                if r != t:
+                    shared = len(np.intersect1d(*(els[k].values.to_numpy() for k in (x, y)), assume_unique=True))
+                    if shared >= least * (len(els[x]) + len(els[y]) - shared) - ROOM:
+                        up[max(r, t)] = min(r, t)
+                        out.append((x, y))
+        return pa.table({"u": node[[x for x, _ in out]], "v": node[[y for _, y in out]]}) if out else pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+
+    return dealt.groupBy("grp", "a", "b").applyInArrow(links, "u bigint, v bigint")
+
+
 def near_components(docs: DataFrame, text_col: str = "text", shingle: int = 5, tau: int = ALIKE_TAU, least: float = ALIKE, partitions: int | None = None) -> DataFrame:
     """``(node, root)``: text classes (``text_class``) linked to others, and the smallest class of their component.
 
@@ -448,24 +491,28 @@ def near_components(docs: DataFrame, text_col: str = "text", shingle: int = 5, t
     verified first; further links are only looked for between the parts that are still apart by then.
     """
     texts = plain(docs, text=text_col).where(has_word(F.col("text"))).select(text_class(F.col("text")).alias("node"), "text")
-    prints = texts.mapInArrow(_sketched(shingle), "node bigint, fp bigint, n int")
-    classes = durable(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n")))
+    prints = texts.mapInArrow(_sketched(shingle), "node bigint, fp bigint, n int, further bigint")
+    classes = durable(prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "further"))))
     # Of texts with one fingerprint only the first is searched for; the others are held against it.
-    firsts = durable(classes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("f")).select(F.col("f.node").alias("node"), "fp", F.col("f.n").alias("n"), F.col("f.node").alias("root")))
+    firsts = durable(classes.groupBy("fp").agg(F.min(F.struct("node", "n", "further")).alias("f")).select("f.node", "fp", "f.n", "f.further"))
     twins = classes.join(firsts.select("fp", F.col("node").alias("u")), "fp").where("node <> u").select("u", F.col("node").alias("v"))
     found = durable(near_links(firsts, tau, partitions, least=least).unionByName(twins))
+    pairs = found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = texts.join(_small(ends), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = durable(sets.mapInArrow(_sets(shingle), "node bigint, els array<bigint>"))
-    links = durable(_alike(found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, least))
+    links = durable(_alike(pairs, sets, least))
     roots = connected_components(links)
     # Left to look at: nodes with further links, and texts that turned out unlike the first of their fingerprint.
     again = found.where("u = v").select(F.col("u").alias("node")).unionByName(twins.join(links, ["u", "v"], "left_anti").select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     if again.isEmpty():
         return roots
-    open_ = classes.join(_small(again), "node", "left_semi").join(roots, "node", "left").select("node", "fp", "n", F.coalesce("root", "node").alias("root"))
-    more = near_links(durable(open_), tau, partitions, least=least, apart=True).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    return connected_components(links.unionByName(durable(_alike(durable(more), sets, least))))
+    groups = connected_components(pairs).select("node", F.col("root").alias("grp"))
+    open_ = groups.join(_small(again), "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parted = open_.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("grp")
+    open_ = durable(open_.join(parted, "grp"))
+    more = durable(_between_parts(open_.join(classes, "node").join(sets, "node"), tau, least))
+    return roots if more.isEmpty() else connected_components(links.unionByName(more))
 
 
 def clustered(docs: DataFrame, text_col: str = "text", cluster_col: str = "cluster") -> DataFrame:

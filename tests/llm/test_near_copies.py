@@ -85,16 +85,29 @@ def test_every_plan_finds_the_same_components(spark, monkeypatch, partitions):
     assert sorted(by_root.values()) == groups(texts, simhash.ALIKE_TAU)
 
 
-def test_withheld_links_are_found_between_parts(spark):
-    """Of a dense group only a forest is sent on, and its nodes; between roots that are apart every link comes."""
+def test_withheld_links_are_found_between_parts(spark, monkeypatch):
+    """Of a dense group only a forest is sent on, and its nodes; parts of a group are joined tile by tile."""
+    monkeypatch.setattr(simhash, "PARTS", 7)
     rng = np.random.default_rng(5)
     fps = sorted({int(x) for x in 12345 ^ (1 << rng.integers(0, 60, 400)) ^ (1 << rng.integers(0, 60, 400))})
-    rows = spark.createDataFrame([(k, fp, 10, k // 150) for k, fp in enumerate(fps)], "node long, fp long, n int, root long")
+    rows = spark.createDataFrame([(k, fp, 10) for k, fp in enumerate(fps)], "node long, fp long, n int")
     links = [tuple(r) for r in simhash.near_links(rows, 6, None, least=0.8).collect()]
     near = {(a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 6}
     assert {(min(x), max(x)) for x in links if x[0] != x[1]} <= near and any(u == v for u, v in links)
-    apart = {(min(r), max(r)) for r in simhash.near_links(rows, 6, None, least=0.8, apart=True).collect()}
-    assert apart == {(a, b) for a, b in near if a // 150 != b // 150}
+    rows = spark.createDataFrame([(0, k, fp, 10, 0, k % 9, list(range(k % 3, k % 3 + 10))) for k, fp in enumerate(fps[:40])], "grp long, node long, fp long, n int, further long, root long, els array<long>")
+    got = [tuple(r) for r in simhash._between_parts(rows, 6, 0.8).collect()]
+    alike = {(a, b) for a, b in near if b < 40 and a % 9 != b % 9 and abs(a % 3 - b % 3) < 2}
+    assert got and {(min(x), max(x)) for x in got} <= alike
+    reach = {frozenset(g) for g in merged(range(9), [(u % 9, v % 9) for u, v in got])}
+    assert reach == {frozenset(g) for g in merged(range(9), [(u % 9, v % 9) for u, v in alike])}
+
+
+def merged(nodes, pairs):
+    sets = [{n} for n in nodes]
+    for a, b in pairs:
+        hit = [s for s in sets if a in s or b in s]
+        sets = [s for s in sets if s not in hit] + [set().union(*hit)]
+    return sets
 
 
 def test_share_of_the_alike_that_fingerprints_reach():
