@@ -26,7 +26,7 @@ BITS = 64
 #: Rows of a bucket that one task compares; larger buckets are dealt out in pairs of tiles of this size.
 TILE = 2048
 #: Rows of a tile where all fingerprints are compared.
-SCAN = 8192
+SCAN = 32768
 #: Work of storing a fingerprint under one key, in comparisons.
 KEY_WORK = 400
 #: Fingerprints that can still be alike by size, as a share of all (a guess that steers the plan, never the result).
@@ -246,7 +246,7 @@ def _bucket_links(tau: int, least: float):
                 open_ = root[a] != root[b]
                 more = ~open_
                 if more.any():  # links inside what is linked already
-                    if held + np.count_nonzero(more) <= 2 * len(nodes):
+                    if held + np.count_nonzero(more) <= len(nodes) // 16:
                         held += np.count_nonzero(more)
                         yield nodes[a[more]], nodes[b[more]]
                     else:
