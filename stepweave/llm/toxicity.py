@@ -2,8 +2,9 @@
 
 A token that may be disguised (figures and signs for letters, letters set apart, letters repeated, masked letters) is a
 lattice of characters. The path with the best sum of channel costs and character trigram log probabilities is the
-restored token. The trigram counts come from every text of the corpus. Restored texts are scored by the words that tell
-the labelled texts apart.
+restored token. Between letters set apart the lattice has two arcs for a separator: it goes, or a word ends. The trigram
+counts come from every text of the corpus. Restored texts are scored by a noisy-or model over their words, fitted on
+labelled texts and calibrated on those that it was not fitted on.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import plain
+from stepweave.llm.common import durable, plain
 
 #: Character classes of the language model: 0 stands between words, a-z, U+00DF to U+00FF, and one class for the rest.
 CLASSES = 61
@@ -30,13 +31,15 @@ LEET = {
 }
 MASKS = "*#"
 SEPARATORS = "._-~'’"
-#: Costs of the channel, in nats.
-SUBSTITUTE, DROP, MASK, FEWER = 0.7, 1.5, 2.5, 0.7
+#: Costs of the channel, in nats; SPLIT: a word ends at a separator of one character, WIDE at one of several.
+SUBSTITUTE, DROP, MASK, FEWER, SPLIT, WIDE = 0.7, 1.5, 2.5, 0.7, 6.5, 1.5
 
 _SIGNS = re.escape("".join(LEET) + MASKS + SEPARATORS)
 _EDGES = "%&\"“”«»,;:?)]}[{<>=/\\^`"
 _LETTER = r"[^\W\d_]"
 _SPACED = re.compile(rf"(?<![^\s])(?:{_LETTER}|[{re.escape(''.join(LEET))}])(?:[ \t._*~-]{{1,2}}(?:{_LETTER}|[{re.escape(''.join(LEET))}])){{2,}}(?![^\s.,;:!?])")
+_RUN = re.compile(r"(.)\1*", re.S)
+_APART = re.compile(r"(?P<apart>[ \t._*~-]+)|(.)\2*", re.S)
 _WORDS = re.compile(rf"{_LETTER}+")
 _REPEATS = re.compile(rf"({_LETTER})\1\1|({_LETTER})\2.*({_LETTER})\3")
 _DISGUISED = re.compile(rf"(?={_LETTER}*.*{_LETTER})(?:.*[{_SIGNS}].*)", re.S)
@@ -94,11 +97,16 @@ class Decoder:
         self.known: dict[str, str] = {}
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
-        """For each run of one character the strings it may stand for, with their costs."""
+        """For each run of one character the strings it may stand for, with their costs.
+
+        Where the token has blanks its letters are set apart: each run of separators is dropped or ends a word.
+        """
         out = []
-        for match in re.finditer(r"(.)\1*", token, re.S):
-            c, k = match[1], len(match[0])
-            if c in LEET:
+        for match in (_APART if " " in token or "\t" in token else _RUN).finditer(token):
+            c, k = match[0][0], len(match[0])
+            if match.lastgroup == "apart":
+                options = [("", 0.1), (" ", SPLIT if k == 1 else WIDE)]
+            elif c in LEET:
                 options = [(x * n, SUBSTITUTE + (FEWER if n != k else 0)) for x in LEET[c] for n in {1, min(k, 2)}] + [("", DROP)]
             elif c in MASKS:
                 options = [(chr(97 + i), MASK) for i in range(26)] + [("", DROP)]
@@ -148,17 +156,23 @@ class Decoder:
         return tuple(dict.fromkeys(found))
 
     def spaced(self, text: str) -> list[str]:
-        """Words whose letters are set apart, put together and restored."""
-        return [self.restore(re.sub(r"[ \t._*~-]+", "", m[0])) for m in _SPACED.finditer(text)]
+        """Words of the readings of all runs of letters set apart."""
+        return [w for m in _SPACED.finditer(text) for w in self.apart(m[0]).split()]
+
+    def apart(self, run: str) -> str:
+        """The reading of a run of letters set apart; marks alone (``a.b.c``) are read like blanks."""
+        return self.restore(run if " " in run or "\t" in run else re.sub(r"[._*~-]+", " ", run))
 
     def restored_text(self, text: str) -> str:
         """The whole text with every disguised token restored."""
-        joined = _SPACED.sub(lambda m: re.sub(r"[ \t._*~-]+", "", m[0]), text.lower())
+        joined = _SPACED.sub(lambda m: self.apart(m[0]), text.lower())
         return " ".join(" ".join(self.words(t)[-1:]) or t for t in joined.split())
 
 
-#: Share of the toxic documents that has a feature which counts whatever others explain.
-COMMON = 0.08
+#: A feature is a candidate in so many toxic documents at least, and so many times as frequent there as in clean ones.
+LEAST_DOCS, FAVOUR = 3, 16.0
+#: Clean documents without a word that each feature is held to be in besides, rounds of the fit, and parts of the cross-fitting.
+DOUBT, ROUNDS, FOLDS = 0.5, 300, 5
 #: Lengths of the word beginnings that are features beside whole words (inflected and compound words share them).
 PREFIXES = (4, 5, 6, 7)
 
@@ -191,60 +205,120 @@ def document_words(text: str, seen: _Seen) -> set[str]:
     return out | {w for w in extra if seen.keep is None or w in seen.keep}
 
 
-def learn(docs: DataFrame, labels: DataFrame, logp: np.ndarray, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 8000, precision: float = 0.9) -> dict:
-    """``{"bias": b, "weights": {feature: w}}``, log odds of toxic for texts without and with a feature, from labelled documents, ``sample_rows`` of each class at most (by hash).
+def _candidates(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` features speak for toxic, by the documents ``y`` that have them."""
+    toxic, n_toxic = np.bincount(cols, weights=y[rows], minlength=size), y.sum()
+    clean, n_clean = np.bincount(cols, minlength=size) - toxic, len(y) - n_toxic
+    return (toxic >= LEAST_DOCS) & (toxic * n_clean >= FAVOUR * (clean + 0.5) * n_toxic)
+
 
-    ``labels`` with null ids or labels are not used; of several labels of one id the greatest counts. Features at least
-    ``precision`` of whose documents are toxic are chosen one after the other, each for the toxic documents that no earlier one is
-    in, so copies of a document teach nothing that a chosen feature explains.
+def _fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, float]:
+    """Strengths of the features and of no feature in a noisy-or model, by expectation and maximisation.
+
+    Document ``rows[i]`` has feature ``cols[i]``; it is toxic with probability ``1 - exp(-sum of strengths)``: each feature
+    can make it so alone, none excuses another. The posterior mode is found under an exponential prior (``DOUBT``).
+    """
+    held = np.bincount(cols, minlength=size) + DOUBT
+    strength, base = np.full(size, 0.3), 0.05
+    for _ in range(ROUNDS):
+        # How often each cause is expected to have struck in the documents that are toxic.
+        share = y / -np.expm1(-(np.bincount(rows, weights=strength[cols], minlength=len(y)) + base))
+        strength = strength * np.bincount(cols, weights=share[rows], minlength=size) / held
+        base = (base * share.sum() + 0.5) / (len(y) + 1)
+    return strength, base
+
+
+def _odds(strength):
+    """Log odds of toxic at a sum of strengths."""
+    return np.log(np.expm1(np.clip(strength, 1e-9, 30)))
+
+
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _cross_fitted(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, fold: np.ndarray, size: int) -> np.ndarray:
+    """Log odds of each document by a model, candidates included, of the other folds."""
+    out = np.zeros(len(y))
+    for k in range(FOLDS):
+        own = fold != k
+        place = np.cumsum(own) - 1
+        use = own[rows]
+        chosen = _candidates(place[rows[use]], cols[use], y[own], size)
+        use &= chosen[cols]
+        w, b = _fit(place[rows[use]], cols[use], y[own], size)
+        out[~own] = _odds(np.bincount(rows, weights=np.where(chosen, w, 0)[cols], minlength=len(y))[~own] + b)
+    return out
+
+
+def _calibrate(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """``(slope, shift)`` that make log odds probabilities, by Newton's method on smoothed labels."""
+    goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    at, x = np.array([1.0, 0.0]), np.column_stack([odds, np.ones(len(odds))])
+    for _ in range(30):
+        p = _sigmoid(x @ at)
+        gradient = x.T @ (p - goal) + np.array([at[0] - 1, 0])
+        at = at - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag([1.0, 1e-6]), gradient)
+    return max(float(at[0]), 0.0), float(at[1])
+
+
+def learn(docs: DataFrame, labels: DataFrame, logp: np.ndarray, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 8000) -> dict:
+    """``{"base": b, "weights": {feature: w}, "slope": s, "shift": t}``: a calibrated noisy-or model over the features of restored texts.
+
+    It is fitted on labelled documents, ``sample_rows`` of each class at most (by hash). ``labels`` with null ids or labels are
+    not used; of several labels of one id the greatest counts, and documents that repeat a text and its label count once.
+    Slope and shift are fitted on what models of the other folds say of each document; then the classes' true shares
+    are put in. Of one class alone, or none, only that class is learnt.
     """
+    spark = docs.sparkSession
     marked = plain(labels, id=id_col, toxic=label_col).where(F.col("id").isNotNull() & F.col("toxic").isNotNull())
     marked = marked.groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     order = F.xxhash64("id")
     totals = {toxic: n for toxic, n in marked.groupBy("toxic").count().collect()}
     sample = marked.where("toxic = 1").orderBy(order, "id").limit(sample_rows).unionByName(marked.where("toxic = 0").orderBy(order, "id").limit(sample_rows))
     chosen = plain(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id")  # 2 * sample_rows rows at most
-    chosen = chosen.withColumn("th", F.xxhash64("text")).dropDuplicates(["th", "toxic"])  # copies count once
-    shared = docs.sparkSession.sparkContext.broadcast(logp)
+    chosen = chosen.withColumn("th", F.xxhash64("text")).dropDuplicates(["th", "toxic"])
+    shared = spark.sparkContext.broadcast(logp)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen(Decoder(shared.value))
         for batch in batches:
-            for row, toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = sorted(document_words(text or "", seen)) + [""]
-                yield pa.RecordBatch.from_arrays([pa.array([str(row)] * len(own)), pa.array([toxic] * len(own), pa.int32()), pa.array(own)], names=["id", "toxic", "word"])
-
-    rows = chosen.select("id", "toxic", "text").mapInArrow(split, "id string, toxic int, word string")
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                found = [["", *sorted(document_words(t or "", seen))] for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.string()))], names=["th", "toxic", "words"])
+
+    # Every document has the feature '', which stands for the document itself.
+    rows = durable(chosen.select("th", "toxic", "text").mapInArrow(split, "th bigint, toxic int, words array<string>"))
+    rows = rows.select("th", "toxic", F.explode("words").alias("word"))
     counts = rows.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     size = counts.where("word = ''").first()
     if size is None or not size["t"] or not size["c"]:
-        return {"bias": 30.0 if size is not None and size["t"] else -30.0, "weights": {}}
+        return {"base": 1.0, "weights": {}, "slope": 0.0, "shift": 30.0 if size is not None and size["t"] else -30.0}
     n_toxic, n_clean = size["t"], size["c"]
-    # Counts of the sample as those of all labelled rows, so that log odds are of the classes' true shares.
-    up_t, up_c = totals[1] / min(totals[1], sample_rows), totals[0] / min(totals[0], sample_rows)
-    telling = counts.where((F.col("word") != "") & (F.col("t") >= 2) & (F.col("t") * up_t >= precision * (F.col("t") * up_t + F.col("c") * up_c)))
-    pairs = rows.where("toxic = 1").join(telling, "word").groupBy("word", "t", "c").agg(F.collect_set("id").alias("ids")).collect()  # of at most sample_rows documents
-    left = {w: (set(ids), t, c) for w, t, c, ids in pairs}
-    weights, covered = {}, set()
-    while left:
-        word = max(left, key=lambda w: (len(left[w][0] - covered) - 2 * left[w][2] * n_toxic / n_clean, left[w][1], w))
-        ids, t, c = left.pop(word)
-        if len(ids - covered) < 2:
-            break
-        covered |= ids
-        weights[word] = math.log((t * up_t + 0.5) / (c * up_c + 0.5))
-    # Common telling features count even where others explain their documents: later texts may have them alone.
-    for word, (_, t, c) in left.items():
-        if t >= max(5, COMMON * n_toxic):
-            weights[word] = math.log((t * up_t + 0.5) / (c * up_c + 0.5))
-    missed = n_toxic - len(covered)
-    return {"bias": math.log((missed * up_t + 0.5) / (n_clean * up_c + 0.5)) if weights else math.log(totals[1] / totals[0]), "weights": weights}
+    favoured = (F.col("t") >= LEAST_DOCS) & (F.col("t") * n_clean >= FAVOUR * 0.5 * (F.col("c") + 0.5) * n_toxic)  # half as much: folds differ
+    vocabulary = counts.where((F.col("word") == "") | favoured).select("word")  # of 2 * sample_rows documents at most
+    found = rows.join(F.broadcast(vocabulary), "word").groupBy("th", "toxic").agg(F.collect_list("word").alias("words")).collect()
+    found = sorted(found, key=lambda r: (r.th is None, r.th, r.toxic))
+    names = sorted({w for r in found for w in r.words} - {""})
+    index = {w: k for k, w in enumerate(names)}
+    y = np.array([r.toxic for r in found], float)
+    pairs = np.array([(k, index[w]) for k, r in enumerate(found) for w in r.words if w], int).reshape(-1, 2)
+    rows_, cols = pairs[:, 0], pairs[:, 1]
+    rank = np.where(y > 0, np.cumsum(y), np.cumsum(1 - y)).astype(int)  # both classes in every fold
+    slope, shift = _calibrate(_cross_fitted(rows_, cols, y, rank % FOLDS, len(names)), y)
+    use = _candidates(rows_, cols, y, len(names))[cols]
+    w, b = _fit(rows_[use], cols[use], y, len(names))
+    # The sample's share of toxic documents becomes that of all labelled rows.
+    prior = math.log(totals[1] / totals[0] * min(totals[0], sample_rows) / min(totals[1], sample_rows))
+    kept = set(cols[use].tolist())
+    return {"base": b, "weights": {name: x for k, (name, x) in enumerate(zip(names, w.tolist(), strict=True)) if k in kept and x > 1e-6}, "slope": slope, "shift": shift + prior}
 
 
 def with_toxicity(docs: DataFrame, logp: np.ndarray, model: dict, text_col: str = "text") -> DataFrame:
     """``(row, score, predicted)``, one row for each row of ``docs``; ``row`` is the input row as a struct.
 
-    ``score`` is the probability that a text is toxic; null and empty texts get that of a text without telling words.
+    ``score`` is the probability that a text is toxic; null and empty texts get that of a text without telling features.
     Whole texts are read, whatever their length; copies get equal scores.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
@@ -253,15 +327,10 @@ def with_toxicity(docs: DataFrame, logp: np.ndarray, model: dict, text_col: str
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         logp, model = shared.value
-        weights, bias = model["weights"], model["bias"]
+        weights = model["weights"]
         seen = _Seen(Decoder(logp), weights)
         for texts in batches:
-            out = []
-            for t in texts:
-                found = [weights[w] for w in document_words(t or "", seen)]
-                # The most telling feature decides; each further one adds a little.
-                odds = max(found) + 0.3 * (len(found) - 1) if found else bias
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
-            yield pd.Series(out, dtype="float64")
+            strength = [model["base"] + sum(weights[w] for w in sorted(document_words(t or "", seen))) for t in texts]
+            yield pd.Series(_sigmoid(model["slope"] * _odds(np.array(strength, float)) + model["shift"]), dtype="float64")
 
     return rows.select("row", score(F.col("row")[text_col]).alias("score")).select("row", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
