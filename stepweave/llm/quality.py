@@ -172,7 +172,7 @@ def _deal(shards: int, salts: int):
                         head = np.array([len(codes), len(own), len(over)], "<i4").tobytes()
                         extra = np.concatenate([over, counts[own][over]]).astype("<i8").tobytes()
                         planes = b"".join(p.view(np.uint8).reshape(-1, p.itemsize).T.tobytes() for p in parts)
-                        rows.append((s, zlib.compress(head + planes + extra, 1)))
+                        rows.append((s, zlib.compress(head + planes + extra, 6)))
                 n = len(rows)
                 span = slice(first, first + len(texts))
                 ids, langs, trusted = (batch.column(i)[span] for i in range(3))
