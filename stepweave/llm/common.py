@@ -46,6 +46,11 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_side(rows: DataFrame, most: int = 300_000) -> DataFrame:
+    """For a join: a broadcast where the rows, of a few longs each, are counted to be few; otherwise Spark shuffles."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; none for null and blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

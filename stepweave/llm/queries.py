@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import chat, embeddings, fingerprints, langid, mixing, packing, quality, simhash, substrings, toxicity
+from stepweave.llm import chat, clustering, embeddings, fingerprints, langid, mixing, negatives, packing, quality, sharding, simhash, substrings, toxicity
 from stepweave.llm.common import sha256_hex, table
 
 
@@ -78,8 +78,28 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clustering.clustered(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    digest = sha256_hex(F.array_join(F.col("centroid").cast("array<string>"), ","))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "version")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_fingerprints, op2_best_fit, op3_language, op4_quality, op5_simhash, op6_substrings, op7_mixing, op8_chat, op9_toxicity, op10_embeddings)
+    found = (
+        op1_fingerprints, op2_best_fit, op3_language, op4_quality, op5_simhash, op6_substrings, op7_mixing, op8_chat, op9_toxicity, op10_embeddings,
+        op11_centroids, op12_sharding, op13_hard_negatives,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -137,5 +157,49 @@ FROM least LEFT JOIN degree USING (vec_id)
 """
 
 
+def _lloyd_sql(k: int = clustering.K, rounds: int = clustering.ROUNDS) -> str:
+    """The rounds one after the other; distances as a.a - 2 a.c + c.c, which doubles hold exactly."""
+    parts = [
+        f"""vectors AS MATERIALIZED (
+  SELECT vec_id, q, list_dot_product(q, q) AS qq FROM (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY mark) - 1 AS cluster, q AS c FROM (SELECT sha256('3:' || vec_id) AS mark, q FROM vectors ORDER BY mark LIMIT {k}))"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, any_value(q) AS q, min({{'d': (qq - 2 * list_dot_product(q, c) + list_dot_product(c, c))::BIGINT, 'cluster': cluster}}) AS best
+  FROM vectors, c{i} GROUP BY vec_id)""")
+        if i < rounds:
+            parts.append(f"""m{i} AS (
+  SELECT cluster, list(floor_mean ORDER BY axis) AS c FROM (
+    SELECT cluster, axis, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::DOUBLE AS floor_mean FROM (
+      SELECT best.cluster AS cluster, unnest(q)::BIGINT AS x, generate_subscripts(q, 1) AS axis FROM a{i}) GROUP BY cluster, axis) GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT o.cluster, coalesce(m{i}.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} USING (cluster))""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, best.cluster::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.cluster))::BIGINT AS cluster_inertia,
+  (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c::BIGINT[], ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.cluster = best.cluster"""
+
+
+OP13_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER best)::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER best <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substrings": OP6_SQL, "op8_chat": OP8_SQL, "op10_embeddings": OP10_SQL}
+    return {"op11_centroids": _lloyd_sql(), "op13_hard_negatives": OP13_SQL, "op6_substrings": OP6_SQL, "op8_chat": OP8_SQL, "op10_embeddings": OP10_SQL}
