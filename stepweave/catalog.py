@@ -268,40 +268,6 @@ def q_all_tokens(spark, d):
     return _t(spark, d, "documents").where(tx.mentions_all(F.col("text"), "The License")).select("doc_id")
 
 
-def _scan_sql() -> str:
-    """Each rule reads the text in which the spans of the earlier ones are masked."""
-    text, parts = "coalesce(text, '')", []
-    for rule, pattern in tx.PRIVACY_RULES:
-        parts.append(f"SELECT doc_id AS id, '{rule}' AS rule, unnest(list_distinct(regexp_extract_all({text}, '{pattern}', 0))) AS matched_text FROM documents")
-        text = f"regexp_replace({text}, '{pattern}', '{tx.CLAIMED}', 'g')"
-    return " UNION ALL ".join(parts)
-
-
-@_query(_scan_sql())
-def q_privacy_scan(spark, d):
-    return tx.privacy_findings(_t(spark, d, "documents"), "doc_id", "text")
-
-
-@_query(f"""WITH f AS ({_scan_sql()}), g AS (SELECT id, list(rule || chr(1) || matched_text ORDER BY length(matched_text) DESC, rule, matched_text) AS found FROM f GROUP BY 1)
-SELECT doc_id, sha256(CASE WHEN found IS NULL THEN text ELSE list_reduce(list_concat([text], found), lambda t, x: replace(t, split_part(x, chr(1), 2), '<' || split_part(x, chr(1), 1) || '>')) END) AS redacted
-FROM documents LEFT JOIN g ON id = doc_id WHERE text IS NOT NULL""")
-def q_privacy_redact_literals(spark, d):
-    docs = _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
-    return tx.redacted(docs, tx.privacy_findings(docs, "doc_id", "text"), "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("redacted"))
-
-
-def _redact_sql(text: str) -> str:
-    for rule, pattern in tx.PRIVACY_RULES:
-        text = f"regexp_replace({text}, '{pattern}', '<{rule}>', 'g')"
-    return text
-
-
-@_query(f"SELECT doc_id, sha256({_redact_sql('text')}) AS redacted FROM documents WHERE text IS NOT NULL")
-def q_privacy_redact(spark, d):
-    docs = _t(spark, d, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", F.sha2(tx.redact(F.col("text")), 256).alias("redacted"))
-
-
 # Search
 
 
@@ -565,7 +531,7 @@ def q_revenue_by_region(spark, d):
     return joined.groupBy("r_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
-from stepweave import catalog_governance  # noqa: E402, F401  (its queries register themselves here)
+from stepweave import catalog_governance, catalog_privacy  # noqa: E402, F401  (their queries register themselves here)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stepweave.catalog import WITH_GRAPH, _query, _t, demo_graph
 from stepweave.functions import text as tx
-from stepweave.operators import changes, governance, lookups, records
+from stepweave.operators import changes, governance, lookups, privacy, records
 from stepweave.plans import graph
 from stepweave.streaming import events as ev
 
@@ -369,9 +369,9 @@ def q_date_tokens(spark, d):
     return _t(spark, d, "events").select("event_id", tx.date_token(token, "2024-02-10").cast("string").alias("day"))
 
 
-@_query("SELECT doc_id, left(sha256(concat_ws('|', doc_id::VARCHAR, 'license', lang)), 16) AS finding_id FROM documents WHERE lang IS NOT NULL")
+@_query("SELECT doc_id, left(sha256(concat_ws('|', coalesce(doc_id::VARCHAR, ''), coalesce(source, ''), coalesce(lang, ''))), 16) AS finding_id FROM documents")
 def q_finding_ids(spark, d):
-    return _t(spark, d, "documents").where("lang IS NOT NULL").select("doc_id", tx.finding_id(F.col("doc_id"), F.lit("license"), F.col("lang")).alias("finding_id"))
+    return _t(spark, d, "documents").select("doc_id", privacy.finding_id(F.col("doc_id"), F.col("source"), F.col("lang")).alias("finding_id"))
 
 
 @_query("SELECT doc_id, substr(text, 1, 200) AS head FROM documents WHERE length(text) > 5000")

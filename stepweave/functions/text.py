@@ -1,20 +1,10 @@
-"""Expressions over names and texts: folding, mentions, identities, privacy rules."""
+"""Expressions over names and texts: folding, mentions, identities, tokens."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Privacy rules by name, in the order in which they claim text. Fixed values.
-PRIVACY_RULES = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
-    ("phone", r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}\b"),
-    ("ip", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
-    ("card", r"\b[0-9]{16}\b"),
-)
-
-
 def content_key(text: Column) -> Column:
     """Sixteen hex digits of a text's hash, blind to case and to how blanks run."""
     return F.left(F.sha2(F.lower(F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " "))), 256), F.lit(16))
@@ -43,45 +33,6 @@ def object_identity(sql: Column) -> Column:
     return F.when(name != "", found)
 
 
-#: Stands for text that an earlier rule has claimed.
-CLAIMED = "\ufffc"
-
-
-def privacy_findings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, rule, matched_text)``: distinct matches of each rule, outside the spans that earlier rules claim."""
-    rows, found = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), []
-
-    def labelled(rule: str) -> Column:
-        return F.transform(rule, lambda m: F.struct(F.lit(rule).alias("rule"), m.alias("matched_text")))
-
-    for rule, pattern in PRIVACY_RULES:
-        rows = rows.withColumn(rule, F.array_distinct(F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))))
-        rows = rows.withColumn("_text", F.regexp_replace("_text", pattern, CLAIMED))
-        found.append(labelled(rule))
-    return rows.select("id", F.explode(F.concat(*found)).alias("f")).select("id", "f.rule", "f.matched_text")
-
-
-def finding_id(owner: Column, rule: Column, matched: Column) -> Column:
-    """Sixteen hex digits that name a finding in every run."""
-    return F.left(F.sha2(F.concat_ws("|", owner.cast("string"), rule, matched), 256), F.lit(16))
-
-
-def redacted(df: DataFrame, findings: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows with every literal found in them masked everywhere, the longest first (ties by rule and text)."""
-    order = F.struct((-F.length("matched_text")).alias("o"), "rule", "matched_text")
-    held = findings.groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_set(order)).alias("_found"))
-    masked = F.aggregate("_found", F.col(text_col), lambda t, f: F.replace(t, f["matched_text"], F.concat(F.lit("<"), f["rule"], F.lit(">"))))
-    out = df.join(held, df[id_col] == F.col("_id"), "left")
-    return out.withColumn(text_col, F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(masked)).drop("_id", "_found")
-
-
-def redact(text: Column) -> Column:
-    """The text with every match of every rule masked, rule by rule."""
-    for rule, pattern in PRIVACY_RULES:
-        text = F.regexp_replace(text, pattern, f"<{rule}>")
-    return text
-
-
 def plain_whitespace(sql: Column) -> Column:
     """Marks and odd blanks become plain ones, runs one blank; lines are trimmed and empty ones dropped."""
     text = F.regexp_replace(sql, "[\ufeff\u200b]", "")

@@ -60,13 +60,6 @@ def test_upserts_of_one_key_and_of_null(spark):
         changes.upsert(now, spark.createDataFrame([(1, "x"), (1, "y")], "k long, v string"), "k")
 
 
-def test_findings_by_span_and_longest_literal_first(spark):
-    df = spark.createDataFrame([(1, "1234567812345678@a.bc and 1234567812345678"), (2, "10.0.0.1 10.0.0.11")], "id long, t string")
-    found = tx.privacy_findings(df, "id", "t")
-    assert {(r.id, r.rule) for r in found.collect()} == {(1, "email"), (1, "card"), (2, "ip")}
-    assert {r.t for r in tx.redacted(df, found, "id", "t").collect()} == {"<email> and <card>", "<ip> <ip>"}
-
-
 def test_texts(spark):
     rows = spark.createDataFrame([("﻿a  b\r\n\r\n \t c​ ",), ("exec p",), ("EXECUTE [x].[y].[z];",)], "t string")
     assert rows.select(tx.plain_whitespace(F.col("t"))).first()[0] == "a b\nc"

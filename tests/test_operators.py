@@ -45,12 +45,6 @@ def test_identity_and_mentions(spark):
     assert [r[0] for r in df.select(tx.mentions(F.col("t"), "ed")).collect()] == [True, False]
 
 
-def test_privacy(spark):
-    df = spark.createDataFrame([(1, "a@b.com 123-45-6789 (555) 123-4567 10.0.0.1"), (2, None)], "id long, t string")
-    assert {r.rule for r in tx.privacy_findings(df, "id", "t").collect()} == {"email", "ssn", "phone", "ip"}
-    assert df.where("id = 1").select(tx.redact(F.col("t"))).first()[0] == "<email> <ssn> <phone> <ip>"
-
-
 def test_products(spark):
     df = spark.createDataFrame([(1, "A  b"), (2, "a b"), (3, ""), (4, None)], "id long, t string")
     assert [(r.members, r.first_id) for r in products.content_partition(df, "id", "t").collect()] == [(2, 1)]
