@@ -30,6 +30,10 @@ RULES = (
 )
 ID_LIST = ("id_literal", rf"(?i)\b{ID_COLUMN}\s+IN\s*\(", r"[^)]*", r"\)")
 LIST_MEMBER = ("id_literal", "", r"\d{5,}", "")
+# End of the first part. What every match of a rule, or of an id list, holds and is quick to look for (ours):
+SIGNS = (r"\d-\d\d-\d", r"@", r"\d{3}[-.]\d{4}", r"(?i)(?:=|<>)\s*'?\d{5}", r"(?i)(?:=|<>|LIKE)\s*'", r"'\d", r"'\d", r'(?:=|<>)\s*"\d{5}', r'(?:=|<>)\s*"', r'"\d', r'"\d', r"[<>]=?\s*\d")
+LIST_SIGN = r"(?i)\sIN\s*\("
+# Fixed values, second part.
 PLACEHOLDERS = {"contact_literal": "<CONTACT>", "id_literal": "<ID>", "name_literal": "<NAME>", "date_literal": "<DATE>", "threshold_literal": "<VALUE>"}
 SEVERITY = {"contact_literal": "high", "id_literal": "high", "name_literal": "high", "date_literal": "medium", "threshold_literal": "low"}
 DISPOSITION = {"contact_literal": "redact", "id_literal": "redact", "name_literal": "redact", "date_literal": "redact", "threshold_literal": "open"}
@@ -40,39 +44,44 @@ def _of(rule: Column, values: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), rule)
 
 
-def spans(text: Column, rule: tuple[str, str, str, str]) -> Column:
-    """``array<struct<start, end>>``: the literals of all matches of a rule, from left to right, 0-based."""
+def spans(text: Column, rule: tuple[str, str, str, str], sign: str | None = None, flags: str = "U") -> Column:
+    """``array<struct<start, end>>``: the literals of all matches of a rule, from left to right, 0-based.
+
+    Texts without ``sign``, a pattern that every match holds, are not searched any further. ``flags``: empty for texts of
+    ASCII alone, which are searched faster; ``U`` knows the letters of all scripts.
+    """
     _, before, literal, after = rule
-    pattern = f"(?U)({before})({literal}){after}"
+    # From the end of one literal to the end of the next one.
+    pattern = F.lit(rf"(?s{flags})\G.*?{before}({literal})(?={after})" if after else rf"(?s{flags})\G.*?{before}({literal})")
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    gaps, (whole, lead, found) = F.split(text, pattern, -1), (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in range(3))
-    sizes = F.zip_with(F.arrays_zip(whole.alias("w"), lead.alias("l"), found.alias("f")), F.slice(gaps, 1, F.size(whole)), lambda m, gap: F.struct(
-        (F.length(gap) + F.length(m["l"])).alias("skip"), F.length(m["f"]).alias("n"), (F.length(gap) + F.length(m["w"])).alias("whole")))
+    whole, found = (F.transform(F.regexp_extract_all(text, pattern, F.lit(k)), F.length) for k in range(2))
     start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
     def step(acc: Column, m: Column) -> Column:
-        span = F.struct((acc["at"] + m["skip"]).alias("start"), (acc["at"] + m["skip"] + m["n"]).alias("end"))
-        return F.struct((acc["at"] + m["whole"]).alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+        end = acc["at"] + m["w"]
+        return F.struct(end.alias("at"), F.array_append(acc["spans"], F.struct((end - m["f"]).alias("start"), end.alias("end"))).alias("spans"))
 
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(sizes, start, step)["spans"]).otherwise(empty)
+    likely = F.rlike(text, F.lit((f"(?{flags})" if flags else "") + (sign or before + literal)))
+    return F.when(likely, F.aggregate(F.arrays_zip(whole.alias("w"), found.alias("f")), start, step)["spans"]).otherwise(empty)
 
 
 def _part(text: Column, start: Column, end: Column) -> Column:
     return F.substr(text, start + 1, end - start)
 
 
-def _candidates(text: Column) -> Column:
+def _candidates(text: Column, flags: str) -> Column:
     """All spans with their place in the order of the rules; every member of an id list comes before them."""
 
     def tagged(found: Column, order: int, rule: str) -> Column:
         return F.transform(found, lambda s: F.struct(F.lit(order).alias("prio"), s["start"].alias("start"), s["end"].alias("end"), F.lit(rule).alias("rule")))
 
     def members(held: Column) -> Column:
-        inside = spans(_part(text, held["start"], held["end"]), LIST_MEMBER)
+        inside = spans(_part(text, held["start"], held["end"]), LIST_MEMBER, flags=flags)
         return F.transform(inside, lambda s: F.struct((held["start"] + s["start"]).alias("start"), (held["start"] + s["end"]).alias("end")))
 
-    lists = F.flatten(F.transform(spans(text, ID_LIST), members))
-    return F.concat(tagged(lists, 0, ID_LIST[0]), *(tagged(spans(text, r), k, r[0]) for k, r in enumerate(RULES, start=1)))
+    lists = F.flatten(F.transform(spans(text, ID_LIST, LIST_SIGN, flags), members))
+    rules = (tagged(spans(text, r, sign, flags), k, r[0]) for k, (r, sign) in enumerate(zip(RULES, SIGNS, strict=True), start=1))
+    return F.concat(tagged(lists, 0, ID_LIST[0]), *rules)
 
 
 def scan(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,7 +91,9 @@ def scan(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     line ends as blanks, and a placeholder for the literal.
     """
     rows = texts.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    found = rows.select("id", "text", F.xxhash64("text").alias("th"), F.explode(_candidates(F.col("text"))).alias("s")).select("id", "text", "th", "s.*")
+    text = F.col("text")
+    every = F.when(F.octet_length(text) == F.length(text), _candidates(text, "")).otherwise(_candidates(text, "U"))
+    found = rows.select("id", "text", F.xxhash64("text").alias("th"), F.explode(every).alias("s")).select("id", "text", "th", "s.*")
     left, right = _part(F.col("text"), F.greatest(F.lit(0), F.col("start") - CONTEXT), F.col("start")), F.substr("text", F.col("end") + 1, F.lit(CONTEXT))
     around = F.replace(F.concat(left, _of(F.col("rule"), PLACEHOLDERS), right), F.lit("\n"), F.lit(" "))
     shown = F.regexp_replace(around, r"(?U)^\s+|\s+$", "").alias("masked_context")

@@ -26,6 +26,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(rows: DataFrame, most: int = 300_000) -> DataFrame:
+    """For a join: a broadcast where the rows, of a few short columns each, are counted to be few; else Spark shuffles."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def reachable(roots: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``(root, node_id, hops)``: every node on a walk from each root (column ``root``), with the fewest hops; 0 is the root."""
     steps = edges.select("source_id", "target_id").where("source_id IS NOT NULL AND target_id IS NOT NULL").distinct()
