@@ -232,6 +232,8 @@ def hard_negatives(
     schema = "idx bigint, nth int, other bigint, id bigint, score bigint"
     mined = dealt.groupBy("size", "block", "tile").applyInArrow(_best_negatives(negatives, low, high), schema)
     mined = _ranked(mined, ["idx", "nth"], negatives).join(chosen, ["idx", "nth"])
-    ids = {"anchor_id": "anchor_id", "positive_id": "positive_id", "id": "negative_id"}
-    named = [F.col(c).cast(kind).alias(name) for c, name in ids.items()]
-    return mined.select(*named, F.col("rank").cast("int").alias("rank"), "positive_score", F.col("score").alias("negative_score"))
+    as_id = lambda c: F.col(c).cast(kind)
+    return mined.select(
+        as_id("anchor_id").alias("anchor_id"), as_id("positive_id").alias("positive_id"), F.col("rank").cast("int").alias("rank"), as_id("id").alias("negative_id"),
+        "positive_score", F.col("score").alias("negative_score"),
+    )

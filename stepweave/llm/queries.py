@@ -128,7 +128,7 @@ WITH turns AS (
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 sized AS (
   SELECT *, length(replace(replace(replace(text, '\', '\e'), '<', '\l'), '|', '\p')) AS text_chars,
-    length(replace(replace(replace(role, '\', '\e'), '<', '\l'), '|', '\p')) AS role_chars,
+    length(replace(replace(replace(role, '\', '\e'), '<', '\l'), '|', '\p')) + CASE WHEN role IN ('end', '+') THEN 2 ELSE 0 END AS role_chars,
     lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
   FROM turns)
 SELECT conv_id, count(*)::BIGINT AS n_turns,

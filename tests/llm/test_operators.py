@@ -59,7 +59,7 @@ def test_fingerprints_against_exact_likeness(docs):
 
 def test_fingerprints_odd(odd, none):
     out = {r.id: r for r in fingerprints.edited_pairs(odd).collect()}
-    assert set(out) == {1, 2, 3, 4, 5, 6, 7, 8, None} and out[2].fingerprint == out[3].fingerprint == out[4].fingerprint
+    assert fingerprints.edited_pairs(odd).count() == odd.count() and set(out) == {1, 2, 3, 4, 5, 6, 7, 8, None} and out[2].fingerprint == out[3].fingerprint == out[4].fingerprint
     assert out[5].near_next < 0.2 and fingerprints.edited_pairs(none).count() == 0
     alone = odd.where("doc_id = 7")
     assert fingerprints.edited_pairs(alone).first().near_next == 1.0
@@ -67,14 +67,15 @@ def test_fingerprints_odd(odd, none):
 
 def test_fingerprints_of_repeated_ids(spark):
     rows = [(1, "a b c"), (1, "a longer text of this id"), (2, "the second one"), (3, "x y z"), (3, "x y z"), (None, "no id at all"), (None, None)]
-    out = {r.id: r for r in fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    got = fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert got.count() == len(out) == 4
+    got = fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     stands = {3: "x y z", 2: "the second one", 1: "a longer text of this id", None: "no id at all"}
-    for k, i in enumerate(stands):
-        text, after = stands[i], list(stands.values())[(k + 1) % 4]
+    after = dict(zip(stands, [*list(stands)[1:], 3], strict=True))
+    want = []
+    for i, text in rows:
+        text = text or ""
         n = len(text) // 3
-        assert out[i].n_chars == len(text) and out[i].edited_sha256 == hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest()
+        want.append((i, len(text), hashlib.sha256((text[: len(text) - n] + stands[after[i]][:n]).encode()).hexdigest()))
+    assert sorted(((r.id, r.n_chars, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
 
 
 def test_packing_against_the_naive_choice(spark):
@@ -387,7 +388,7 @@ def test_chat_ties_go_by_the_raw_text(spark):
     out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     out = out.select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()
     assert [t.text for r in out if r.conv_id == 1 for t in r.t] == ["none", *sorted(["A", "<", "|", "\\", "a"])]
-    assert sorted((t.role, t.text) for r in out if r.conv_id is None for t in r.t) == [("b", ""), ("user", "x"), ("user", "x")] and len(out) == 4
+    assert sorted((t.role, t.text) for r in out if r.conv_id is None for t in r.t) == [("b", ""), ("user", "x"), ("user", "x")] and len(out) == 2
 
 
 def test_chat_merges_and_is_native(spark):
