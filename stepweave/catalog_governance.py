@@ -126,10 +126,11 @@ def q_fuzzy_matches(spark, d):
     return lookups.fuzzy_matches(keys, part.select(F.col("p_name").alias("name")))
 
 
-@_query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type END AS kind FROM events")
+@_query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type || CASE WHEN event_id % 3 = 0 THEN 's' ELSE '' END WHEN event_type = 'error' THEN 'error' END AS kind FROM events")
 def q_kinds(spark, d):
-    words = F.concat(F.lit(" "), F.initcap("event_type"), F.lit("s"))
-    return _t(spark, d, "events").select("event_id", lookups.kind_of(words, ["click", "view"]).alias("kind"))
+    """Kinds of which some are known with their s, some without."""
+    words = F.concat(F.lit(" "), F.initcap("event_type"), F.when((F.col("event_id") % 3 == 0) | (F.col("event_type") == "error"), "s").otherwise(""))
+    return _t(spark, d, "events").select("event_id", lookups.kind_of(words, ["click", "clicks", "view", "views", "error"]).alias("kind"))
 
 
 @_query("SELECT DISTINCT l_orderkey AS owner, 'T' || l_suppkey AS leaf FROM lineitem WHERE l_linenumber < 4")
@@ -152,14 +153,18 @@ def q_lexical_hits(spark, d):
 # Stewardship, decisions, summaries
 
 
-@_query("""WITH d AS (SELECT o_custkey AS metric, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'where' WHEN '2' THEN 'having' WHEN '3' THEN 'join_on' ELSE 'select' END AS context, 'x > ' || o_orderkey AS expression, o_orderkey AS node_id FROM orders WHERE o_orderstatus <> 'P'),
-r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY context, node_id) AS k, count(*) OVER (PARTITION BY metric) AS n FROM d WHERE context <> 'select')
-SELECT metric, any_value(n) AS decisions, string_agg(context || ': ' || expression, chr(10) ORDER BY k) FILTER (WHERE k <= 3) || CASE WHEN any_value(n) > 3 THEN chr(10) || '+' || (any_value(n) - 3) || ' more' ELSE '' END AS lines FROM r GROUP BY 1""")
+@_query("""WITH d AS (SELECT o_custkey AS metric, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'where' WHEN '2' THEN 'having' WHEN '3' THEN 'join_on' ELSE 'select' END AS context, 'S' || (o_orderkey % 5) AS step, o_orderkey AS site,
+'b.CUST_ID = <ID> AND o.TOTAL > ' || floor(o_totalprice / 7)::BIGINT || ' AND o.PLACED < <DATE>' AS expression FROM orders WHERE o_orderstatus <> 'P'),
+r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY step, site) AS k, count(*) OVER (PARTITION BY metric) AS n FROM d WHERE context <> 'select')
+SELECT metric, any_value(n) AS decisions, string_agg(step || ' [' || context || ']: ' || expression, chr(10) ORDER BY k) FILTER (WHERE k <= 3) || CASE WHEN any_value(n) > 3 THEN chr(10) || '(+' || (any_value(n) - 3) || ' more decision sites ' || chr(8212) || ' see graph_decision_sites)' ELSE '' END AS lines FROM r GROUP BY 1""")
 def q_decision_summary(spark, d):
     first = F.substr("o_orderpriority", F.lit(1), F.lit(1))
     context = F.when(first == "1", "where").when(first == "2", "having").when(first == "3", "join_on").otherwise("select")
-    rows = _t(spark, d, "orders").select(F.col("o_custkey").alias("metric"), F.col("o_orderkey").alias("node_id"), F.when(F.col("o_orderstatus") != "P", "extracted").otherwise("failed").alias("status"), context.alias("context"), _id("x > ", "o_orderkey").alias("expression"))
-    return governance.decision_summary(rows, 3)
+    total = F.floor(F.col("o_totalprice") / 7).cast("string")
+    expression = F.concat(F.lit(" b.CUST_ID  = "), (F.col("o_custkey") + 70_000_000).cast("string"), F.lit("\t AND o.TOTAL > "), total, F.lit(" AND o.PLACED < '"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("'"))
+    status = F.when(F.col("o_orderstatus") != "P", "extracted").otherwise("failed")
+    named = [F.col("o_custkey").alias("metric"), F.concat(F.lit("S"), (F.col("o_orderkey") % 5).cast("string")).alias("step"), F.col("o_orderkey").alias("site")]
+    return governance.decision_summary(_t(spark, d, "orders").select(*named, status.alias("status"), context.alias("context"), expression.alias("expression")), 3)
 
 
 @_query("WITH c AS (SELECT l_orderkey, count(*) AS predicates FROM lineitem GROUP BY 1) SELECT l_orderkey, predicates, (SELECT count(*) FROM c) AS total FROM c ORDER BY predicates DESC, l_orderkey LIMIT 12")
@@ -167,9 +172,12 @@ def q_top_decisions(spark, d):
     return governance.top_decisions(_t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("predicates")), "predicates", "l_orderkey")
 
 
-@_query("SELECT p_partkey FROM part WHERE length(split_part(p_name, ' ', 1)) >= 4")
+@_query("""SELECT p_partkey FROM (SELECT p_partkey, upper(trim(CASE p_size % 4 WHEN 0 THEN '_Final_' || p_size WHEN 1 THEN ' cte' || p_size WHEN 2 THEN substr(p_name, 1, p_size % 7) ELSE p_name END)) AS t FROM part)
+WHERE length(t) >= 4 AND lower(trim(t, '_0123456789')) NOT IN ('final_select', 'final', 'finaldata', 'main', 'base', 'temp', 'tmp', 'cte', 'data', 'result', 'results', 'output')""")
 def q_term_candidates(spark, d):
-    return governance.term_candidates(_t(spark, d, "part").withColumn("term", F.split_part("p_name", F.lit(" "), F.lit(1))), "term").select("p_partkey")
+    size, kind = F.col("p_size").cast("string"), F.col("p_size") % 4
+    name = F.when(kind == 0, F.concat(F.lit("_Final_"), size)).when(kind == 1, F.concat(F.lit(" cte"), size)).when(kind == 2, F.substr("p_name", F.lit(1), F.col("p_size") % 7)).otherwise(F.col("p_name"))
+    return governance.term_candidates(_t(spark, d, "part").withColumn("term", name), "term").select("p_partkey")
 
 
 _STEWARDS = "a AS (SELECT o_custkey AS k, min(o_orderpriority) AS steward FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)"
@@ -194,9 +202,12 @@ def q_assignments_of(spark, d):
     return governance.assignments_of(_stewards(spark, d), "1-urgent")
 
 
-@_query(f"WITH {_STEWARDS} SELECT count(*) AS total, count(steward) AS assigned, count(DISTINCT steward) AS stewards, round(count(steward) * 100.0 / count(*), 1) AS percent FROM customer LEFT JOIN a ON k = c_custkey")
+@_query("""SELECT (SELECT count(*) FROM customer) AS total, count(DISTINCT o_custkey) AS assigned, (SELECT count(*) FROM customer) - count(DISTINCT o_custkey) AS unassigned, count(DISTINCT o_orderpriority) AS stewards,
+count(DISTINCT nullif(trim(o_orderpriority, '0123456789-'), 'LOW')) AS departments, count(DISTINCT o_custkey) * 100 // (SELECT count(*) FROM customer) AS percent FROM orders WHERE o_orderstatus = 'F'""")
 def q_steward_coverage(spark, d):
-    return governance.steward_coverage(_t(spark, d, "customer"), _stewards(spark, d), "c_custkey")
+    bare = F.regexp_replace("steward", "^[0-9-]+", "")
+    given = _stewards(spark, d).withColumn("department", F.when(bare != "LOW", bare).otherwise(""))
+    return governance.steward_coverage(_t(spark, d, "customer"), given, "c_custkey")
 
 
 @_query("SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS view, count(*) FILTER (WHERE event_type = 'error') AS error FROM events")
@@ -211,7 +222,7 @@ def q_publish_tallies(spark, d):
 
 
 @_query("""WITH t AS (SELECT DISTINCT user_id FROM events), n AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-15'), o AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-05'), g AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-05')
-SELECT (SELECT count(*) FROM t) AS total, (SELECT count(*) FROM n) AS errors, round(((SELECT count(*) FROM t) - (SELECT count(*) FROM n)) * 100.0 / (SELECT count(*) FROM t), 1) AS success_rate,
+SELECT (SELECT count(*) FROM t) AS total, (SELECT count(*) FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-15') AS errors, (SELECT count(*) FROM t) - (SELECT count(*) FROM n) AS success_count, round(((SELECT count(*) FROM t) - (SELECT count(*) FROM n)) * 100.0 / (SELECT count(*) FROM t), 1) AS success_rate,
 (SELECT count(*) FROM n WHERE user_id NOT IN (FROM o) AND user_id NOT IN (FROM g)) AS new, (SELECT count(*) FROM n WHERE user_id IN (FROM o)) AS known, (SELECT count(*) FROM n WHERE user_id NOT IN (FROM o) AND user_id IN (FROM g)) AS regressed, (SELECT count(*) FROM o WHERE user_id NOT IN (FROM n)) AS resolved""")
 def q_run_summary(spark, d):
     e = _t(spark, d, "events")
@@ -244,11 +255,12 @@ def q_carried_findings(spark, d):
     return governance.carried(_t(spark, d, "orders").where("o_orderstatus = 'P'").select("o_custkey", "o_orderkey"), earlier, "o_custkey", "2024-02-01")
 
 
-@_query("""WITH s AS (SELECT DISTINCT l_orderkey AS report, l_suppkey AS metric FROM lineitem), k AS (SELECT s_suppkey FROM supplier WHERE s_acctbal > 3000)
-SELECT report, count(*) AS sources, count(s_suppkey) AS in_corpus, CASE WHEN count(s_suppkey) = 0 THEN 'outside' WHEN count(s_suppkey) < count(*) THEN 'partial' ELSE 'in_corpus' END AS tie_kind FROM s LEFT JOIN k ON s_suppkey = metric GROUP BY 1""")
+@_query("""WITH s AS (SELECT l_orderkey AS report, 'rep.S' || l_suppkey AS metric, min(l_linenumber) AS pos FROM lineitem GROUP BY 1, 2), k AS (SELECT 'rep.s' || s_suppkey AS k FROM supplier WHERE s_acctbal > 3000)
+SELECT report, count(*) AS sources, count(k) AS in_corpus, CASE WHEN count(k) = 0 THEN 'lineage_outside_corpus' WHEN count(k) < count(*) THEN 'lineage_partial_corpus' ELSE 'lineage_in_corpus' END AS tie_kind,
+string_agg(metric, '; ' ORDER BY pos, metric) AS names FROM s LEFT JOIN k ON k = lower(metric) GROUP BY 1""")
 def q_report_journey(spark, d):
-    sources = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("report"), F.col("l_suppkey").alias("metric"))
-    return governance.report_journey(sources, _t(spark, d, "supplier").where("s_acctbal > 3000").select(F.col("s_suppkey").alias("metric")))
+    sources = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("report"), F.col("l_linenumber").alias("pos"), _id("rep.S", "l_suppkey").alias("metric"))
+    return governance.report_journey(sources, _t(spark, d, "supplier").where("s_acctbal > 3000").select(_id("REP.s", "s_suppkey").alias("metric")))
 
 
 @_query("""WITH r AS (SELECT DISTINCT l_orderkey AS report, 'T' || (l_suppkey % 30) AS "table", 'C' || (l_partkey % 20) AS column_name FROM lineitem), s AS (SELECT o_orderkey, 'T' || (o_custkey % 30) AS t, 'P' || (o_custkey % 7) AS p FROM orders), c AS (SELECT DISTINCT 'P' || (n_nationkey % 7) AS p, 'C' || (n_nationkey % 20) AS c FROM nation)
@@ -279,13 +291,16 @@ def q_term_links(spark, d):
     return governance.term_records(terms)[1]
 
 
-_REGISTRY = [("graph", "build", True, ["export", "search"], ["search"]), ("cards", "cards", True, ["search", "cards"], []), ("reports", "wire", False, ["search"], []), ("terms", "mine", True, ["search"], ["search"])]
-
-
-@_query("SELECT 'graph' AS contract, 'present' AS state UNION ALL SELECT 'cards', 'blocking' UNION ALL SELECT 'terms', 'absent'")
+@_query("""SELECT n_name AS contract, CASE WHEN s.k IS NOT NULL THEN 'present' WHEN n_nationkey % 2 = 0 THEN 'absent' ELSE 'blocking' END AS state
+FROM nation LEFT JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 8000) s ON s.k = n_nationkey WHERE n_nationkey % 5 <> 0 AND n_regionkey <> 2""")
 def q_setup_rows(spark, d):
-    registry = spark.createDataFrame(_REGISTRY, "contract string, owner string, active boolean, consumers array<string>, optional array<string>")
-    return governance.setup_rows(governance.required_inputs(registry, "search"), spark.createDataFrame([("graph",)], "contract string"))
+    """Nations are contracts that their region owns; those of rich suppliers exist."""
+    nation, key = _t(spark, d, "nation"), F.col("n_nationkey")
+    optional = F.when(key % 2 == 0, F.array(F.lit("search"))).otherwise(F.array().cast("array<string>"))
+    owner = F.when(F.col("n_regionkey") == 2, "search").otherwise("build")
+    registry = nation.select(F.col("n_name").alias("contract"), owner.alias("owner"), (key % 5 != 0).alias("active"), F.array(F.lit("search"), F.lit("export")).alias("consumers"), optional.alias("optional"))
+    have = _t(spark, d, "supplier").where("s_acctbal > 8000").join(nation, F.col("s_nationkey") == key).select(F.col("n_name").alias("contract"))
+    return governance.setup_rows(governance.required_inputs(registry, "search"), have)
 
 
 @_query("SELECT DISTINCT event_type AS kind FROM events WHERE event_type NOT IN ('click', 'view')")
@@ -293,12 +308,22 @@ def q_unreachable_kinds(spark, d):
     return governance.unreachable_kinds(_t(spark, d, "events").select(F.col("event_type").alias("kind")), spark.createDataFrame([("click",), ("view",)], "kind string"))
 
 
-@_query("""WITH t AS (SELECT user_id AS turn, list(CASE WHEN event_type = 'click' THEN 'search' ELSE event_type END) AS tools, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1)
-SELECT turn, len(tools)::INTEGER AS calls, list_contains(tools, 'search') AS searched, len(tools) > len(list_distinct(tools)) AS retried, errors > 0 AS failed, turn % 3 = 0 AS refused, len(list_distinct(tools)) > 1 AS multi_tool FROM t""")
+_CALLS = {"click": "get_facts", "view": "list_steps", "purchase": "check_same_logic", "signup": "search", "error": "search"}
+_ANSWERS = ("Both use the SAME LOGIC", "I COULDN'T FIND it", "The two differ, and one is not available", "It is 7", "the only metric")
+
+
+@_query("""WITH c AS (SELECT user_id * 40 + event_id % 40 AS turn, user_id, CASE event_type WHEN 'click' THEN 'get_facts' WHEN 'view' THEN 'list_steps' WHEN 'purchase' THEN 'check_same_logic' ELSE 'search' END AS tool, event_type = 'error' AS failed FROM events),
+t AS (SELECT turn, any_value(user_id) % 5 AS a, count(*) FILTER (WHERE tool IN ('get_facts', 'list_steps')) AS reads, bool_or(tool = 'check_same_logic') AS verified, count(*) FILTER (WHERE failed) AS bad FROM c GROUP BY 1
+  UNION ALL SELECT -1 - c_custkey, c_custkey % 5, 0, false, 0 FROM customer)
+SELECT turn, verified AS verified_by_tool, reads >= 2 AND NOT verified AS llm_assembled, a IN (0, 2, 4) AND NOT verified AS unverified_sameness_language, turn >= 0 AND reads = 0 AND NOT verified AS search_only, turn < 0 AS no_tools, bad::INTEGER AS tool_errors, a IN (1, 2) AS refused FROM t""")
 def q_decision_shape(spark, d):
-    tool = F.when(F.col("event_type") == "click", "search").otherwise(F.col("event_type"))
-    traces = _t(spark, d, "events").groupBy(F.col("user_id").alias("turn")).agg(F.collect_list(tool).alias("tools"), F.count_if(F.col("event_type") == "error").alias("errors"))
-    return governance.decision_shape(traces.withColumn("answer", F.when(F.col("turn") % 3 == 0, "I could NOT find it").otherwise("It is 7")))
+    """Turns are the events of a user in fortieths, and customers, who called no tool."""
+    tool = F.element_at(F.create_map(*(F.lit(x) for pair in _CALLS.items() for x in pair)), F.col("event_type"))
+    call = F.struct(tool.alias("tool"), F.when(F.col("event_type") == "error", "error: no rows").otherwise("12 rows").alias("result"))
+    events = _t(spark, d, "events").groupBy((F.col("user_id") * 40 + F.col("event_id") % 40).alias("turn"), "user_id").agg(F.collect_list(call).alias("calls"))
+    silent = _t(spark, d, "customer").select((-1 - F.col("c_custkey")).alias("turn"), F.col("c_custkey").alias("user_id"), F.lit(None).cast(dict(events.dtypes)["calls"]).alias("calls"))
+    answer = F.get(F.array(*map(F.lit, _ANSWERS)), (F.col("user_id") % 5).cast("int"))
+    return governance.decision_shape(events.unionByName(silent).withColumn("answer", answer))
 
 
 @_query("SELECT user_id, event_type, count(*) AS n, max(ts) AS last_at FROM events GROUP BY 1, 2")
@@ -315,23 +340,29 @@ def q_grounded_fraction(spark, d):
 # Texts
 
 
-@_query("SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[ \\t]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS plain FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\r\\x0b\\x0c\\x{feff}\\x{200b}\\x{a0}]')")
+@_query(r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN chr(13) || chr(10) || chr(160) || ' x' || chr(8203) || chr(9) || 'y' || chr(12) || chr(11) || 'z ' ELSE '' END, '[\x{feff}\x{200b}]', '', 'g'), '\r\n', chr(10), 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[\r\x0b\x0c]', chr(10), 'g'), '[ \t\x{a0}]+', ' ', 'g') AS t FROM a)
+SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS plain FROM b""")
 def q_plain_whitespace(spark, d):
-    docs = _t(spark, d, "documents").where("text IS NOT NULL").where(~F.rlike("text", F.lit("[\\r\\x0b\\x0c\\ufeff\\u200b\\u00a0]")))
+    """All texts, every fifth with all marks and odd blanks after it."""
+    marks = F.when(F.col("doc_id") % 5 == 0, "\r\n  x​\ty\u000c\u000bz ").otherwise("")
+    docs = _t(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), marks).alias("text"))
     return docs.select("doc_id", F.sha2(tx.plain_whitespace(F.col("text")), 256).alias("plain"))
 
 
-@_query("SELECT event_id, CASE event_type WHEN 'error' THEN 'timeout' WHEN 'click' THEN 'syntax' WHEN 'view' THEN 'none' ELSE 'other' END AS category FROM events")
+@_query("""SELECT event_id, CASE event_type WHEN 'click' THEN CASE WHEN value < 50 THEN 'no_query' ELSE 'all_queries_failed' END WHEN 'view' THEN 'complex_sql' WHEN 'error' THEN 'parse_failure' WHEN 'signup' THEN 'extraction_failure' ELSE 'unknown' END AS category FROM events""")
 def q_error_category(spark, d):
-    message = F.when(F.col("event_type") == "error", "A Timeout of syntax").when(F.col("event_type") == "click", "Unexpected token").when(F.col("event_type") == "view", " ").otherwise("what?")
-    return _t(spark, d, "events").select("event_id", tx.error_category(message).alias("category"))
+    kind, n = F.col("event_type"), F.col("event_id").cast("string")
+    said = F.when((kind == "click") & (F.col("value") < 50), F.concat(F.lit("No SELECT found in "), n)).when(kind == "click", F.concat(F.lit("None of "), n, F.lit(" queries Parsed successfully, failed to parse sql")))
+    said = said.when(kind == "view", F.concat(F.lit("Unexpected token at "), n)).when(kind == "error", F.concat(F.lit("Failed to parse SQL by ScriptDom: "), n)).when(kind == "signup", F.concat(F.lit("ScriptDom failed: "), n))
+    return _t(spark, d, "events").select("event_id", tx.error_category(said.otherwise(n)).alias("category"))
 
 
-@_query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 2 THEN 'dbo' ELSE 'rep' END AS schema, 'usp_' || s_suppkey AS name FROM supplier")
+@_query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'dw' ELSE '' END AS database, CASE WHEN s_suppkey % 3 = 2 THEN '' ELSE 'rep' END AS schema, 'usp_' || s_suppkey AS name FROM supplier")
 def q_exec_target(spark, d):
     third = F.col("s_suppkey") % 3
-    sql = F.concat(F.when(third == 0, "EXEC [dw].[rep].[").when(third == 1, "execute rep.[").otherwise("exec ["), _id("usp_", "s_suppkey"), F.lit("] @x = 1"))
-    return _t(spark, d, "supplier").select("s_suppkey", tx.exec_target(sql).alias("t")).select("s_suppkey", "t.schema", "t.name")
+    sql = F.concat(F.when(third == 0, "EXEC [dw] . [rep].[").when(third == 1, "execute rep.[").otherwise("exec ["), _id("usp_", "s_suppkey"), F.lit("] @x = 1, @y.z"))
+    return _t(spark, d, "supplier").select("s_suppkey", tx.exec_target(sql).alias("t")).select("s_suppkey", "t.*")
 
 
 @_query("SELECT p_partkey, 'Sales.' || p_type || ', ' || 'Table X.' || p_size AS refs FROM part")
@@ -362,11 +393,15 @@ def q_leaks(spark, d):
     return tx.leaks(_t(spark, d, "documents"), "doc_id", "text", ["License", "ing, ", "QZX"])
 
 
-@_query("SELECT event_id, (CASE event_id % 6 WHEN 0 THEN DATE '2024-02-10' WHEN 1 THEN DATE '2024-02-03' WHEN 2 THEN DATE '2024-02-01' WHEN 3 THEN DATE '2024-03-01' WHEN 4 THEN DATE '2024-12-31' ELSE DATE '2023-05-06' END)::VARCHAR AS day FROM events")
+@_query("""WITH t AS (SELECT o_orderkey, o_orderkey % 40 AS n, o_orderdate::DATE AS day FROM orders), today AS (SELECT DATE '2024-03-31' AS d)
+SELECT o_orderkey, (CASE o_orderkey % 7 WHEN 0 THEN d - n::INTEGER WHEN 1 THEN date_trunc('month', d - to_months(n::INTEGER)) WHEN 2 THEN date_trunc('month', d - to_months(n::INTEGER)) + INTERVAL 1 MONTH - INTERVAL 1 DAY
+  WHEN 3 THEN make_date(2024 - n, 1, 1) WHEN 4 THEN make_date(2024 - n, 12, 31) WHEN 5 THEN day ELSE d END)::DATE::VARCHAR AS day FROM t, today""")
 def q_date_tokens(spark, d):
-    k = F.col("event_id") % 6
-    token = F.when(k == 0, "nothing").when(k == 1, "t-7").when(k == 2, "MB").when(k == 3, "me + 1").when(k == 4, "YE").otherwise("2023-05-06")
-    return _t(spark, d, "events").select("event_id", tx.date_token(token, "2024-02-10").cast("string").alias("day"))
+    """A token of each kind with the orders' figures; what has a plus sign is no token, and today is a month's end."""
+    k, n = F.col("o_orderkey") % 7, (F.col("o_orderkey") % 40).cast("string")
+    back = lambda head: F.concat(F.lit(head), n)
+    token = F.when(k == 0, back("t-")).when(k == 1, back(" MB -")).when(k == 2, back("me-")).when(k == 3, back("Yb-")).when(k == 4, back("YE- ")).when(k == 5, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(back("ME+"))
+    return _t(spark, d, "orders").select("o_orderkey", tx.date_token(token, "2024-03-31").cast("string").alias("day"))
 
 
 @_query("SELECT doc_id, left(sha256(concat_ws('|', coalesce(doc_id::VARCHAR, ''), coalesce(source, ''), coalesce(lang, ''))), 16) AS finding_id FROM documents")

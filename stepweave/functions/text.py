@@ -40,22 +40,31 @@ def plain_whitespace(sql: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, " ?\n[ \n]*", "\n"), "^[ \n]+|[ \n]+$", "")
 
 
-#: What a parser's message says, in the order in which it is looked for, and the category. Fixed values.
-ERROR_WORDS = (("dynamic", "dynamic_sql"), ("timeout", "timeout"), ("unexpected", "syntax"), ("syntax", "syntax"), ("not found", "missing_object"), ("unsupported", "unsupported"))
+# What a parse error says, all words of a row together, in the order in which it is looked for.
+ERROR_WORDS = (
+    ("no_query", ("no select",)), ("no_query", ("no sql queries found",)),
+    ("complex_sql", ("error tokenizing",)), ("complex_sql", ("unexpected token",)), ("complex_sql", ("invalid expression",)),
+    ("all_queries_failed", ("none of", "parsed successfully")), ("parse_failure", ("failed to parse sql",)), ("extraction_failure", ("scriptdom",)),
+)
 
 
 def error_category(message: Column) -> Column:
-    out = F.when(F.trim(F.coalesce(message, F.lit(""))) == "", "none")
-    for words, category in ERROR_WORDS:
-        out = out.when(F.contains(F.lower(message), F.lit(words)), category)
-    return out.otherwise("other")
+    """The category of a parse error; ``unknown`` if its message says nothing of the kind, or is null."""
+    said, out = F.lower(F.coalesce(message, F.lit(""))), None
+    for category, words in ERROR_WORDS:
+        held = F.lit(True)
+        for word in words:
+            held = held & F.contains(said, F.lit(word))
+        out = F.when(held, category) if out is None else out.when(held, category)
+    return out.otherwise("unknown")
 
 
 def exec_target(sql: Column) -> Column:
-    """``(schema, name)`` that an EXEC names, brackets or not; the schema is dbo if none is given; null without one."""
-    head = r"(?i)\bexec(?:ute)?\s+(?:\[?\w+\]?\.)??(?:\[?(\w+)\]?\.)?\[?(\w+)\]?(?:[\s;]|$)"
-    schema, name = F.regexp_extract(sql, head, 1), F.regexp_extract(sql, head, 2)
-    return F.when(name != "", F.struct(F.when(schema == "", "dbo").otherwise(schema).alias("schema"), name.alias("name")))
+    """``(database, schema, name)`` that an EXEC names, brackets or not; what isn't named is empty; null without one."""
+    named = F.regexp_extract(sql, r"(?iU)\bexec(?:ute)?\s+((?:\[?\w+\]?\s*\.\s*){0,2}\[?\w+\]?)", 1)
+    parts = F.reverse(F.split(F.regexp_replace(named, r"[\[\]\s]", ""), "[.]"))
+    part = lambda k: F.coalesce(F.get(parts, F.lit(k)), F.lit(""))
+    return F.when(named != "", F.struct(part(2).alias("database"), part(1).alias("schema"), part(0).alias("name")))
 
 
 def column_refs(expression: Column) -> Column:
@@ -103,11 +112,26 @@ def leaks(df: DataFrame, id_col: str, text_col: str, terms: list[str], around: i
 
 
 def date_token(token: Column, today: str) -> Column:
-    """Dates by token: T today, MB and ME the month's begin and end, YB and YE the year's, each with days added or taken off
-    (``T-7``); other tokens are read as dates, and what is none is today."""
+    """Dates by token: ``T`` today, ``MB`` and ``ME`` begin and end of the month, ``YB`` and ``YE`` of the year; ``-n`` after it
+    takes off days, months and years. Other tokens are read as dates, and what is none is today."""
     day = F.lit(today).cast("date")
-    head, tail = F.upper(F.regexp_extract(token, r"^\s*([A-Za-z]+)\s*([+-]\s*[0-9]+)?\s*$", 1)), F.regexp_extract(token, r"^\s*([A-Za-z]+)\s*([+-]\s*[0-9]+)?\s*$", 2)
-    days = F.coalesce(F.try_to_number(F.nullif(F.regexp_replace(tail, r"[\s+]", ""), F.lit("")), F.lit("S999999999")).cast("int"), F.lit(0))
-    base = F.when(head == "T", day).when(head == "MB", F.trunc(day, "month")).when(head == "ME", F.last_day(day)).when(head == "YB", F.trunc(day, "year"))
-    base = base.when(head == "YE", F.date_sub(F.add_months(F.trunc(day, "year"), 12), 1))
-    return F.coalesce(F.date_add(base, days), F.try_to_timestamp(token).cast("date"), day)
+    form = r"^\s*(T|MB|ME|YB|YE)\s*(?:-\s*([0-9]{1,9})\s*)?$"
+    head = F.regexp_extract(F.upper(token), form, 1)
+    back = -F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(F.upper(token), form, 2), F.lit("")), F.lit("999999999")).cast("int"), F.lit(0))
+    month, year = F.add_months(day, back), F.year(day) + back
+    base = F.when(head == "T", F.date_add(day, back)).when(head == "MB", F.trunc(month, "month")).when(head == "ME", F.last_day(month))
+    base = base.when(head == "YB", F.make_date(year, F.lit(1), F.lit(1))).when(head == "YE", F.make_date(year, F.lit(12), F.lit(31)))
+    return F.coalesce(base, F.try_to_timestamp(token).cast("date"), day)
+
+
+# What an answer says that found nothing.
+REFUSALS = ("wasn't able to find", "couldn't find", "not found", "hasn't been", "i'm happy to help", "don't have information", "not available", "no documented", "i don't have")
+
+
+def says_any(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a text holds one of the phrases, case aside; false for null."""
+    return F.coalesce(F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.lower(text), p)), F.lit(False))
+
+
+def refuses(answer: Column) -> Column:
+    return says_any(answer, REFUSALS)

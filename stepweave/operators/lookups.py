@@ -108,6 +108,7 @@ def step_order(steps: DataFrame, depends: DataFrame, max_rounds: int = 1000) ->
     The depth is that of the longest chain below a step; steps of a cycle, or above one, come last with a null depth.
     """
     from stepweave.plans.graph import settled
+    from stepweave.plans.ordering import numbered
 
     edges = depends.select("step", "on").where("step <> on").distinct()
     left, done = settled(steps.select("step").distinct()), None
@@ -120,10 +121,7 @@ def step_order(steps: DataFrame, depends: DataFrame, max_rounds: int = 1000) ->
         left = settled(left.join(ready, "step", "left_anti"))
     rest = left.withColumn("depth", F.lit(None).cast("int"))
     out = rest if done is None else done.unionByName(rest)
-    sizes = out.groupBy(F.col("depth").alias("_depth")).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_depth").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a depth
-    inside = F.row_number().over(Window.partitionBy("depth").orderBy("step"))
-    return out.withColumn("_in", inside).join(before, F.col("depth").eqNullSafe(F.col("_depth"))).select("step", "depth", (F.col("_before") + F.col("_in")).alias("place"))
+    return numbered(out, [], [F.col("depth").asc_nulls_last(), F.col("step")]).select("step", "depth", "place")
 
 
 def fuzzy_matches(keys: DataFrame, names: DataFrame, least: float = 0.5) -> DataFrame:
@@ -147,9 +145,10 @@ def fuzzy_matches(keys: DataFrame, names: DataFrame, least: float = 0.5) -> Data
 
 
 def kind_of(word: Column, known: list[str]) -> Column:
-    """A kind's name in lower case without a plural s, if it is known, else null."""
-    one = F.regexp_replace(F.lower(F.trim(word)), "s$", "")
-    return F.when(one.isin(known), one)
+    """A kind's name in lower case, if it is known as it stands or else without a plural s; null if neither."""
+    said = F.lower(F.trim(word))
+    one = F.regexp_replace(said, "s$", "")
+    return F.when(said.isin(known), said).when(one.isin(known), one)
 
 
 def physical_leaves(steps: DataFrame, owner: str, tables: str) -> DataFrame:

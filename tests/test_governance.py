@@ -31,13 +31,58 @@ def test_step_order_leaves_cycles_last(spark):
 
 
 def test_decisions_and_journeys(spark):
-    rows = [("m", k, "extracted", "where", f"x{k}") for k in range(14)] + [("m", 99, "failed", "where", "no"), ("n", 1, "extracted", "select", "no")]
-    out = governance.decision_summary(spark.createDataFrame(rows, "metric string, node_id long, status string, context string, expression string")).collect()
-    assert [(r.metric, r.decisions) for r in out] == [("m", 14)] and out[0].lines.splitlines()[0] == "where: x0" and out[0].lines.endswith("where: x11\n+2 more")
-    links = spark.createDataFrame([("r", "a"), ("r", "b"), ("s", "z"), ("t", "a")], "report string, metric string")
-    got = governance.report_journey(links, spark.createDataFrame([("a",)], "metric string")).collect()
-    assert {r.report: r.tie_kind for r in got} == {"r": "partial", "s": "outside", "t": "in_corpus"}
-    assert governance.run_summary(links.limit(0), links.limit(0), spark.createDataFrame([], "report string, status string"), "report").first().success_rate == 100.0
+    rows = [("m", f"S{k % 2}", k, "extracted", "where", f"  x  > {k}\t") for k in range(14)] + [("m", "S", 99, "failed", "where", "no"), ("n", "S", 1, "extracted", "select", "no")]
+    rows += [("p", "A", 1, "extracted", "case_when", "PAT_ID = 123456 AND DOB = '1980-02-03' AND x > 5 " + "y" * 300)]
+    out = {r.metric: r for r in governance.decision_summary(spark.createDataFrame(rows, "metric string, step string, site long, status string, context string, expression string")).collect()}
+    lines = out["m"].lines.splitlines()
+    assert set(out) == {"m", "p"} and out["m"].decisions == 14 and lines[0] == "S0 [where]: x > 0" and lines[7] == "S1 [where]: x > 1" and len(lines) == 13
+    assert lines[12] == "(+2 more decision sites \u2014 see graph_decision_sites)"
+    assert out["p"].lines == "A [case_when]: " + ("PAT_ID = <ID> AND DOB = <DATE> AND x > 5 " + "y" * 300)[:160]
+    links = spark.createDataFrame([("r", 2, "a"), ("r", 1, "b"), ("r", 3, "a"), ("s", 1, "z"), ("t", 1, "A"), ("u", 1, "")], "report string, pos int, metric string")
+    got = {r.report: (r.tie_kind, r.names, r.sources) for r in governance.report_journey(links, spark.createDataFrame([("a",)], "metric string")).collect()}
+    assert got == {"r": ("lineage_partial_corpus", "b; a", 2), "s": ("lineage_outside_corpus", "z", 1), "t": ("lineage_in_corpus", "A", 1), "u": ("lineage_outside_corpus", "", 0)}
+    assert {r.tie_kind for r in governance.report_journey(links, None).collect()} == {"lineage"}
+    none = spark.createDataFrame([], "report string, status string")
+    assert governance.run_summary(links.limit(0), links.limit(0), none, "report").first().success_rate == 0.0
+    some = governance.run_summary(links, links.where("report = 'r'"), spark.createDataFrame([("r", "new"), ("x", "resolved")], none.schema), "report").first()
+    assert (some.total, some.errors, some.success_count, some.success_rate, some.new, some.resolved) == (4, 3, 3, 75.0, 1, 1)
+
+
+def test_stewards_and_terms(spark):
+    metrics = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    given = spark.createDataFrame([("a", "x", "d1"), ("a", "x", "d1"), ("b", "y", ""), ("c", None, "d2")], "k string, steward string, department string")
+    assert tuple(governance.steward_coverage(metrics, given, "k").first()) == (3, 2, 1, 2, 1, 66)
+    assert tuple(governance.steward_coverage(metrics.limit(0), given.limit(0), "k").first()) == (0, 0, 0, 0, 0, 0)
+    names = ["Final_Select", "__temp_2", "2base", "cohort", "los", " los ", "Results1", "stage", "source", "DATA_MART", None]
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n for r in governance.term_candidates(rows, "n").collect()} == {"cohort", "stage", "source", "DATA_MART"}
+
+
+def test_who_decided(spark):
+    call = lambda *tools: [(t, "ok") for t in tools]
+    turns = [
+        (1, call("get_facts", "list_steps"), "They differ."), (2, call("get_facts", "get_facts", "check_same_logic"), "IDENTICAL"), (3, call("search"), "candidates"), (4, [], "I don't have information"),
+        (5, None, None), (6, [("search", '{"error": 1}'), ("get_facts", "error")], "no other metric"),
+    ]
+    out = governance.decision_shape(spark.createDataFrame(turns, "turn int, calls array<struct<tool: string, result: string>>, answer string"))
+    assert [tuple(r) for r in out.orderBy("turn").collect()] == [
+        (1, False, True, True, False, False, 0, False), (2, True, False, False, False, False, 0, False), (3, False, False, False, True, False, 0, False), (4, False, False, False, False, True, 0, True),
+        (5, False, False, False, False, True, 0, False), (6, False, False, True, False, False, 2, False)]
+
+
+def test_errors_by_category(spark):
+    cases = {
+        "No SELECT found": "no_query", "no SQL queries found in proc": "no_query", "Error tokenizing 'x'": "complex_sql", "Unexpected token": "complex_sql", "invalid expression near": "complex_sql",
+        "none of 3 queries parsed successfully": "all_queries_failed", "failed to parse sql": "parse_failure", "ScriptDom failed": "extraction_failure", "timeout": "unknown", None: "unknown",
+    }
+    rows = spark.createDataFrame([(m,) for m in cases], "m string")
+    assert [r[0] for r in rows.select(tx.error_category(F.col("m"))).collect()] == list(cases.values())
+
+
+def test_date_tokens_shift_their_own_unit(spark):
+    cases = {"T": "2024-02-10", "t-7": "2024-02-03", "MB-1": "2024-01-01", "ME-1": "2024-01-31", "YB-1": "2023-01-01", "YE-2": "2022-12-31", " mb - 12 ": "2023-02-01", "me+1": "2024-02-10", "2023-05-06": "2023-05-06", "X-5": "2024-02-10", None: "2024-02-10"}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert [str(r[0]) for r in rows.select(tx.date_token(F.col("t"), "2024-02-10")).collect()] == list(cases.values())
 
 
 def test_targets_that_are_not_allowed_raise(spark):
@@ -63,7 +108,7 @@ def test_upserts_of_one_key_and_of_null(spark):
 def test_texts(spark):
     rows = spark.createDataFrame([("﻿a  b\r\n\r\n \t c​ ",), ("exec p",), ("EXECUTE [x].[y].[z];",)], "t string")
     assert rows.select(tx.plain_whitespace(F.col("t"))).first()[0] == "a b\nc"
-    assert [tuple(r[0]) if r[0] else None for r in rows.select(tx.exec_target(F.col("t"))).collect()] == [None, ("dbo", "p"), ("y", "z")]
+    assert [tuple(r[0]) if r[0] else None for r in rows.select(tx.exec_target(F.col("t"))).collect()] == [None, ("", "", "p"), ("x", "y", "z")]
     masked = tx.anonymised(F.lit("The 12 of 112, THE end"), [("word", "the", "A"), ("number", "12", "N"), ("literal", "end", "E")])
     assert spark.range(1).select(masked).first()[0] == "A N of 112, A E"
     assert spark.range(1).select(tx.mentions_all(F.lit("other things"), "the")).first()[0] is False
