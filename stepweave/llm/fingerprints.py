@@ -74,7 +74,7 @@ def likeness(left: Column, right: Column, bins: int = BINS) -> Column:
 
 
 def next_documents(ids: DataFrame) -> DataFrame:
-    """``(id, n, next_id, next_n)`` of distinct ids with ``n`` in descending order, null last; after the last comes the first.
+    """``(id, n, next_id)`` of distinct ids with ``n`` in descending order, null last; after the last comes the first.
 
     Ids are range partitioned and numbered inside their partitions; only one row a partition is numbered alone.
     """
@@ -85,8 +85,8 @@ def next_documents(ids: DataFrame) -> DataFrame:
     counts = at.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
     before = counts.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("rows").over(Window.partitionBy()).alias("total"))
     placed = at.withColumn("part", part).join(F.broadcast(before), "part").select("id", "n", (F.col("before") + row).alias("place"), "total")  # one row a partition
-    following = placed.select(F.col("id").alias("next_id"), F.col("n").alias("next_n"), F.pmod(F.col("place") - 1 + F.col("total"), F.col("total")).alias("place"))
-    return placed.join(following, "place").select("id", "n", "next_id", "next_n")
+    following = placed.select(F.col("id").alias("next_id"), F.pmod(F.col("place") - 1 + F.col("total"), F.col("total")).alias("place"))
+    return placed.join(following, "place").select("id", "n", "next_id")
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, shingle: int = SHINGLE) -> DataFrame:
@@ -98,7 +98,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     next. An empty table gives an empty result. Very long texts need memory for their own hashes only.
     """
     rows = plain(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
-    stands = rows.groupBy("id").agg(F.max(F.struct(F.length("text").alias("chars"), F.xxhash64("text").alias("th"))).alias("n"))
+    stands = rows.groupBy("id").agg(F.max(F.length("text")).alias("n"))
     return _edited(rows, next_documents(stands), bins, shingle)
 
 
@@ -108,14 +108,13 @@ def _key(id_: Column) -> Column:
 
 
 def _edited(rows: DataFrame, following: DataFrame, bins: int, shingle: int) -> DataFrame:
-    text = F.col("text")
-    printed = rows.select(_key(F.col("id")).alias("key"), F.xxhash64(text).alias("th"), F.struct("id", "text", fingerprint(text, bins, shingle).alias("fingerprint")).alias("row"))
-    before = following.select(_key(F.col("next_id")).alias("key"), F.col("next_n.th").alias("stands"), _key(F.col("id")).alias("prev"), F.floor(F.col("n.chars") / 3).cast("int").alias("wanted"))
-    # Compared as a range: the join stays one on the id, and what is printed is shuffled once for both joins.
-    stands = F.col("th").between(F.col("stands"), F.col("stands"))
-    lent = printed.join(before, "key").where(stands).select(F.col("prev").alias("key"), F.struct(F.left("row.text", F.col("wanted")).alias("lent"), F.col("row.fingerprint").alias("next_print")).alias("next"))
-    lent = lent.groupBy("key").agg(F.first("next").alias("next")).select("key", "next.*")  # of rows that repeat id and text
-    both = printed.join(lent, "key").select("row.*", "lent", "next_print", "key")
+    # Both joins below read all of these columns, so that what is printed is shuffled once for the two.
+    printed = rows.select(_key(F.col("id")).alias("key"), "id", "text", fingerprint(F.col("text"), bins, shingle).alias("fingerprint"))
+    before = following.select(_key(F.col("next_id")).alias("key"), _key(F.col("id")).alias("prev"), F.floor(F.col("n") / 3).cast("int").alias("wanted"))
+    next_ = F.struct(F.left("text", F.col("wanted")).alias("lent"), F.col("fingerprint").alias("next_print"))
+    stands = F.struct(F.length("text"), F.xxhash64("text"), "id")
+    lent = printed.join(before, "key").groupBy(F.col("prev").alias("key")).agg(F.max_by(next_, stands).alias("next")).select("key", "next.*")
+    both = printed.join(lent, "key")
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     both = both.withColumn("edited", F.concat(F.left("text", n - third), F.left("lent", third)))
