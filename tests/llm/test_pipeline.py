@@ -55,6 +55,8 @@ def test_columns(spark, name):
         "op1_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op2_best_fit": "doc_id", "op3_language": "doc_id held_out lang_pred score",
         "op4_quality": "doc_id perplexity", "op5_simhash": "doc_id fingerprint component_id", "op6_substrings": "doc_id n_words n_removed kept_sha256", "op7_mixing": "doc_id size source_size target taken",
         "op8_chat": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op9_toxicity": "doc_id held_out score predicted", "op10_embeddings": "vec_id n_links component_id kept",
+        "op11_centroids": "vec_id cluster distance cluster_inertia inertia centroid_sha256", "op12_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+        "op13_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
     }
     out = queries.queries()[name](spark, SF)
     assert set(wanted[name].split()) <= set(out.columns)
