@@ -531,7 +531,7 @@ def q_revenue_by_region(spark, d):
     return joined.groupBy("r_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
-from stepweave import catalog_governance, catalog_privacy, catalog_wiring  # noqa: E402, F401  (their queries register themselves here)
+from stepweave import catalog_checks, catalog_governance, catalog_privacy, catalog_wiring  # noqa: E402, F401  (their queries register themselves here)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
