@@ -412,3 +412,63 @@ def q_finding_ids(spark, d):
 @_query("SELECT doc_id, substr(text, 1, 200) AS head FROM documents WHERE length(text) > 5000")
 def q_text_caps(spark, d):
     return _t(spark, d, "documents").where(F.length("text") > 5000).select("doc_id", F.substr("text", F.lit(1), F.lit(200)).alias("head"))
+
+
+# Names, payloads and whole journeys
+
+
+@_query("""WITH n AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'rep.V_ACME_' WHEN 1 THEN 'usp_Acme_' WHEN 2 THEN '' ELSE 'X_' END || replace(p_name, ' ', '_') || CASE WHEN p_size % 5 = 0 THEN '' ELSE '_pbi' END AS name, p_size % 4 AS k, p_size % 5 AS m, lower(p_name) AS w FROM part)
+SELECT p_partkey, CASE WHEN m = 0 THEN NULL WHEN k = 2 AND contains(w, ' ') THEN substr(w, instr(w, ' ') + 1) ELSE w END AS key FROM n""")
+def q_match_keys(spark, d):
+    size = F.col("p_size")
+    head = F.when(size % 4 == 0, "rep.V_ACME_").when(size % 4 == 1, "usp_Acme_").when(size % 4 == 2, "").otherwise("X_")
+    name = F.concat(head, F.replace("p_name", F.lit(" "), F.lit("_")), F.when(size % 5 == 0, "").otherwise("_pbi"))
+    return _t(spark, d, "part").select("p_partkey", tx.match_key(name).alias("key"))
+
+
+@_query("SELECT doc_id, text AS decoded, lower(trim(source)) || ' report' AS key FROM documents WHERE text IS NOT NULL")
+def q_decoded_payloads(spark, d):
+    docs = _t(spark, d, "documents").where("text IS NOT NULL")
+    name = F.concat(F.lit("[433bbb97-0a] "), F.upper("source"), F.lit("   Report [667ad212-ff]"))
+    return docs.select("doc_id", tx.decoded(F.base64(F.encode("text", "UTF-8"))).alias("decoded"), tx.report_key(name).alias("key"))
+
+
+@_query("""SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'calculated_table' WHEN 1 THEN 'no_partition' WHEN 2 THEN 'directlake_entity' WHEN 3 THEN 'non_sql_source:Excel.Workbook' WHEN 4 THEN 'non_sql_source:#table' ELSE 'unrecognized_shape' END AS reason FROM part""")
+def q_partition_fallout(spark, d):
+    k, name = F.col("p_size") % 6, F.col("p_name")
+    body = F.when(k == 0, "= calculated\n source = x").when(k == 2, "= entity\n entityName").when(k == 3, "= m\n Excel.Workbook(x, #table)").when(k == 4, "= m\n #table({})").otherwise("= m\n Odd.Source(x)")
+    content = F.when(k == 1, F.concat(F.lit("measure "), name)).otherwise(F.concat(F.lit("table "), name, F.lit("\n  partition "), name, F.lit(" "), body))
+    return _t(spark, d, "part").select("p_partkey", tx.partition_fallout(content).alias("reason"))
+
+
+@_query("""WITH m AS (SELECT s_suppkey AS k, 'rep.M' || s_suppkey AS metric_id FROM supplier),
+r AS (SELECT l_suppkey AS k, 'R' || (l_orderkey % 9) AS report_name, min(l_linenumber) AS pos FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2),
+p AS (SELECT o_custkey AS k, bool_or(o_orderpriority = '1-URGENT') AS c, bool_or(o_orderpriority = '2-HIGH') AS w FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+t AS (SELECT c_custkey AS k, c_acctbal > 2000 AS ok FROM customer WHERE c_custkey % 4 = 0)
+SELECT metric_id, 'view' AS source_type, 'rep' AS source_schema, true AS loaded, coalesce(m.k % 5 > 0 AND m.k % 3 <> 0, false) AS parsed, CASE WHEN m.k % 5 = 0 THEN 'complex_sql' WHEN m.k % 7 = 0 THEN 'parse_error' END AS error_type,
+  m.k % 3 = 1 AS in_graph, coalesce(x.c_acctbal > 0, false) AS card, CASE WHEN t.ok THEN 'ok' WHEN t.ok IS NOT NULL THEN 'rejected_by_agent' WHEN x.c_custkey IS NOT NULL THEN 'pending' END AS described_status,
+  (SELECT count(*) FROM r WHERE r.k = m.k) AS report_count, coalesce((SELECT string_agg(report_name, '; ' ORDER BY pos, report_name) FROM r WHERE r.k = m.k), '') AS report_names, coalesce(p.c, false) AS published_collibra, coalesce(p.w, false) AS published_pbi_writeback
+FROM m LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) x ON x.c_custkey = m.k LEFT JOIN t ON t.k = m.k LEFT JOIN p ON p.k = m.k""")
+def q_metric_journeys(spark, d):
+    """Suppliers are metrics; customers of the same number their cards and descriptions, orders what was published."""
+    s, c, key = _t(spark, d, "supplier"), _t(spark, d, "customer"), F.col("s_suppkey")
+    sources = s.select(_id("rep.M", "s_suppkey").alias("metric_id"), F.lit("view").alias("source_type"), F.lit("rep").alias("source_schema"))
+    checked = s.where(key % 3 != 0).select(_id("REP.m", "s_suppkey").alias("metric_id"), (key % 5 > 0).alias("parsed"), (key % 3 == 1).alias("canonical"))
+    errors = s.where((key % 5 == 0) | (key % 7 == 0)).select(_id("rep.m", "s_suppkey").alias("metric_id"), F.when(key % 5 == 0, "complex_sql").alias("error_category"))
+    cards = c.where("c_custkey % 2 = 0").select(_id("Rep.M", "c_custkey").alias("metric_id"), F.when(F.col("c_acctbal") > 0, "sums").alias("calculation_logic"))
+    bare = F.when(F.col("c_custkey") % 8 == 0, _id("m", "c_custkey")).otherwise(_id("rep.M", "c_custkey"))
+    told = c.where("c_custkey % 4 = 0").select(bare.alias("metric_name"), F.when(F.col("c_acctbal") > 2000, "ok").otherwise("rejected").alias("status"))
+    links = _t(spark, d, "lineitem").where("l_linenumber <= 3").select(F.concat(F.lit("R"), (F.col("l_orderkey") % 9).cast("string")).alias("report_name"), F.lit("REP").alias("schema_name"), _id("m", "l_suppkey").alias("sql_object"), F.col("l_linenumber").alias("pos"))
+    target = F.when(F.col("o_orderpriority") == "1-URGENT", "collibra").when(F.col("o_orderpriority") == "2-HIGH", "fabric_pbi").otherwise("other")
+    even = F.col("o_orderkey") % 2 == 0
+    published = _t(spark, d, "orders").select(F.when(even, _id("REP.M", "o_custkey")).alias("asset_id"), F.when(~even, _id("M", "o_custkey")).alias("name"), target.alias("target"), F.when(F.col("o_orderstatus") == "F", "success").otherwise("failed").alias("status"))
+    return governance.metric_journey(sources, checked, errors, cards, told, links, published)
+
+
+@_query("""SELECT 'r7' AS run_id, '2024-02-01' AS run_timestamp, o_orderkey AS metric_id, o_orderpriority AS metric_name, 'unknown' AS error_type, repeat('x', (o_orderkey % 700)::INTEGER)[1:500] AS error_message, o_custkey AS line_count, 1 AS query_count,
+repeat('y', 250 + (o_orderkey % 100)::INTEGER)[1:300] AS clean_sql_preview, CASE WHEN o_custkey % 2 = 0 THEN 'known' ELSE 'new' END AS status FROM orders WHERE o_orderstatus = 'P'""")
+def q_error_records(spark, d):
+    o = _t(spark, d, "orders").where("o_orderstatus = 'P'")
+    texts = F.repeat(F.lit("x"), (F.col("o_orderkey") % 700).cast("int")), F.repeat(F.lit("y"), (250 + F.col("o_orderkey") % 100).cast("int"))
+    current = o.select(F.col("o_orderkey").alias("metric_id"), F.col("o_orderpriority").alias("metric_name"), F.lit("unknown").alias("error_type"), texts[0].alias("error_message"), F.col("o_custkey").alias("line_count"), F.lit(1).alias("query_count"), texts[1].alias("clean_sql_preview"))
+    return governance.error_records(current, o.where("o_custkey % 2 = 0").select(F.col("o_orderkey").alias("metric_id"), F.lit("known").alias("status")), "r7", "2024-02-01")

@@ -135,3 +135,38 @@ def says_any(text: Column, phrases: tuple[str, ...]) -> Column:
 
 def refuses(answer: Column) -> Column:
     return says_any(answer, REFUSALS)
+
+
+def match_key(name: Column) -> Column:
+    """What of an object's name a report is matched by: without its schema, ``_PBI`` at the end, ``V_`` or ``USP_`` and the
+    company at the start, in lower case with blanks for underscores. Null for other names, and if nothing is left."""
+    bare = F.element_at(F.split(F.trim(name), "[.]"), -1)
+    core = F.regexp_replace(F.regexp_replace(bare, "(?i)_PBI$", ""), "(?i)^(V|USP)_", "")
+    key = F.trim(F.regexp_replace(F.lower(F.regexp_replace(core, "^[^_]*_", "")), r"[_\s]+", " "))
+    return F.when(F.rlike(bare, F.lit("(?i)_PBI$")) & (key != ""), key)
+
+
+def report_key(name: Column) -> Column:
+    """A report's name to match by: ids in brackets go, lower case, single blanks."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(name, r"(?i)\[[0-9a-f-]+\]\s*", "")), r"\s+", " "))
+
+
+def decoded(payload: Column) -> Column:
+    """The text of a Base64 payload; null for what is none."""
+    return F.try_to_binary(payload, F.lit("base64")).cast("string")
+
+
+# Sources of a partition that are no SQL, in the order in which they are looked for.
+NON_SQL_SOURCES = (
+    "Snowflake.Databases", "Folder.Files", "Excel.Workbook", "SharePoint.Files", "SharePoint.Tables", "Web.Contents", "ActiveDirectory.Domains",
+    "Table.FromRows", "Table.Combine", "Table.NestedJoin", "DateTime.LocalNow", "DateTime.FixedLocalNow", "List.Dates", "#table",
+)
+
+
+def partition_fallout(content: Column) -> Column:
+    """Why a table's definition gives no SQL source: calculated_table, no_partition, directlake_entity,
+    ``non_sql_source:<function>`` or unrecognized_shape."""
+    kind = F.regexp_extract(content, r"partition\s+[^\n]+=\s*(m|entity)\b", 1)
+    out = F.when(F.rlike(content, F.lit(r"partition\s+[^\n]+=\s*calculated\b")), "calculated_table").when(kind == "", "no_partition").when(kind == "entity", "directlake_entity")
+    known = F.get(F.filter(F.array(*map(F.lit, NON_SQL_SOURCES)), lambda f: F.contains(content, f)), F.lit(0))
+    return out.when(known.isNotNull(), F.concat(F.lit("non_sql_source:"), known)).otherwise("unrecognized_shape")

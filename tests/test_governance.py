@@ -124,3 +124,29 @@ def test_nothing_to_ground_is_grounded(spark):
     empty = spark.createDataFrame([], "k long")
     assert records.grounded_fraction(empty, empty, "k").first()[0] == 1.0
     assert algebra.Registry().found == {}
+
+
+def test_names_reports_are_matched_by(spark):
+    cases = {
+        "V_ACME_SomeReport_PBI": "somereport", "rep.V_ACME_Some_Report_Name_PBI": "some report name", "USP_ACME_ED_Sepsis_pbi": "ed sepsis", "V_ACME_340B_Charges_PBI": "340b charges", "SomeOtherProc": None,
+        "V_Single_PBI": "single", "_PBI": None, None: None,
+    }
+    rows = spark.createDataFrame([(n,) for n in cases], "n string")
+    assert [r[0] for r in rows.select(tx.match_key(F.col("n"))).collect()] == list(cases.values())
+    name = F.lit("[433bbb97-0a1b]  340B  Eligible Charges [667ad212-ff] ")
+    assert spark.range(1).select(tx.report_key(name)).first()[0] == "340b eligible charges"
+    rows = spark.createDataFrame([("aGkgw6Q=",), ("%%%",), (None,)], "p string")
+    assert [r[0] for r in rows.select(tx.decoded(F.col("p"))).collect()] == ["hi ä", None, None]
+
+
+def test_metrics_that_repeat_raise_and_facts_never_multiply(spark):
+    frame = spark.createDataFrame
+    tables = [
+        frame([("s.M", "view", "s")], "metric_id string, source_type string, source_schema string"), frame([("S.m", True, True), ("s.M", False, True)], "metric_id string, parsed boolean, canonical boolean"),
+        frame([("s.m", None), ("s.m", "x")], "metric_id string, error_category string"), frame([("s.M", ""), ("s.m", "logic")], "metric_id string, calculation_logic string"),
+        frame([("m", "rejected"), ("M", "ok")], "metric_name string, status string"), frame([("R2", "s", "m", 2), ("R1", "S", "M", 3), ("R2", "s", "m", 9)], "report_name string, schema_name string, sql_object string, pos int"),
+        frame([(None, "m", "collibra", "success"), ("s.m", "x", "fabric_pbi", "failed")], "asset_id string, name string, target string, status string"),
+    ]
+    assert [tuple(r) for r in governance.metric_journey(*tables).collect()] == [("s.M", "view", "s", True, True, "x", True, True, "ok", 2, "R2; R1", True, False)]
+    with pytest.raises(PySparkException):
+        governance.metric_journey(tables[0].unionByName(tables[0]), *tables[1:]).collect()
