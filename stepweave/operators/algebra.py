@@ -7,6 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepweave.plans.graph import small_side
+from stepweave.plans.ordering import numbered
+
 from stepweave.functions.text import mentions
 from stepweave.plans.graph import calculated_by, reachable, uses_table
 
@@ -111,8 +114,17 @@ def join_evidence(df: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def latency(df: DataFrame, by: str, value: str) -> DataFrame:
-    """``(by, n, median)``: the exact median of each group."""
-    return df.groupBy(by).agg(F.count(value).alias("n"), F.median(value).alias("median"))
+    """``(by, n, median)``: the exact median of each group, null without a value.
+
+    Values are numbered in order over range partitions and only the middle ones of a group are read, so that no group,
+    however large, is held by one task.
+    """
+    counts = df.groupBy(by).agg(F.count(value).alias("n"))
+    placed = numbered(df.where(F.col(value).isNotNull()).select(by, value), [by], [F.col(value)])
+    middle = placed.join(small_side(counts.select(F.col(by).alias("_by"), "n")), F.col(by).eqNullSafe(F.col("_by")))
+    middle = middle.where(F.col("place").isin(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1))
+    found = middle.groupBy(F.col(by).alias("_by")).agg(F.avg(value).alias("median"))
+    return counts.join(found, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "median")
 
 
 def first_in_row(df: DataFrame, item: str, order: str, field: str) -> DataFrame:

@@ -127,18 +127,31 @@ def step_order(steps: DataFrame, depends: DataFrame, max_rounds: int = 1000) ->
 def fuzzy_matches(keys: DataFrame, names: DataFrame, least: float = 0.5) -> DataFrame:
     """``(key, name, score)``: for each key its best name, by the share of its words that the name holds; ties by name.
 
-    A word is held if it equals a word of the name, or, both of three letters or more, one lies in the other. Words can
-    only meet at an equal word or at a run of three letters, so the join is on those and never on all pairs.
+    A word is held if it equals a word of the name, or, both of three letters or more, one lies in the other. Words meet
+    before their rows do: a word that lies in others is looked up by one run of three letters, the one that fewest of them
+    have, so that common runs join nothing.
     """
 
-    def pieces(df: DataFrame, column: str, word: str) -> DataFrame:
-        rows = df.select(column).distinct().select(column, F.explode(F.array_distinct(F.filter(F.split(F.lower(column), "[^a-z0-9]+"), lambda w: w != ""))).alias(word))
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - 2)), lambda k: F.substr(F.col(word), k, F.lit(3)))
-        return rows.withColumn("_piece", F.explode(F.array_distinct(F.when(F.length(word) >= 3, runs).otherwise(F.array(word)))))
-
-    met = pieces(keys, "key", "_k").join(pieces(names, "name", "_n"), "_piece").select("key", "_k", "name", "_n").distinct()
-    inside = (F.length("_k") >= 3) & (F.length("_n") >= 3) & (F.contains("_k", F.col("_n")) | F.contains("_n", F.col("_k")))
-    held = met.where((F.col("_k") == F.col("_n")) | inside).groupBy("key", "name").agg(F.countDistinct("_k").alias("_held"))
+    def worded(df: DataFrame, column: str, word: str) -> DataFrame:
+        split = F.array_distinct(F.filter(F.split(F.lower(column), "[^a-z0-9]+"), lambda w: w != ""))
+        return df.select(column).distinct().select(column, F.explode(split).alias(word))
+
+    def runs(words: DataFrame) -> DataFrame:
+        cut = F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda k: F.substr(F.col("w"), k, F.lit(3)))
+        return words.where(F.length("w") >= 3).select("w", F.explode(F.array_distinct(cut)).alias("run"))
+
+    def inside(short: DataFrame, long: DataFrame) -> DataFrame:
+        """``(short, long)``: words and those that they lie in."""
+        held = runs(long)
+        often = held.groupBy("run").agg(F.count("*").alias("often"))
+        rare = runs(short).join(often, "run").groupBy(F.col("w").alias("short")).agg(F.min_by("run", F.struct("often", "run")).alias("run"))
+        return rare.join(held.withColumnRenamed("w", "long"), "run").where(F.contains("long", F.col("short"))).select("short", "long")
+
+    of_keys, of_names = worded(keys, "key", "_k"), worded(names, "name", "_n")
+    k, n = of_keys.select(F.col("_k").alias("w")).distinct(), of_names.select(F.col("_n").alias("w")).distinct()
+    pairs = k.join(n, "w", "left_semi").select(F.col("w").alias("_k"), F.col("w").alias("_n"))
+    pairs = pairs.unionByName(inside(k, n).select(F.col("short").alias("_k"), F.col("long").alias("_n"))).unionByName(inside(n, k).select(F.col("long").alias("_k"), F.col("short").alias("_n"))).distinct()
+    held = of_keys.join(pairs, "_k").join(of_names, "_n").groupBy("key", "name").agg(F.countDistinct("_k").alias("_held"))
     total = F.size(F.array_distinct(F.filter(F.split(F.lower("key"), "[^a-z0-9]+"), lambda w: w != "")))
     scored = held.withColumn("score", F.col("_held") / total).where(F.col("score") >= least)
     return scored.groupBy("key").agg(F.max("score").alias("score"), F.min_by("name", F.struct(-F.col("score"), "name")).alias("name")).select("key", "name", "score")

@@ -70,3 +70,29 @@ def test_registry_and_numbers(spark):
 def test_readiness_of_nothing(spark):
     row = algebra.readiness([("parse", spark.createDataFrame([], "x int"), "x = 1", 0.9, True)]).first()
     assert (row.value, row.passed) == (0.0, False)
+
+
+def test_medians_and_fuzzy_names_against_loops(spark):
+    import random
+    from statistics import median
+
+    from stepweave.operators import algebra, lookups
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.0, rng.random()])) for _ in range(80)] + [("none", None)]
+    got = {r.g: (r.n, r["median"]) for r in algebra.latency(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    for g in {r[0] for r in rows}:
+        values = [v for x, v in rows if x == g and v is not None]
+        assert got[g][0] == len(values) and (got[g][1] is None if not values else abs(got[g][1] - median(values)) < 1e-12)
+    words = ["ed", "sepsis", "sep", "psi", "report", "reporting", "los", "x", "xy", "daily"]
+    make = lambda n: sorted({" ".join(rng.sample(words, rng.randrange(1, 4))) for _ in range(n)})
+    keys, names = make(25), make(25)
+    out = {r.key: (r.name, round(r.score, 9)) for r in lookups.fuzzy_matches(spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    held = lambda w, v: w == v or (len(w) >= 3 and len(v) >= 3 and (w in v or v in w))
+    want = {}
+    for k in keys:
+        scored = [(sum(any(held(w, v) for v in n.split()) for w in set(k.split())) / len(set(k.split())), n) for n in names]
+        best = [(-s, n) for s, n in scored if s >= 0.5]
+        if best:
+            want[k] = (min(best)[1], round(-min(best)[0], 9))
+    assert out == want and want
