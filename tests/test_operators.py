@@ -59,8 +59,6 @@ def test_sources(spark, tmp_path):
     (tmp_path / "d.csv").write_text("TABLE_NAME,DESCRIPTION\nA,x\na,y\n")
     with pytest.raises(ValueError):
         files.dictionary_csv(spark, str(tmp_path / "d.csv"), ["TABLE_NAME"])
-    a, b = spark.createDataFrame([("A", 1)], "k string, v int"), spark.createDataFrame([("a", 2), ("B", 3)], "k string, v int")
-    assert {(r.k, r.v) for r in files.merge_dictionaries(a, b, ["k"]).collect()} == {("A", 1), ("B", 3)}
 
 
 def test_events_batch_and_stream(spark, tmp_path):
