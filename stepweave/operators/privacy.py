@@ -30,14 +30,13 @@ RULES = (
 )
 ID_LIST = ("id_literal", rf"(?i)\b{ID_COLUMN}\s+IN\s*\(", r"[^)]*", r"\)")
 LIST_MEMBER = ("id_literal", "", r"\d{5,}", "")
-# End of the first part. What every match of a rule, or of an id list, holds and is quick to look for (ours):
-SIGNS = (r"\d-\d\d-\d", r"@", r"\d{3}[-.]\d{4}", r"(?i)(?:=|<>)\s*'?\d{5}", r"(?i)(?:=|<>|LIKE)\s*'", r"'\d", r"'\d", r'(?:=|<>)\s*"\d{5}', r'(?:=|<>)\s*"', r'"\d', r'"\d', r"[<>]=?\s*\d")
-LIST_SIGN = r"(?i)\sIN\s*\("
-# Fixed values, second part.
 PLACEHOLDERS = {"contact_literal": "<CONTACT>", "id_literal": "<ID>", "name_literal": "<NAME>", "date_literal": "<DATE>", "threshold_literal": "<VALUE>"}
 SEVERITY = {"contact_literal": "high", "id_literal": "high", "name_literal": "high", "date_literal": "medium", "threshold_literal": "low"}
 DISPOSITION = {"contact_literal": "redact", "id_literal": "redact", "name_literal": "redact", "date_literal": "redact", "threshold_literal": "open"}
 CONTEXT = 30
+# Ours: what every match of a rule, or of an id list, holds and is quick to look for.
+SIGNS = (r"\d-\d\d-\d", r"@", r"\d{3}[-.]\d{4}", r"(?i)(?:=|<>)\s*'?\d{5}", r"(?i)(?:=|<>|LIKE)\s*'", r"'\d", r"'\d", r'(?:=|<>)\s*"\d{5}', r'(?:=|<>)\s*"', r'"\d', r'"\d', r"[<>]=?\s*\d")
+LIST_SIGN = r"(?i)\sIN\s*\("
 
 
 def _of(rule: Column, values: dict[str, str]) -> Column:
