@@ -3,8 +3,8 @@
 A 64-bit fingerprint is the bitwise majority over the hashes of word shingles. Fingerprints at Hamming distance
 ``tau`` or less are linked. The search groups correlated bits into partitions, gives each partition its own threshold
 by dynamic programming on estimated candidate counts (thresholds sum to ``tau - partitions + 1``, so no link is lost),
-probes each partition within its threshold and verifies the whole distance. Texts can be verified beyond that: links
-whose shingle sets are less alike than a given Jaccard similarity are dropped (``near_components``).
+probes each partition within its threshold and verifies the whole distance. ``near_components`` links texts by the exact
+Jaccard similarity of their shingles: the search finds most of a group, and a prefix filter over rare shingles the rest.
 """
 
 from __future__ import annotations
@@ -25,19 +25,21 @@ from stepweave.llm.components import connected_components, local_forest
 BITS = 64
 #: Rows of a bucket that one task compares; larger buckets are dealt out in pairs of tiles of this size.
 TILE = 2048
-#: Rows of a tile where all fingerprints are compared.
-SCAN = 32768
 #: Work of storing a fingerprint under one key, in comparisons.
 KEY_WORK = 400
-#: Fingerprints that can still be alike by size, as a share of all (a guess that steers the plan, never the result).
-BY_SIZE = 0.25
-#: Bits that may differ where a Jaccard similarity of 0.8 is asked: such pairs differ in ten on average, and fourteen reach
-#: 98 to 100 of 100 of them (twelve 87 to 95), as measured on two tables.
-ALIKE_TAU, ALIKE = 14, 0.8
-#: Of 64 further bits so many may differ: pairs at 0.8 differ in ten (five standard deviations less), unrelated ones in 32.
-FURTHER = 24
+#: Bits in which the fingerprints of near copies differ, at most, where operator 5's own search looks for them.
+TAU = 3
+#: Jaccard similarity of near copies.
+ALIKE = 0.8
+#: Of the 128 bits of both fingerprints so many may differ before the shingle sets are compared at all. Pairs at 0.8 differ in
+#: 20 on average with a deviation of about 4.4, unrelated ones in 64; ``far=128`` of ``near_components`` leaves the check out.
+FAR = 44
+#: Counters of shingles by which the rare ones are told from the frequent; they order shingles and never change a result.
+CELL_BITS = 18
 #: Pairs of one text that a task verifies, about, and texts of a tile in which parts of a group are held together.
 SHARE, PARTS = 512, 2048
+#: Shingles that the sets of a tile hold, about.
+HELD = 4_000_000
 #: Rows of a few longs each that are sent to every task; more are joined by a shuffle.
 SMALL = 300_000
 ROOM = 1e-9
@@ -167,18 +169,6 @@ def allocate(n: int, gram: np.ndarray, groups: list[list[int]], tau: int) -> lis
     return best[goal][1]
 
 
-def cheapest(n: int, gram: np.ndarray, tau: int, share: float) -> tuple[list[list[int]], list[int]]:
-    """Partitions and thresholds of the least estimated work; one partition (every bit, the whole ``tau``) compares all pairs."""
-    best, least = ([list(range(BITS))], [tau]), n * n / 2 * share
-    for partitions in range(2, 2 * tau // 3 + 3):
-        groups = group_bits(n, gram, partitions)
-        found = allocate(n, gram, groups, tau)
-        work = sum(estimated_candidates(n, gram, bits, t) for bits, t in zip(groups, found, strict=True))
-        if work < least:
-            best, least = (groups, found), work
-    return best
-
-
 def _extract(bits: list[int], column: str = "fp") -> str:
     """SQL for the chosen bits of a fingerprint as a long."""
     return " | ".join(f"shiftleft(shiftrightunsigned({column}, {b}) & 1L, {k})" for k, b in enumerate(bits)) or "0L"
@@ -212,34 +202,35 @@ def _stored(probes: list[tuple[int, list[int]]]):
     return stored
 
 
-_ROW = ("node", "fp", "n", "further")
+_ROW = ("node", "fp", "n", "further", "root")
 _AT = ("part", "value", "a", "b", "side")
 
 
 def _bucket_links(tau: int, least: float):
     """Task side of the verification of distances, over rows sorted by bucket.
 
-    Out go links ``(u, v)``: all of a bucket, or, where they are many, a forest of them and each node that has others as
-    ``(u, u)``.
+    The distance is that of ``fp`` and ``further`` together. Rows of one ``root`` are linked already and not compared. Out go
+    links ``(u, v)``: all of a bucket, or, where they are many, a forest of them and each node that has others as ``(u, u)``.
     """
 
     def near(left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         other = left if right is None else right
-        x, y = left[:, 6].view(np.uint64), other[:, 6].view(np.uint64)
+        x, y, z, w = (side[:, c].copy().view(np.uint64) for c in (6, 8) for side in (left, other))
         for i in range(0, len(x), 64):
             for j in range(i // 4096 * 4096 if right is None else 0, len(y), 4096):
-                a, b = np.nonzero(np.bitwise_count(x[i : i + 64, None] ^ y[None, j : j + 4096]) <= tau)
+                far = np.bitwise_count(x[i : i + 64, None] ^ y[None, j : j + 4096]) + np.bitwise_count(z[i : i + 64, None] ^ w[None, j : j + 4096])
+                a, b = np.nonzero(far <= tau)
                 a, b = a + i, b + j
                 if right is None:
                     a, b = a[a < b], b[a < b]
                 n, m = left[a, 7], other[b, 7]
                 keep = np.minimum(n, m) >= least * np.maximum(n, m) - ROOM
-                keep &= np.bitwise_count((left[a, 8] ^ other[b, 8]).view(np.uint64)) <= FURTHER
+                keep &= left[a, 9] != other[b, 9]
                 yield a[keep], b[keep]
 
     def bucket(left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        nodes = left[:, 5] if right is None else np.concatenate([left[:, 5], right[:, 5]])
-        root, held, spare = np.arange(len(nodes)), 0, np.zeros(len(nodes), bool)
+        nodes, roots = (left[:, c] if right is None else np.concatenate([left[:, c], right[:, c]]) for c in (5, 9))
+        root, held, spare = np.unique(roots, return_inverse=True)[1], 0, np.zeros(len(nodes), bool)
         for a, b in near(left, right):
             b = b if right is None else b + len(left)
             while len(a):
@@ -252,8 +243,8 @@ def _bucket_links(tau: int, least: float):
                     else:
                         spare[a[more]] = spare[b[more]] = True
                 a, b = a[open_], b[open_]
-                if len(a):  # one link of each node at the least
-                    pick = np.unique(np.concatenate([np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1]]))
+                if len(a):  # one link of each part at the least
+                    pick = np.unique(np.concatenate([np.unique(root[a], return_index=True)[1], np.unique(root[b], return_index=True)[1]]))
                     yield nodes[a[pick]], nodes[b[pick]]
                     root = local_forest(root[a[pick]], root[b[pick]], len(root))[root]
                     rest = np.ones(len(a), bool)
@@ -305,61 +296,39 @@ def _tiled(rows: DataFrame, keys: list[str], tile: int) -> DataFrame:
     return dealt.select(*keys, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), *_ROW)
 
 
-def _scanned(prints: DataFrame, n: int, least: float, tile: int) -> DataFrame:
-    """All rows in tiles by size, each once for each tile whose sizes its own can be alike to."""
-    spark = prints.sparkSession
-    wanted = max(1, -(-n // tile))
-    cuts = sorted(set(prints.approxQuantile("n", [k / wanted for k in range(1, wanted)], 0.25 / wanted))) if wanted > 1 else []
-    cell = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)).cast("array<double>"), lambda c: c <= F.col("n")))
-    placed = prints.withColumn("cell", cell)
-    cells = placed.groupBy("cell").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high")).orderBy("cell").collect()  # a row a tile
-    parts = [-(-c.rows // tile) for c in cells]
-    start = np.cumsum([0, *parts]).tolist()
-    plan = []
-    for c, k, at in zip(cells, parts, start, strict=False):
-        met = [t for o, m, s in zip(cells, parts, start, strict=False) if min(o.high, c.high) >= least * max(o.low, c.low) - ROOM for t in range(s, s + m)]
-        plan.append((c.cell, at, k, met))
-    plan = F.broadcast(spark.createDataFrame(plan, "cell int, start int, parts int, met array<int>"))  # a row a tile
-    own = F.col("start") + F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
-    dealt = placed.join(plan, "cell").withColumn("own", own).withColumn("other", F.explode("met"))
-    return dealt.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("value"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), *_ROW)
-
-
-def near_links(prints: DataFrame, tau: int = 3, partitions: int | None = 4, tile: int = TILE, least: float = 0.0) -> DataFrame:
+def _compared(spark, small: DataFrame, large: DataFrame, keys: list[str], tile: int, tau: int, least: float) -> DataFrame:
+    """The links inside the buckets; ``large`` ones are dealt out in pairs of tiles."""
+    whole = small.select(*keys, F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), *_ROW)
+    rows = whole.unionByName(_tiled(large.select(*keys, *_ROW), keys, tile))
+    rows = rows.repartition(shuffle_width(spark), "part", "value", "a", "b").sortWithinPartitions("part", "value", "a", "b", "node")
+    return rows.select(*_AT, *_ROW).mapInArrow(_bucket_links(tau, least), "u bigint, v bigint").distinct()
+
+
+def near_links(prints: DataFrame, tau: int = 3, partitions: int = 4, tile: int = TILE, least: float = 0.0) -> DataFrame:
     """``(u, v)``: links at distance ``tau`` or less between rows whose sizes ``n`` are within ``least`` of each other.
 
-    ``prints``: ``(node, fp, n, further)`` without nulls, ``node`` unique; of distinct fingerprints ``fp`` alone will do.
-    Of the bits of ``further`` at most ``FURTHER`` may differ. The sets that the links reach are those of all links;
-    where links are left out, their nodes come as ``(u, u)``. ``partitions``: None for the number that is estimated the cheapest. Buckets of more than ``tile`` rows
-    are split once more by a second pigeonhole over all bits where that helps, and what is still larger is dealt out in
-    pairs of tiles.
+    ``prints``: ``(node, fp, n)`` without nulls, ``node`` unique; of distinct fingerprints ``fp`` alone will do. The sets that
+    the links reach are those of all links; where links are left out, their nodes come as ``(u, u)``. Buckets of more than
+    ``tile`` rows are split once more by a second pigeonhole over all bits where that helps, and what is still larger is
+    dealt out in pairs of tiles.
     """
     spark = prints.sparkSession
     given = {"node": F.col("fp"), "n": F.lit(0), "further": F.lit(0).cast("long")}
-    prints = prints.select(*(F.col(c) if c in prints.columns else given[c].alias(c) for c in _ROW))
+    prints = prints.select(*(F.col(c) if c in prints.columns and c != "further" else given[c].alias(c) for c in ("node", "fp", "n", "further")))
     n, gram = bit_statistics(prints)
-    if partitions is None:
-        groups, thresholds = cheapest(n, gram, tau, BY_SIZE if least else 1.0)
-    else:
-        groups = group_bits(n, gram, partitions)
-        thresholds = allocate(n, gram, groups, tau)
-    if len(groups) == 1:
-        rows = _scanned(prints, n, least, SCAN if tile == TILE else tile)
-    else:
-        kind = "part int, value bigint, node bigint, fp bigint, n int, further bigint"
-        keyed = prints.select("node", "fp", F.col("n").cast("int").alias("n"), "further").mapInArrow(_stored(_probes(groups, thresholds)), kind)
-        counts = keyed.groupBy("part", "value").agg(F.count("*").alias("held")).where("held > 1")
-        sized = durable(keyed.join(counts, ["part", "value"]))
-        small = sized.where(F.col("held") <= tile).select("part", "value", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), *_ROW)
-        large = sized.where(F.col("held") > tile)
-        if tau < 8:
-            # Distance tau over all 64 bits, cut in tau + 1 pieces, leaves one piece equal.
-            pieces = [list(range(k, BITS, tau + 1)) for k in range(tau + 1)]
-            large = large.select("part", "value", *_ROW, F.posexplode(F.expr(f"array({', '.join(map(_extract, pieces))})")).alias("piece", "sub"))
-            large = large.select((F.col("part") * 8 + F.col("piece") + 1_000_000).alias("part"), F.xxhash64("value", "sub").alias("value"), *_ROW)
-        rows = small.unionByName(_tiled(large.select("part", "value", *_ROW), ["part", "value"], tile))
-    rows = rows.repartition(shuffle_width(spark), "part", "value", "a", "b").sortWithinPartitions("part", "value", "a", "b")
-    return rows.select(*_AT, *_ROW).mapInArrow(_bucket_links(tau, least), "u bigint, v bigint").distinct()
+    groups = group_bits(n, gram, partitions)
+    thresholds = allocate(n, gram, groups, tau)
+    kind = "part int, value bigint, node bigint, fp bigint, n int, further bigint"
+    keyed = prints.select("node", "fp", F.col("n").cast("int").alias("n"), "further").mapInArrow(_stored(_probes(groups, thresholds)), kind)
+    counts = keyed.groupBy("part", "value").agg(F.count("*").alias("held")).where("held > 1")
+    sized = durable(keyed.join(counts, ["part", "value"])).withColumn("root", F.col("node"))
+    large = sized.where(F.col("held") > tile)
+    if tau < 8:
+        # Distance tau over all 64 bits, cut in tau + 1 pieces, leaves one piece equal.
+        pieces = [list(range(k, BITS, tau + 1)) for k in range(tau + 1)]
+        large = large.select("part", "value", *_ROW, F.posexplode(F.expr(f"array({', '.join(map(_extract, pieces))})")).alias("piece", "sub"))
+        large = large.select((F.col("part") * 8 + F.col("piece") + 1_000_000).alias("part"), F.xxhash64("value", "sub").alias("value"), *_ROW)
+    return _compared(spark, sized.where(F.col("held") <= tile), large, ["part", "value"], tile, tau, least)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = 3) -> DataFrame:
@@ -384,9 +353,47 @@ def text_class(text: Column) -> Column:
     return F.when(has_word(text), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
 
 
-def _sketched(shingle: int):
-    """``(node, fp, n, further)`` of ``(node, text)``: the fingerprint, the number of distinct shingles, and 64 further bits
-    of a fingerprint over the same shingles hashed anew."""
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles of all texts (one column) fall into each of ``2 ** CELL_BITS`` cells."""
+
+    def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, held, size = np.zeros(1 << CELL_BITS, np.int64), [], 0
+        for whole in rows:
+            for at in range(0, len(whole), 256):
+                for text in whole.column(0).slice(at, 256).to_pylist():
+                    held.append(_cell(_shingles(text, shingle)))
+                    size += len(held[-1])
+                    if size > 1_000_000:
+                        cells += np.bincount(np.concatenate(held), minlength=len(cells))
+                        held, size = [], 0
+        if held:
+            cells += np.bincount(np.concatenate(held), minlength=len(cells))
+        used = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(cells[used])], names=["cell", "n"])
+
+    found = texts.mapInArrow(counted, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # 2 ** CELL_BITS rows at most
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    counts[found.cell.to_numpy()] = found.n.to_numpy()
+    return counts
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The rarest of distinct shingles, so many that sets at Jaccard similarity ``least`` share one of them.
+
+    Such sets share at least ``least`` of the shingles of either, so in any order that is the same for all sets the first
+    that they share is not further back than the others leave room for.
+    """
+    kept = len(hashes) - int(np.ceil(least * len(hashes) - ROOM)) + 1
+    return hashes[np.lexsort((hashes, counts[_cell(hashes)]))[:kept]]
+
+
+def _sketched(shingle: int, counts: np.ndarray, least: float):
+    """``(node, fp, n, further, keys)`` of ``(node, text)``: the fingerprint, the number of distinct shingles, 64 further bits
+    of a fingerprint over the same shingles hashed anew, and the prefix of the shingles."""
 
     def sketched(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
@@ -394,13 +401,20 @@ def _sketched(shingle: int):
                 batch = whole.slice(at, 256)
                 found = [_shingles(t, shingle) for t in batch.column(1).to_pylist()]
                 fps = np.array([_majority(h) for h in found], np.uint64)
-                sizes = np.array([len(np.unique(h)) for h in found], np.int32)
                 further = np.array([_majority(_again(h)) for h in found], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(sizes), pa.array(further.view(np.int64))], names=["node", "fp", "n", "further"])
+                distinct = [np.unique(h) for h in found]
+                sizes = np.array([len(h) for h in distinct], np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(sizes), pa.array(further.view(np.int64)), _lists([prefix(h, counts, least) for h in distinct])], names=["node", "fp", "n", "further", "keys"])
 
     return sketched
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    values = np.concatenate([*arrays, np.empty(0, np.uint64)]).astype(np.uint64).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
 def _sets(shingle: int):
     """``(node, els)`` of ``(node, text)``: the sorted distinct shingle hashes."""
 
@@ -408,10 +422,8 @@ def _sets(shingle: int):
         for whole in rows:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                found = [np.unique(_shingles(t, shingle).view(np.int64)) for t in batch.column(1).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                values = pa.array(np.concatenate([*found, np.empty(0, np.int64)]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["node", "els"])
+                found = [np.unique(_shingles(t, shingle)) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], names=["node", "els"])
 
     return sets
 
@@ -449,7 +461,7 @@ def _between_parts(rows: DataFrame, tau: int, least: float) -> DataFrame:
     A group is dealt out in pairs of tiles, and a task holds the sets of its two tiles: pairs are verified where they are
     found and never become rows. Inside a task pairs that are connected by then are left out.
     """
-    tiles = rows.groupBy("grp").agg(F.ceil(F.count("*") / PARTS).cast("int").alias("tiles"))
+    tiles = rows.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / PARTS), F.ceil(F.sum("n") / HELD)).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("tiles")).cast("int")
     dealt = rows.join(tiles, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("grp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "fp", "n", "further", "root", "els")
@@ -466,10 +478,10 @@ def _between_parts(rows: DataFrame, tau: int, least: float) -> DataFrame:
 
         first, second = (np.flatnonzero(own == k.as_py()) for k in key[1:])
         for at in range(0, len(first), 64):
-            i, j = np.nonzero(np.bitwise_count(fp[first[at : at + 64], None] ^ fp[None, second]) <= tau)
+            some = first[at : at + 64, None]
+            i, j = np.nonzero(np.bitwise_count(fp[some] ^ fp[None, second]) + np.bitwise_count(further[some] ^ further[None, second]) <= tau)
             i, j = first[i + at], second[j]
             keep = (root[i] != root[j]) & (node[i] < node[j] if key[1] == key[2] else True) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - ROOM)
-            keep &= np.bitwise_count(further[i] ^ further[j]) <= FURTHER
             for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
                 r, t = find(int(root[x])), find(int(root[y]))
                 if r != t:
@@ -482,42 +494,76 @@ def _between_parts(rows: DataFrame, tau: int, least: float) -> DataFrame:
     return dealt.groupBy("grp", "a", "b").applyInArrow(links, "u bigint, v bigint")
 
 
-def near_components(docs: DataFrame, text_col: str = "text", shingle: int = 5, tau: int = ALIKE_TAU, least: float = ALIKE, partitions: int | None = None) -> DataFrame:
+def _shared_keys(classes: DataFrame) -> DataFrame:
+    """``(value, node, held, m1, m2)``: keys that several classes have; two hashes tell which these are."""
+    keyed = classes.select(F.explode("keys").alias("value"), "node")
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    return durable(keyed.join(keyed.groupBy("value").agg(F.count("*").cast("int").alias("held"), *marks).where("held > 1"), "value"))
+
+
+def _by_keys(spark, chosen: DataFrame, held: DataFrame, classes: DataFrame, tile: int, far: int, least: float) -> DataFrame:
+    """Candidates ``(u, v)`` of the buckets ``(value, rows_in)`` in ``chosen``, over ``held`` rows ``(value, node, root)``."""
+    rows = held.join(chosen, "value").join(classes.select("node", "fp", "n", "further"), "node").withColumn("part", F.lit(0))
+    return _compared(spark, rows.where(F.col("rows_in") <= tile), rows.where(F.col("rows_in") > tile), ["part", "value"], tile, far, least)
+
+
+def near_components(docs: DataFrame, text_col: str = "text", shingle: int = 5, tau: int | None = TAU, least: float = ALIKE, far: int = FAR, tile: int = TILE) -> DataFrame:
     """``(node, root)``: text classes (``text_class``) linked to others, and the smallest class of their component.
 
-    Two texts are linked if their fingerprints differ in ``tau`` bits or fewer and their distinct ``shingle``-word
-    shingles have a Jaccard similarity of ``least`` or more. Classes that are not listed stand alone. Equal texts are one
-    class, so copies cost one row however many there are. Inside a large group of near copies a forest of its links is
-    verified first; further links are only looked for between the parts that are still apart by then.
+    Two texts are linked if their distinct ``shingle``-word shingles have a Jaccard similarity of ``least`` or more. Classes that
+    are not listed stand alone. Equal texts are one class, so copies cost one row however many there are. The search of
+    fingerprints at ``tau`` differing bits (None: left out) and one bucket a text find most links of large groups as a forest;
+    then the rarest shingles of every text are probed for links between the parts that are still apart. That probing misses
+    no pair; ``far`` bits rule pairs out before their sets are compared (128: none).
     """
+    spark = docs.sparkSession
     texts = plain(docs, text=text_col).where(has_word(F.col("text"))).select(text_class(F.col("text")).alias("node"), "text")
-    prints = texts.mapInArrow(_sketched(shingle), "node bigint, fp bigint, n int, further bigint")
-    classes = durable(prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "further"))))
-    # Of texts with one fingerprint only the first is searched for; the others are held against it.
-    firsts = durable(classes.groupBy("fp").agg(F.min(F.struct("node", "n", "further")).alias("f")).select("f.node", "fp", "f.n", "f.further"))
-    twins = classes.join(firsts.select("fp", F.col("node").alias("u")), "fp").where("node <> u").select("u", F.col("node").alias("v"))
-    found = durable(near_links(firsts, tau, partitions, least=least).unionByName(twins))
-    pairs = found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = texts.join(_small(ends), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = durable(sets.mapInArrow(_sets(shingle), "node bigint, els array<bigint>"))
-    links = durable(_alike(pairs, sets, least))
+    counts = shingle_counts(texts.select("text"), shingle)
+    prints = texts.mapInArrow(_sketched(shingle, counts, least), "node bigint, fp bigint, n int, further bigint, keys array<bigint>")
+    classes = durable(prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "further", "keys"))))
+    shared = _shared_keys(classes)
+    # First one bucket a text, its fullest: most of a dense group meets there.
+    picked = shared.groupBy("node").agg(F.max(F.struct("held", "value")).alias("k")).select("node", F.col("k.value").alias("value"), F.col("node").alias("root"))
+    full = picked.groupBy("value").agg(F.count("*").alias("rows_in")).where("rows_in > 1")
+    found = _by_keys(spark, full, picked, classes, tile, far, least)
+    if tau is not None:
+        found = found.unionByName(near_links(classes.select("node", "fp", "n"), tau, least=least))
+    pairs = durable(found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    links = durable(_alike(pairs, _sets_of(texts, pairs, shingle), least))
     roots = connected_components(links)
-    # Left to look at: nodes with further links, and texts that turned out unlike the first of their fingerprint.
-    again = found.where("u = v").select(F.col("u").alias("node")).unionByName(twins.join(links, ["u", "v"], "left_anti").select(F.explode(F.array("u", "v")).alias("node"))).distinct()
-    if again.isEmpty():
+    # Then every bucket that holds several parts; of buckets with the same texts one.
+    parted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    full = parted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), *(F.first(c).alias(c) for c in ("held", "m1", "m2"))).where("low <> high")
+    full = full.groupBy("held", "m1", "m2").agg(F.min("value").alias("value")).select("value", F.col("held").alias("rows_in"))
+    found = durable(_by_keys(spark, full, parted.select("value", "node", "root"), classes, tile, far, least))
+    if found.isEmpty():
         return roots
-    groups = connected_components(pairs).select("node", F.col("root").alias("grp"))
-    open_ = groups.join(_small(again), "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parted = open_.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("grp")
-    open_ = durable(open_.join(parted, "grp"))
-    more = durable(_between_parts(open_.join(classes, "node").join(sets, "node"), tau, least))
-    return roots if more.isEmpty() else connected_components(links.unionByName(more))
+    pairs = found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    sets = _sets_of(texts, found, shingle)
+    links = durable(links.unionByName(_alike(pairs, sets, least)))
+    again = found.where("u = v").select(F.col("u").alias("node")).distinct()
+    grown = connected_components(links)
+    if again.isEmpty():
+        return grown
+    # Left to look at: texts with further candidates, where the candidates between parts did not join them.
+    groups = connected_components(pairs.unionByName(links)).select("node", F.col("root").alias("grp"))
+    open_ = groups.join(_small(again), "node", "left_semi").join(grown, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = open_.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("grp")
+    open_ = durable(open_.join(apart, "grp"))
+    more = durable(_between_parts(open_.join(classes.drop("keys"), "node").join(sets, "node"), far, least))
+    return grown if more.isEmpty() else connected_components(links.unionByName(more))
+
+
+def _sets_of(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """The shingle sets of the texts in ``pairs``."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = texts.join(_small(ends), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return durable(wanted.mapInArrow(_sets(shingle), "node bigint, els array<bigint>"))
 
 
 def clustered(docs: DataFrame, text_col: str = "text", cluster_col: str = "cluster") -> DataFrame:
     """The rows with the component of each row's text (``near_components``) as a further column, a long."""
-    roots = near_components(docs, text_col)
+    roots = near_components(docs, text_col, tau=None)
     node = text_class(F.col(f"`{text_col}`"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != cluster_col)).alias("row"), node.alias("node"))
     out = rows.join(_small(roots), "node", "left")

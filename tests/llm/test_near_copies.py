@@ -1,11 +1,11 @@
 """Near copies, links of fingerprints that exact likeness confirms, against brute force: few texts and large groups."""
 
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
@@ -23,19 +23,13 @@ def shingles(text):
     return set(windows(text))
 
 
-def fingerprint(text):
-    found = [xxhash.xxh64_intdigest(b" ".join(x), 42) for x in windows(text)]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in found) > len(found))
-
-
-def groups(texts, tau=64):
-    """Sets of indexes of texts that links connect: Jaccard 0.8 or more, and ``tau`` differing bits or fewer."""
+def groups(texts):
+    """Sets of indexes of texts that links of Jaccard similarity 0.8 or more connect."""
     sets, root = [shingles(t) for t in texts], list(range(len(texts)))
-    fps = [fingerprint(t) for t in texts]
     for a in range(len(texts)):
         for b in range(a):
             shared = len(sets[a] & sets[b])
-            if (fps[a] ^ fps[b]).bit_count() <= tau and 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared):
+            if 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared):
                 x, y = root[a], root[b]
                 root = [min(x, y) if r in (x, y) else r for r in root]
     found = {}
@@ -64,25 +58,57 @@ def near_texts(rng):
 @pytest.mark.parametrize("seed", [48, 4])
 def test_stage_against_brute_force(spark, seed):
     texts = near_texts(random.Random(seed))
-    want = groups(texts, simhash.ALIKE_TAU)
+    want = groups(texts)
     assert kept(spark, [(k, t, "en", "s", None) for k, t in enumerate(texts)]) == sorted(((g[0], texts[g[0]]) for g in want), key=repr)
     assert any(1 < len(g) for g in want)
 
 
-@pytest.mark.parametrize("partitions", [1, 4, 7])
-def test_every_plan_finds_the_same_components(spark, monkeypatch, partitions):
-    """All pairs in tiles, and pigeonholes of several widths; links inside large groups are left out at first."""
-    monkeypatch.setattr(simhash, "SCAN", 16)
-    if partitions == 1:
-        monkeypatch.setattr(simhash, "KEY_WORK", 1e9)
-    texts = near_texts(random.Random(7))
+def components(spark, texts, **how):
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    found = {r.node: r.root for r in simhash.near_components(docs, partitions=None if partitions == 1 else partitions).collect()}
+    found = {r.node: r.root for r in simhash.near_components(docs, **how).collect()}
     nodes = [r[0] for r in docs.select(simhash.text_class(F.col("text"))).collect()]
     by_root = {}
     for k, node in enumerate(nodes):
         by_root.setdefault(found.get(node, node), []).append(k)
-    assert sorted(by_root.values()) == groups(texts, simhash.ALIKE_TAU)
+    return sorted(by_root.values())
+
+
+@pytest.mark.parametrize("how", [{"tau": None}, {"far": 128}, {"tile": 16}])
+def test_every_plan_finds_the_same_components(spark, how):
+    """With and without the search of fingerprints and the check of bits, and with buckets in tiles."""
+    texts = near_texts(random.Random(7))
+    assert components(spark, texts, **how) == groups(texts)
+
+
+def test_pairs_just_above_the_limit(spark):
+    """Texts that are the first four fifths of another, and texts with words changed, of several lengths."""
+    rng, texts = random.Random(3), []
+    for k in range(600):
+        length = (8, 30, 60, 200)[k % 4]
+        words = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+        texts.append(" ".join(words))
+        if k % 3:
+            texts.append(" ".join(words[: -(-4 * (length - 4) // 5) + 4]))
+        else:
+            for at in rng.sample(range(length), max(1, length // 50)):
+                words[at] = "x"
+            texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    near = [[k, k + 1] for k in range(0, len(texts), 2) if 5 * len(sets[k] & sets[k + 1]) >= 4 * len(sets[k] | sets[k + 1])]
+    assert len(near) > 350
+    assert [g for g in components(spark, texts, tau=None) if len(g) > 1] == near
+
+
+def test_prefixes_of_alike_sets_meet():
+    rng = np.random.default_rng(8)
+    counts = rng.integers(0, 9, 1 << simhash.CELL_BITS)
+    for _ in range(2000):
+        n = int(rng.integers(1, 40))
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n).astype(np.uint64))
+        x, y = pool[:n], np.sort(np.concatenate([pool[int(rng.integers(0, n)) : n], pool[n : n + int(rng.integers(0, 1 + n // 4))]]))
+        shared = len(np.intersect1d(x, y))
+        if 5 * shared >= 4 * (len(x) + len(y) - shared):
+            assert len(np.intersect1d(simhash.prefix(x, counts, 0.8), simhash.prefix(y, counts, 0.8)))
 
 
 def test_withheld_links_are_found_between_parts(spark, monkeypatch):
@@ -91,7 +117,7 @@ def test_withheld_links_are_found_between_parts(spark, monkeypatch):
     rng = np.random.default_rng(5)
     fps = sorted({int(x) for x in 12345 ^ (1 << rng.integers(0, 60, 400)) ^ (1 << rng.integers(0, 60, 400))})
     rows = spark.createDataFrame([(k, fp, 10) for k, fp in enumerate(fps)], "node long, fp long, n int")
-    links = [tuple(r) for r in simhash.near_links(rows, 6, None, least=0.8).collect()]
+    links = [tuple(r) for r in simhash.near_links(rows, 6, least=0.8).collect()]
     near = {(a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 6}
     assert {(min(x), max(x)) for x in links if x[0] != x[1]} <= near and any(u == v for u, v in links)
     rows = spark.createDataFrame([(0, k, fp, 10, 0, k % 9, list(range(k % 3, k % 3 + 10))) for k, fp in enumerate(fps[:40])], "grp long, node long, fp long, n int, further long, root long, els array<long>")
@@ -110,20 +136,17 @@ def merged(nodes, pairs):
     return sets
 
 
-def test_share_of_the_alike_that_fingerprints_reach():
-    """Nearly all links by exact likeness differ in ``ALIKE_TAU`` bits or fewer."""
-    texts = sorted({r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' WHERE text IS NOT NULL").fetchall()})
-    fps = np.array([simhash.simhash_text(t, 5) for t in texts], np.uint64)
-    sets, hits, alike = {}, 0, 0
-    for a in range(0, len(fps), 256):
-        far = np.bitwise_count(fps[a : a + 256, None] ^ fps[None, :])
-        for i, j in zip(*np.nonzero(far <= 18), strict=True):
-            if i + a < j:
-                x, y = (sets.setdefault(k, shingles(texts[k])) for k in (int(i + a), int(j)))
-                if 5 * len(x & y) >= 4 * len(x | y):
-                    alike += 1
-                    hits += far[i, j] <= simhash.ALIKE_TAU
-    assert alike > 40 and hits >= 0.97 * alike, (hits, alike)
+def test_all_links_of_a_table_are_found(spark):
+    """The components of a whole table are those of exact likeness, found by counting shared shingles."""
+    texts = sorted({r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE regexp_matches(text, '[^ \\n\\t]')").fetchall()})
+    sets, holders, pairs = [shingles(t) for t in texts], {}, []
+    for k, own in enumerate(sets):
+        shared = Counter(j for x in own for j in holders.get(x, ()))
+        pairs += [(j, k) for j, n in shared.items() if 5 * n >= 4 * (len(own) + len(sets[j]) - n)]
+        for x in own:
+            holders.setdefault(x, []).append(k)
+    want = sorted(sorted(s) for s in merged(sorted({x for p in pairs for x in p}), pairs))
+    assert want and [g for g in components(spark, texts) if len(g) > 1] == want
 
 
 def test_stage_links_between_080_and_096(spark):
