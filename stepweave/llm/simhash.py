@@ -37,7 +37,7 @@ FAR = 44
 #: Counters of shingles by which the rare ones are told from the frequent; they order shingles and never change a result.
 CELL_BITS = 18
 #: Pairs of one text that a task verifies, about, and texts of a tile in which parts of a group are held together.
-SHARE, PARTS = 512, 2048
+SHARE, PARTS = 512, 512
 #: Shingles that the sets of a tile hold, about.
 HELD = 4_000_000
 #: Rows of a few longs each that are sent to every task; more are joined by a shuffle.
@@ -455,6 +455,21 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(alike, "u bigint, v bigint")
 
 
+def _shared(mine: np.ndarray, values: np.ndarray, start: np.ndarray, size: np.ndarray, others: np.ndarray) -> tuple[list, list]:
+    """How many members of the sorted set ``mine`` each of the sets ``others`` has, in blocks of sets."""
+    blocks, counts = [], []
+    ends = np.cumsum(size[others])
+    cuts = np.flatnonzero(np.diff(ends // 500_000)) + 1
+    for y in np.split(others, cuts):
+        if len(y):
+            before = np.cumsum(size[y]) - size[y]
+            theirs = values[np.repeat(start[y] - before, size[y]) + np.arange(size[y].sum())]
+            hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            blocks.append(y)
+            counts.append(np.add.reduceat(hit.astype(np.int64), before))
+    return blocks, counts
+
+
 def _between_parts(rows: DataFrame, tau: int, least: float) -> DataFrame:
     """Links ``(u, v)`` that connect roots of one group: rows ``(grp, node, fp, n, further, root, els)``.
 
@@ -469,27 +484,24 @@ def _between_parts(rows: DataFrame, tau: int, least: float) -> DataFrame:
     def links(key, table):
         own, node, n, root = (table.column(c).to_numpy() for c in ("own", "node", "n", "root"))
         fp, further = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "further"))
-        els, up, out = table.column("els").combine_chunks(), {}, []
-
-        def find(x: int) -> int:
-            while up.get(x, x) != x:
-                x = up[x]
-            return x
-
+        els = table.column("els").combine_chunks()
+        values, start, size = els.values.to_numpy().view(np.uint64), els.offsets.to_numpy()[:-1].astype(np.int64), np.diff(els.offsets.to_numpy()).astype(np.int64)
+        part, us, vs = np.unique(root, return_inverse=True)[1], [], []
         first, second = (np.flatnonzero(own == k.as_py()) for k in key[1:])
-        for at in range(0, len(first), 64):
-            some = first[at : at + 64, None]
-            i, j = np.nonzero(np.bitwise_count(fp[some] ^ fp[None, second]) + np.bitwise_count(further[some] ^ further[None, second]) <= tau)
-            i, j = first[i + at], second[j]
-            keep = (root[i] != root[j]) & (node[i] < node[j] if key[1] == key[2] else True) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - ROOM)
-            for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
-                r, t = find(int(root[x])), find(int(root[y]))
-                if r != t:
-                    shared = len(np.intersect1d(*(els[k].values.to_numpy() for k in (x, y)), assume_unique=True))
-                    if shared >= least * (len(els[x]) + len(els[y]) - shared) - ROOM:
-                        up[max(r, t)] = min(r, t)
-                        out.append((x, y))
-        return pa.table({"u": node[[x for x, _ in out]], "v": node[[y for _, y in out]]}) if out else pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        for x in first.tolist():
+            far = np.bitwise_count(fp[x] ^ fp[second]) + np.bitwise_count(further[x] ^ further[second])
+            fits = (far <= tau) & (part[second] != part[x]) & (np.minimum(n[x], n[second]) >= least * np.maximum(n[x], n[second]) - ROOM)
+            if key[1] == key[2]:
+                fits &= node[second] > node[x]
+            mine = values[start[x] : start[x] + size[x]]
+            for y, shared in zip(*_shared(mine, values, start, size, second[fits]), strict=True):
+                alike = y[(shared >= least * (size[x] + size[y] - shared) - ROOM)]
+                for z in alike[np.unique(part[alike], return_index=True)[1]].tolist():  # a link of each part
+                    if part[z] != part[x]:
+                        part[part == part[z]] = part[x]
+                        us.append(x)
+                        vs.append(z)
+        return pa.table({"u": pa.array(node[us], pa.int64()), "v": pa.array(node[vs], pa.int64())}) if us else pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
 
     return dealt.groupBy("grp", "a", "b").applyInArrow(links, "u bigint, v bigint")
 
