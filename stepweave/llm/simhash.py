@@ -43,6 +43,8 @@ HELD = 4_000_000
 #: Rows of a few longs each that are sent to every task; more are joined by a shuffle.
 SMALL = 300_000
 ROOM = 1e-9
+#: An odd factor by which the places of words in a shingle are told apart.
+PLACE = 0xC2B2AE3D27D4EB4F
 
 
 def _shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -56,6 +58,18 @@ def _shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(b" ".join(x), 42) for x in zip(*(parts[i:] for i in range(shingle)), strict=False)], np.uint64)
 
 
+def _combined(text: str | None, shingle: int) -> np.ndarray:
+    """Like ``_shingles``, with hashes of words combined by their places: each word is hashed once."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+    width = min(shingle, len(words))
+    total = np.zeros(len(words) - width + 1 if width else 0, np.uint64)
+    for k in range(width):
+        total = total * np.uint64(PLACE) + words[k : k + len(total)]
+    x = (total ^ (total >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
 def _majority(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
@@ -365,7 +379,7 @@ def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
         for whole in rows:
             for at in range(0, len(whole), 256):
                 for text in whole.column(0).slice(at, 256).to_pylist():
-                    held.append(_cell(_shingles(text, shingle)))
+                    held.append(_cell(_combined(text, shingle)))
                     size += len(held[-1])
                     if size > 1_000_000:
                         cells += np.bincount(np.concatenate(held), minlength=len(cells))
@@ -399,7 +413,7 @@ def _sketched(shingle: int, counts: np.ndarray, least: float):
         for whole in rows:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                found = [_shingles(t, shingle) for t in batch.column(1).to_pylist()]
+                found = [_combined(t, shingle) for t in batch.column(1).to_pylist()]
                 fps = np.array([_majority(h) for h in found], np.uint64)
                 further = np.array([_majority(_again(h)) for h in found], np.uint64)
                 distinct = [np.unique(h) for h in found]
@@ -422,7 +436,7 @@ def _sets(shingle: int):
         for whole in rows:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                found = [np.unique(_shingles(t, shingle)) for t in batch.column(1).to_pylist()]
+                found = [np.unique(_combined(t, shingle)) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], names=["node", "els"])
 
     return sets
