@@ -4,17 +4,18 @@ A 64-bit fingerprint is the bitwise majority over the hashes of word shingles. F
 ``tau`` or less are linked. The search groups correlated bits into partitions, gives each partition its own threshold
 by dynamic programming on estimated candidate counts (thresholds sum to ``tau - partitions + 1``, so no link is lost),
 probes each partition within its threshold and verifies the whole distance. ``near_components`` links texts by the exact
-Jaccard similarity of their shingles: the search finds most of a group, and a prefix filter over rare shingles the rest.
+Jaccard similarity of their shingles: a prefix filter over rare shingles finds groups, in which sets are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,10 @@ ALIKE = 0.8
 FAR = 44
 #: Counters of shingles by which the rare ones are told from the frequent; they order shingles and never change a result.
 CELL_BITS = 18
-#: Pairs of one text that a task verifies, about, and texts of a tile in which parts of a group are held together.
-SHARE, PARTS = 512, 512
+#: The cells are added up in runs of so many.
+RUN = 4096
+#: Texts of a tile whose sets a task holds together.
+PARTS = 512
 #: Shingles that the sets of a tile hold, about.
 HELD = 4_000_000
 #: Rows of a few longs each that are sent to every task; more are joined by a shuffle.
@@ -58,16 +61,69 @@ def _shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(b" ".join(x), 42) for x in zip(*(parts[i:] for i in range(shingle)), strict=False)], np.uint64)
 
 
-def _combined(text: str | None, shingle: int) -> np.ndarray:
-    """Like ``_shingles``, with hashes of words combined by their places: each word is hashed once."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    words = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
-    width = min(shingle, len(words))
-    total = np.zeros(len(words) - width + 1 if width else 0, np.uint64)
-    for k in range(width):
-        total = total * np.uint64(PLACE) + words[k : k + len(total)]
+def _stirred(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mixing of 64 bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _word_hashes(words: pa.LargeStringArray) -> np.ndarray:
+    """64-bit hashes of words of a byte or more: the sum, over a word's bytes, of a random number of the byte times one of its place."""
+    if not len(words):
+        return np.empty(0, np.uint64)
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    letters, size, starts = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], np.diff(ends), ends[:-1] - ends[0]
+    of_byte = _stirred(np.arange(1, 257, dtype=np.uint64) * np.uint64(PLACE))
+    of_place = _stirred(np.arange(257, 257 + size.max(), dtype=np.uint64) * np.uint64(PLACE))
+    total = of_byte[letters] * of_place[np.arange(len(letters)) - np.repeat(starts, size)]
+    return _stirred(np.add.reduceat(total, starts) + size.astype(np.uint64))
+
+
+def _combined(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of several texts one after the other, repeats included, and how many each text has.
+
+    Words are those of ``_shingles``; each is hashed once, and the hashes are combined by their places.
+    """
+    texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())  # a copy: ascii_lower misreads casts of slices
+    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    size, flat = pc.list_value_length(parts).to_numpy().astype(np.int64), pc.list_flatten(parts)
+    bare = pc.equal(pc.binary_length(flat), 0)
+    if pc.any(bare).as_py():  # what a blank text is split into
+        size -= np.bincount(pc.list_parent_indices(parts).filter(bare).to_numpy(), minlength=len(size))
+        flat = flat.filter(pc.invert(bare))
+    words = _word_hashes(flat)
+    begin, n = np.cumsum(size) - size, np.where(size >= shingle, size - shingle + 1, np.minimum(size, 1))
+
+    def placed(words: np.ndarray, width: int) -> np.ndarray:
+        total = np.zeros(len(words) - width + 1, np.uint64)
+        for k in range(width):
+            total = total * np.uint64(PLACE) + words[k : k + len(total)]
+        return total
+
+    at = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+    total = placed(np.concatenate([words, np.zeros(shingle - 1, np.uint64)]), shingle)[at]
+    for k in np.flatnonzero((size > 0) & (size < shingle)).tolist():  # shorter than a shingle
+        total[n[:k].sum()] = placed(words[begin[k] : begin[k] + size[k]], int(size[k]))[0]
     x = (total ^ (total >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(32))
+    return x ^ (x >> np.uint64(32)), n
+
+
+def _majorities(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``_majority`` of each run of ``n`` hashes; zero where there are none."""
+    out, size = np.zeros(len(n), np.uint64), n[n > 0]
+    if len(size):
+        blocks = -(-size // 255)  # a byte counts the hashes of a block that have a bit
+        first = np.cumsum(blocks) - blocks
+        starts = np.repeat(np.cumsum(size) - size, blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(first, blocks))
+        counts = np.empty((len(starts), 8, 8), np.int64)
+        for k in range(8):
+            held = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0101010101010101), starts)
+            counts[:, :, k] = held.astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(counts.reshape(-1, BITS), first) * 2 > size[:, None]
+        out[n > 0] = np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -371,54 +427,64 @@ def _cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
+def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in rows:
+        yield from (whole.slice(at, 256) for at in range(0, len(whole), 256))
+
+
 def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
     """How many shingles of all texts (one column) fall into each of ``2 ** CELL_BITS`` cells."""
 
     def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, held, size = np.zeros(1 << CELL_BITS, np.int64), [], 0
-        for whole in rows:
-            for at in range(0, len(whole), 256):
-                for text in whole.column(0).slice(at, 256).to_pylist():
-                    held.append(_cell(_combined(text, shingle)))
-                    size += len(held[-1])
-                    if size > 1_000_000:
-                        cells += np.bincount(np.concatenate(held), minlength=len(cells))
-                        held, size = [], 0
-        if held:
-            cells += np.bincount(np.concatenate(held), minlength=len(cells))
-        used = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(cells[used])], names=["cell", "n"])
+        cells, any_ = np.zeros(1 << CELL_BITS, np.int64), False
+        for batch in _blocks(rows):
+            cells += np.bincount(_cell(_combined(batch.column(0), shingle)[0]), minlength=len(cells))
+            any_ = True
+        if any_:
+            runs = len(cells) // RUN
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(runs, dtype=np.int32)), _lists(list(cells.reshape(runs, RUN)))], names=["run", "n"])
+
+    def added(key, table):
+        values = table.column("n").combine_chunks().flatten().to_numpy().reshape(-1, RUN).sum(axis=0)
+        return pa.table({"run": pa.array([key[0].as_py()], pa.int32()), "n": _lists([values])})
 
-    found = texts.mapInArrow(counted, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # 2 ** CELL_BITS rows at most
     counts = np.zeros(1 << CELL_BITS, np.int64)
-    counts[found.cell.to_numpy()] = found.n.to_numpy()
+    for run, n in texts.mapInArrow(counted, "run int, n array<bigint>").groupBy("run").applyInArrow(added, "run int, n array<bigint>").collect():  # 2 ** CELL_BITS numbers
+        counts[run * RUN : (run + 1) * RUN] = n
     return counts
 
 
 def prefix(hashes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """The rarest of distinct shingles, so many that sets at Jaccard similarity ``least`` share one of them.
+    """The rarest of sorted distinct shingles, so many that sets at Jaccard similarity ``least`` share one of them.
 
     Such sets share at least ``least`` of the shingles of either, so in any order that is the same for all sets the first
     that they share is not further back than the others leave room for.
     """
     kept = len(hashes) - int(np.ceil(least * len(hashes) - ROOM)) + 1
-    return hashes[np.lexsort((hashes, counts[_cell(hashes)]))[:kept]]
+    return hashes[np.argsort(counts[_cell(hashes)], kind="stable")[:kept]]
+
+
+def _distinct(hashes: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The sorted distinct hashes of each run of ``n``."""
+    ends, out = np.cumsum(n), []
+    for lo, hi in zip((ends - n).tolist(), ends.tolist(), strict=True):
+        x = np.sort(hashes[lo:hi])
+        out.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x)
+    return out
 
 
 def _sketched(shingle: int, counts: np.ndarray, least: float):
     """``(node, fp, n, further, keys)`` of ``(node, text)``: the fingerprint, the number of distinct shingles, 64 further bits
     of a fingerprint over the same shingles hashed anew, and the prefix of the shingles."""
+    rank = np.unique(counts, return_inverse=True)[1].astype(np.int64)
+    rank = (rank * 65535 // max(1, rank.max())).astype(np.uint16)  # short numbers sort faster
 
     def sketched(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in rows:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
-                found = [_combined(t, shingle) for t in batch.column(1).to_pylist()]
-                fps = np.array([_majority(h) for h in found], np.uint64)
-                further = np.array([_majority(_again(h)) for h in found], np.uint64)
-                distinct = [np.unique(h) for h in found]
-                sizes = np.array([len(h) for h in distinct], np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(sizes), pa.array(further.view(np.int64)), _lists([prefix(h, counts, least) for h in distinct])], names=["node", "fp", "n", "further", "keys"])
+        for batch in _blocks(rows):
+            hashes, n = _combined(batch.column(1), shingle)
+            fps, further, distinct = _majorities(hashes, n), _majorities(_again(hashes), n), _distinct(hashes, n)
+            sizes = np.array([len(h) for h in distinct], np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(sizes), pa.array(further.view(np.int64)), _lists([prefix(h, rank, least) for h in distinct])], names=["node", "fp", "n", "further", "keys"])
 
     return sketched
 
@@ -430,14 +496,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sets(shingle: int):
-    """``(node, els)`` of ``(node, text)``: the sorted distinct shingle hashes."""
+    """The sorted distinct shingle hashes (``els``) in place of the last column, the text."""
 
     def sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in rows:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
-                found = [np.unique(_combined(t, shingle)) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], names=["node", "els"])
+        for batch in _blocks(rows):
+            found = _distinct(*_combined(batch.column(batch.num_columns - 1), shingle))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(found)], names=[*batch.schema.names[:-1], "els"])
 
     return sets
 
@@ -447,28 +511,6 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= SMALL else rows
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the distinct pairs ``(u, v)`` at Jaccard similarity ``least`` or more; a frequent text is spread out."""
-    shares = pairs.groupBy("u").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    first = sets.join(_small(shares), sets.node == F.col("u")).select("u", F.col("els").alias("left"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    spread = pairs.join(shares, "u").withColumn("share", F.pmod(F.xxhash64("v"), F.col("shares")).cast("int")).drop("shares")
-    second = spread.join(sets.select(F.col("node").alias("v"), F.col("els").alias("right")), "v")
-    both = second.join(first, ["u", "share"]).select("u", "v", "left", "right")
-
-    def alike(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            left, right = batch.column(2), batch.column(3)
-            keep = []
-            for k in range(len(batch)):
-                x, y = left[k].values.to_numpy(zero_copy_only=False), right[k].values.to_numpy(zero_copy_only=False)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= least * (len(x) + len(y) - shared) - ROOM)
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
-
-    return both.mapInArrow(alike, "u bigint, v bigint")
-
-
 def _shared(mine: np.ndarray, values: np.ndarray, start: np.ndarray, size: np.ndarray, others: np.ndarray) -> tuple[list, list]:
     """How many members of the sorted set ``mine`` each of the sets ``others`` has, in blocks of sets."""
     blocks, counts = [], []
@@ -484,107 +526,174 @@ def _shared(mine: np.ndarray, values: np.ndarray, start: np.ndarray, size: np.nd
     return blocks, counts
 
 
-def _between_parts(rows: DataFrame, tau: int, least: float) -> DataFrame:
+def _runs(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    """Where rows of another key begin in a table sorted by keys, its own beginning left out."""
+    changes = [x[1:] != x[:-1] for x in (table.column(c).to_numpy() for c in keys)]
+    return np.flatnonzero(np.logical_or.reduce(changes)) + 1
+
+
+def _by_runs(work, keys: tuple[str, ...], rows_at_once: int = 1):
+    """``work(table, starts)`` over sorted rows, so that no run of equal keys is cut; ``starts`` holds its beginnings and end."""
+
+    def by_runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, wanted = [], 0, rows_at_once
+        for batch in rows:
+            if len(batch):
+                held.append(batch)
+                size += len(batch)
+            if size >= wanted and held:
+                table = pa.Table.from_batches(held)
+                cuts = _runs(table, keys)
+                if len(cuts):
+                    yield from work(table.slice(0, cuts[-1]), np.concatenate([[0], cuts]))
+                    held = table.slice(cuts[-1]).to_batches()
+                    size, wanted = sum(map(len, held)), rows_at_once
+                else:
+                    wanted = 2 * size  # a run that is longer
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from work(table, np.concatenate([[0], _runs(table, keys), [len(table)]]))
+
+    return by_runs
+
+
+def _pairs(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
+    none = np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x])) for x in (us, vs)], names=["u", "v"])
+
+
+def _between_parts(rows: DataFrame, tau: int, least: float, sizes: DataFrame | None = None) -> DataFrame:
     """Links ``(u, v)`` that connect roots of one group: rows ``(grp, node, fp, n, further, root, els)``.
 
     A group is dealt out in pairs of tiles, and a task holds the sets of its two tiles: pairs are verified where they are
-    found and never become rows. Inside a task pairs that are connected by then are left out.
+    found and never become rows. Inside a task pairs that are connected by then are left out. ``sizes``: the same rows without
+    the sets, if they are at hand.
     """
-    tiles = rows.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / PARTS), F.ceil(F.sum("n") / HELD)).cast("int").alias("tiles"))
+    sizes = rows if sizes is None else sizes
+    tiles = sizes.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / PARTS), F.ceil(F.sum("n") / HELD)).cast("int").alias("tiles")).where("tiles > 1")
+    dealt = rows.join(_small(tiles), "grp", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("tiles")).cast("int")
-    dealt = rows.join(tiles, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("grp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "fp", "n", "further", "root", "els")
 
-    def links(key, table):
-        own, node, n, root = (table.column(c).to_numpy() for c in ("own", "node", "n", "root"))
+    def links(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b, own, node, n, root = (table.column(c).to_numpy() for c in ("a", "b", "own", "node", "n", "root"))
         fp, further = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "further"))
         els = table.column("els").combine_chunks()
-        values, start, size = els.values.to_numpy().view(np.uint64), els.offsets.to_numpy()[:-1].astype(np.int64), np.diff(els.offsets.to_numpy()).astype(np.int64)
-        part, us, vs = np.unique(root, return_inverse=True)[1], [], []
-        first, second = (np.flatnonzero(own == k.as_py()) for k in key[1:])
-        for x in first.tolist():
-            far = np.bitwise_count(fp[x] ^ fp[second]) + np.bitwise_count(further[x] ^ further[second])
-            fits = (far <= tau) & (part[second] != part[x]) & (np.minimum(n[x], n[second]) >= least * np.maximum(n[x], n[second]) - ROOM)
-            if key[1] == key[2]:
-                fits &= node[second] > node[x]
-            mine = values[start[x] : start[x] + size[x]]
-            for y, shared in zip(*_shared(mine, values, start, size, second[fits]), strict=True):
-                alike = y[(shared >= least * (size[x] + size[y] - shared) - ROOM)]
-                for z in alike[np.unique(part[alike], return_index=True)[1]].tolist():  # a link of each part
-                    if part[z] != part[x]:
-                        part[part == part[z]] = part[x]
-                        us.append(x)
-                        vs.append(z)
-        return pa.table({"u": pa.array(node[us], pa.int64()), "v": pa.array(node[vs], pa.int64())}) if us else pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-
-    return dealt.groupBy("grp", "a", "b").applyInArrow(links, "u bigint, v bigint")
-
-
-def _shared_keys(classes: DataFrame) -> DataFrame:
-    """``(value, node, held, m1, m2)``: keys that several classes have; two hashes tell which these are."""
-    keyed = classes.select(F.explode("keys").alias("value"), "node")
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
-    return durable(keyed.join(keyed.groupBy("value").agg(F.count("*").cast("int").alias("held"), *marks).where("held > 1"), "value"))
-
-
-def _by_keys(spark, chosen: DataFrame, held: DataFrame, classes: DataFrame, tile: int, far: int, least: float) -> DataFrame:
-    """Candidates ``(u, v)`` of the buckets ``(value, rows_in)`` in ``chosen``, over ``held`` rows ``(value, node, root)``."""
-    rows = held.join(chosen, "value").join(classes.select("node", "fp", "n", "further"), "node").withColumn("part", F.lit(0))
-    return _compared(spark, rows.where(F.col("rows_in") <= tile), rows.where(F.col("rows_in") > tile), ["part", "value"], tile, far, least)
-
-
-def near_components(docs: DataFrame, text_col: str = "text", shingle: int = 5, tau: int | None = TAU, least: float = ALIKE, far: int = FAR, tile: int = TILE) -> DataFrame:
+        ends = els.offsets.to_numpy().astype(np.int64)
+        values, start, size = els.values.to_numpy().view(np.uint64), ends[:-1], np.diff(ends)
+        us, vs = [], []
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if hi - lo < 2:
+                continue
+            part, alone = np.unique(root[lo:hi], return_inverse=True)[1], a[lo] == b[lo]
+            first, second = lo + np.flatnonzero(own[lo:hi] == a[lo]), lo + np.flatnonzero(own[lo:hi] == b[lo])
+            for x in first.tolist():
+                far = np.bitwise_count(fp[x] ^ fp[second]) + np.bitwise_count(further[x] ^ further[second])
+                fits = (far <= tau) & (part[second - lo] != part[x - lo]) & (np.minimum(n[x], n[second]) >= least * np.maximum(n[x], n[second]) - ROOM)
+                if alone:
+                    fits &= node[second] > node[x]
+                if not fits.any():
+                    continue
+                mine = values[start[x] : start[x] + size[x]]
+                for y, shared in zip(*_shared(mine, values, start, size, second[fits]), strict=True):
+                    alike = y[(shared >= least * (size[x] + size[y] - shared) - ROOM)]
+                    for z in alike[np.unique(part[alike - lo], return_index=True)[1]].tolist():  # a link of each part
+                        if part[z - lo] != part[x - lo]:
+                            part[part == part[z - lo]] = part[x - lo]
+                            us.append(x)
+                            vs.append(z)
+        if us:
+            yield _pairs([node[us]], [node[vs]])
+
+    keys = ("grp", "a", "b")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_by_runs(links, keys), "u bigint, v bigint")
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """``(m1, m2, held, node)``: sets of classes that share a key, each once however many keys they share; two hashes and the
+    number of classes tell which these are. A key and a class move once, and only keys that several classes have go on."""
+
+    def shared(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, size = table.column("node").to_numpy(), np.diff(starts)
+        some = np.repeat(size > 1, size)
+        node, size = node[some], size[size > 1]
+        if len(node):
+            own, first = node.view(np.uint64), np.cumsum(size) - size
+            marks = [np.repeat(np.bitwise_xor.reduceat(x, first), size).view(np.int64) for x in (_again(own), _again(own ^ np.uint64(PLACE)))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, marks), pa.array(np.repeat(size, size).astype(np.int32)), pa.array(node)], names=["m1", "m2", "held", "node"])
+
+    keyed = classes.select(F.explode("keys").alias("value"), "node").repartition("value").sortWithinPartitions("value")
+    return keyed.mapInArrow(_by_runs(shared, ("value",), 50_000), "m1 bigint, m2 bigint, held int, node bigint").distinct()
+
+
+def _forest(tau: int, least: float):
+    """Task side of ``_candidates``, over the rows of buckets: a forest ``(u, v)`` of the pairs that may be alike in each."""
+
+    def near(fp, further, n, x, y):
+        far = np.bitwise_count(fp[x] ^ fp[y]) + np.bitwise_count(further[x] ^ further[y])
+        return (far <= tau) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - ROOM)
+
+    def forest(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, n = (table.column(c).to_numpy() for c in ("node", "n"))
+        fp, further = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "further"))
+        size = np.diff(starts)
+        two = starts[:-1][size == 2]
+        two = two[near(fp, further, n, two, two + 1)]
+        us, vs = [node[two]], [node[two + 1]]
+        for lo, hi in zip(starts[:-1][size > 2].tolist(), starts[1:][size > 2].tolist(), strict=True):
+            # A row that is reached is compared with those that are not: dense buckets are done after a few rows.
+            front, left = np.array([lo]), np.arange(lo + 1, hi)
+            while len(left):
+                if not len(front):
+                    front, left = left[:1], left[1:]
+                    continue
+                some, front = front[:64], front[64:]
+                met = near(fp, further, n, some[:, None], left[None, :])
+                hit = met.any(axis=0)
+                if hit.any():
+                    us.append(node[some[met[:, hit].argmax(axis=0)]])
+                    vs.append(node[left[hit]])
+                    front, left = np.concatenate([front, left[hit]]), left[~hit]
+        yield _pairs(us, vs)
+
+    return forest
+
+
+def _candidates(buckets: DataFrame, classes: DataFrame, tile: int, tau: int, least: float) -> DataFrame:
+    """Pairs ``(u, v)`` that connect what shares a key, differs in up to ``tau`` bits and has sizes within ``least``.
+
+    Buckets of more than ``tile`` rows are dealt out in pairs of tiles.
+    """
+    rows = buckets.withColumn("tiles", F.ceil(F.col("held") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int"))
+    rows = rows.join(classes.select("node", "fp", "n", "further"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("m1", "m2", "held", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "fp", "n", "further")
+    keys = ("m1", "m2", "held", "a", "b")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_by_runs(_forest(tau, least), keys, 50_000), "u bigint, v bigint")
+
+
+def near_components(docs: DataFrame, text_col: str = "text", shingle: int = 5, tau: int | None = None, least: float = ALIKE, far: int = FAR, tile: int = TILE) -> DataFrame:
     """``(node, root)``: text classes (``text_class``) linked to others, and the smallest class of their component.
 
     Two texts are linked if their distinct ``shingle``-word shingles have a Jaccard similarity of ``least`` or more. Classes that
-    are not listed stand alone. Equal texts are one class, so copies cost one row however many there are. The search of
-    fingerprints at ``tau`` differing bits (None: left out) and one bucket a text find most links of large groups as a forest;
-    then the rarest shingles of every text are probed for links between the parts that are still apart. That probing misses
-    no pair; ``far`` bits rule pairs out before their sets are compared (128: none).
+    are not listed stand alone. Equal texts are one class, so copies cost one row however many there are. Every text is stored
+    under its rarest shingles, so many that no pair is missed; pairs that meet there and differ in up to ``far`` bits (128: all)
+    connect texts to groups, of which a forest is enough. Inside a group the shingle sets decide. ``tau``: fingerprints at so
+    many differing bits are put into groups as well, which changes no link.
     """
-    spark = docs.sparkSession
     texts = plain(docs, text=text_col).where(has_word(F.col("text"))).select(text_class(F.col("text")).alias("node"), "text")
     counts = shingle_counts(texts.select("text"), shingle)
     prints = texts.mapInArrow(_sketched(shingle, counts, least), "node bigint, fp bigint, n int, further bigint, keys array<bigint>")
     classes = durable(prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "further", "keys"))))
-    shared = _shared_keys(classes)
-    # First one bucket a text, its fullest: most of a dense group meets there.
-    picked = shared.groupBy("node").agg(F.max(F.struct("held", "value")).alias("k")).select("node", F.col("k.value").alias("value"), F.col("node").alias("root"))
-    full = picked.groupBy("value").agg(F.count("*").alias("rows_in")).where("rows_in > 1")
-    found = _by_keys(spark, full, picked, classes, tile, far, least)
+    found = _candidates(_buckets(classes), classes, tile, far, least)
     if tau is not None:
         found = found.unionByName(near_links(classes.select("node", "fp", "n"), tau, least=least))
-    pairs = durable(found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    links = durable(_alike(pairs, _sets_of(texts, pairs, shingle), least))
-    roots = connected_components(links)
-    # Then every bucket that holds several parts; of buckets with the same texts one.
-    parted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    full = parted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), *(F.first(c).alias(c) for c in ("held", "m1", "m2"))).where("low <> high")
-    full = full.groupBy("held", "m1", "m2").agg(F.min("value").alias("value")).select("value", F.col("held").alias("rows_in"))
-    found = durable(_by_keys(spark, full, parted.select("value", "node", "root"), classes, tile, far, least))
-    if found.isEmpty():
-        return roots
-    pairs = found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    sets = _sets_of(texts, found, shingle)
-    links = durable(links.unionByName(_alike(pairs, sets, least)))
-    again = found.where("u = v").select(F.col("u").alias("node")).distinct()
-    grown = connected_components(links)
-    if again.isEmpty():
-        return grown
-    # Left to look at: texts with further candidates, where the candidates between parts did not join them.
-    groups = connected_components(pairs.unionByName(links)).select("node", F.col("root").alias("grp"))
-    open_ = groups.join(_small(again), "node", "left_semi").join(grown, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = open_.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("grp")
-    open_ = durable(open_.join(apart, "grp"))
-    more = durable(_between_parts(open_.join(classes.drop("keys"), "node").join(sets, "node"), far, least))
-    return grown if more.isEmpty() else connected_components(links.unionByName(more))
-
-
-def _sets_of(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """The shingle sets of the texts in ``pairs``."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = texts.join(_small(ends), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    return durable(wanted.mapInArrow(_sets(shingle), "node bigint, els array<bigint>"))
+    groups = connected_components(found).withColumnRenamed("root", "grp")
+    info = durable(groups.join(classes.select("node", "fp", "n", "further"), "node").select("grp", "node", "fp", "n", "further"))
+    held = texts.join(_small(info), "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("grp", "fp", "n", "further", "text")))
+    sets = held.select("grp", "node", "fp", "n", "further", F.col("node").alias("root"), "text")
+    sets = sets.mapInArrow(_sets(shingle), "grp bigint, node bigint, fp bigint, n int, further bigint, root bigint, els array<bigint>")
+    return connected_components(_between_parts(sets, far, least, info))
 
 
 def clustered(docs: DataFrame, text_col: str = "text", cluster_col: str = "cluster") -> DataFrame:

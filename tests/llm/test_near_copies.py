@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,32 @@ def test_pairs_just_above_the_limit(spark):
     assert [g for g in components(spark, texts, tau=None) if len(g) > 1] == near
 
 
+def test_hashes_of_blocks_tell_shingles_apart():
+    """Slices of a batch, blank texts among them: equal shingles have equal hashes, others don't, and majorities are those of each text."""
+    texts = near_texts(random.Random(2)) + [" \x0b\u00c4  \u00d6a\x0cB \x1c \x85 \u2003 C\r\nd", "\t\x0b", "Z"]
+    batch, of, back = pa.array(texts), {}, {}
+    for at in (0, 37, 74, 111, 148, 185):
+        hashes, n = simhash._combined(batch.slice(at, 37), 5)
+        prints = simhash._majorities(hashes, n)
+        for text, own, fp in zip(texts[at : at + 37], np.split(hashes, np.cumsum(n)[:-1]), prints, strict=True):
+            assert len(own) == len(windows(text)) and simhash._majority(own) == int(fp)
+            for w, x in zip(windows(text), own.tolist(), strict=True):
+                assert of.setdefault(w, x) == x and back.setdefault(x, w) == w
+    assert len(of) > 5000
+
+
+def test_a_dense_bucket_gives_a_forest_and_no_repeats(spark):
+    """Sets of texts that share keys come once, and of a bucket no more pairs than texts are sent on, however alike these are."""
+    rows = [(k, 5, 10, 9, [1, 2, 3, 100 + k]) for k in range(50)] + [(k, 5 << 40, 10, 2**60 - 1, [1, 200 + k]) for k in range(50, 60)]
+    classes = spark.createDataFrame(rows, "node long, fp long, n int, further long, keys array<long>")
+    buckets = simhash._buckets(classes)
+    held = Counter(r.held for r in buckets.collect())
+    assert held == {60: 60, 50: 50}
+    links = [tuple(r) for r in simhash._candidates(buckets, classes, 2048, 6, 0.8).collect()]
+    reach = {frozenset(g) for g in merged(range(60), links)}
+    assert len(links) == 49 + 9 + 49 and reach == {frozenset(range(50)), frozenset(range(50, 60))}
+
+
 def test_prefixes_of_alike_sets_meet():
     rng = np.random.default_rng(8)
     counts = rng.integers(0, 9, 1 << simhash.CELL_BITS)
