@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import n_words, plain
+from stepweave.llm.common import durable, n_words, plain
 
 
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, source_slots: int) -> list[tuple[int, int]]:
@@ -77,7 +77,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     rows = plain(docs, **named)
     th = F.xxhash64(F.coalesce("text", F.lit("")))
     cluster = F.col("cluster").cast("string") if cluster_col else F.concat_ws(":", th, F.xxhash64(F.lit("second"), F.coalesce("text", F.lit(""))))
-    rows = rows.select("id", th.alias("th"), "source", cluster.alias("cluster"), n_words(F.col("text")).alias("words"))
+    rows = durable(rows.select("id", th.alias("th"), "source", cluster.alias("cluster"), n_words(F.col("text")).alias("words")))  # words are counted once
     total = rows.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("words") / capacity)))).first()[0] or 0
     shards = max(1, -(-total // shard_rows))
     pieces = rows.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.ceil(F.col("words") / capacity) - 1).cast("int")))).alias("piece"))
