@@ -32,9 +32,10 @@ KEY_WORK = 400
 TAU = 3
 #: Jaccard similarity of near copies.
 ALIKE = 0.8
-#: Of the 128 bits of both fingerprints so many may differ before the shingle sets are compared at all. Pairs at 0.8 differ in
-#: 20 on average with a deviation of about 4.4, unrelated ones in 64; ``far=128`` of ``near_components`` leaves the check out.
-FAR = 44
+#: Words of 64 bits in the marks of a set of shingles: the parity of how many fall on each bit.
+MARKS = 8
+#: The same for the texts of large groups: few bits tell long texts apart no more.
+LONG_MARKS = 128
 #: Counters of shingles by which the rare ones are told from the frequent; they order shingles and never change a result.
 CELL_BITS = 18
 #: The cells are added up in runs of so many.
@@ -473,18 +474,59 @@ def _distinct(hashes: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _sketched(shingle: int, counts: np.ndarray, least: float):
-    """``(node, fp, n, further, keys)`` of ``(node, text)``: the fingerprint, the number of distinct shingles, 64 further bits
-    of a fingerprint over the same shingles hashed anew, and the prefix of the shingles."""
+def _marks(distinct: list[np.ndarray], words: int = MARKS) -> np.ndarray:
+    """A row of ``words`` words for each set: a bit is the parity of how many of its hashes fall there."""
+    bits = 64 * words
+    hashes, n = np.concatenate([np.empty(0, np.uint64), *distinct]), [len(x) for x in distinct]
+    at = np.repeat(np.arange(len(n)) * bits, n) + (_stirred(hashes) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(n) * bits).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.uint64).reshape(len(n), words)
+
+
+def _may_be_alike(fp, further, marks, n, x, y, tau: int, least: float) -> np.ndarray:
+    """Whether rows ``x`` and ``y`` differ in up to ``tau`` bits of both fingerprints and can be alike by sizes and marks.
+
+    Marks differ in a bit only where an odd number of the shingles that one set alone has fall, and sets at ``least`` or more
+    have at most ``(1 - least) / (1 + least)`` of both sizes of those: what the marks rule out is not alike.
+    """
+    fits = np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - ROOM
+    if tau < 2 * BITS:
+        fits &= np.bitwise_count(fp[x] ^ fp[y]) + np.bitwise_count(further[x] ^ further[y]) <= tau
+    at = np.flatnonzero(fits)
+    xs, ys = (np.broadcast_to(z, fits.shape).ravel()[at] for z in (x, y))
+    most, apart = (1 - least) / (1 + least) * (n[xs].astype(np.int64) + n[ys]) + ROOM, np.zeros(len(at), np.int64)
+    for k in range(0, marks.shape[1], MARKS):
+        apart += np.bitwise_count(marks[xs, k : k + MARKS] ^ marks[ys, k : k + MARKS]).sum(axis=1, dtype=np.int64)
+        left = apart <= most
+        at, xs, ys, most, apart = at[left], xs[left], ys[left], most[left], apart[left]
+    out = np.zeros(fits.size, bool)
+    out[at] = True
+    return out.reshape(fits.shape)
+
+
+def _marked(table: pa.Table) -> np.ndarray:
+    return table.column("marks").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), -1)
+
+
+def _with_marks(rows: DataFrame) -> DataFrame:
+    return rows if "marks" in rows.columns else rows.withColumn("marks", F.array().cast("array<bigint>"))
+
+
+def _sketched(shingle: int, counts: np.ndarray, least: float, prints: bool = True):
+    """``(node, fp, n, further, marks, keys)`` of ``(node, text)``: the fingerprint, the number of distinct shingles, 64 further
+    bits of a fingerprint over the same shingles hashed anew (both zero without ``prints``), the marks and the prefix of the
+    shingles."""
     rank = np.unique(counts, return_inverse=True)[1].astype(np.int64)
     rank = (rank * 65535 // max(1, rank.max())).astype(np.uint16)  # short numbers sort faster
 
     def sketched(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(rows):
             hashes, n = _combined(batch.column(1), shingle)
-            fps, further, distinct = _majorities(hashes, n), _majorities(_again(hashes), n), _distinct(hashes, n)
+            fps, further = (_majorities(hashes, n), _majorities(_again(hashes), n)) if prints else np.zeros((2, len(n)), np.uint64)
+            distinct = _distinct(hashes, n)
             sizes = np.array([len(h) for h in distinct], np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(sizes), pa.array(further.view(np.int64)), _lists([prefix(h, rank, least) for h in distinct])], names=["node", "fp", "n", "further", "keys"])
+            lists = [_lists(list(_marks(distinct))), _lists([prefix(h, rank, least) for h in distinct])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(sizes), pa.array(further.view(np.int64)), *lists], names=["node", "fp", "n", "further", "marks", "keys"])
 
     return sketched
 
@@ -495,13 +537,24 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
+def _long_marks(shingle: int):
+    """The long ``marks`` in place of the last column, the text."""
+
+    def marked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _blocks(rows):
+            found = _distinct(*_combined(batch.column(batch.num_columns - 1), shingle))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(list(_marks(found, LONG_MARKS)))], names=[*batch.schema.names[:-1], "marks"])
+
+    return marked
+
+
 def _sets(shingle: int):
-    """The sorted distinct shingle hashes (``els``) in place of the last column, the text."""
+    """The ``marks`` and the sorted distinct shingle hashes (``els``) in place of the last column, the text."""
 
     def sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(rows):
             found = _distinct(*_combined(batch.column(batch.num_columns - 1), shingle))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(found)], names=[*batch.schema.names[:-1], "els"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(list(_marks(found))), _lists(found)], names=[*batch.schema.names[:-1], "marks", "els"])
 
     return sets
 
@@ -562,23 +615,29 @@ def _pairs(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x])) for x in (us, vs)], names=["u", "v"])
 
 
+def _tiles(sizes: DataFrame) -> DataFrame:
+    """``(grp, tiles)``: groups that are more than one tile."""
+    return sizes.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / PARTS), F.ceil(F.sum("n") / HELD)).cast("int").alias("tiles")).where("tiles > 1")
+
+
 def _between_parts(rows: DataFrame, tau: int, least: float, sizes: DataFrame | None = None) -> DataFrame:
-    """Links ``(u, v)`` that connect roots of one group: rows ``(grp, node, fp, n, further, root, els)``.
+    """Links ``(u, v)`` that connect roots of one group: rows ``(grp, node, fp, n, further, root, els)``, with ``marks`` or without.
 
     A group is dealt out in pairs of tiles, and a task holds the sets of its two tiles: pairs are verified where they are
     found and never become rows. Inside a task pairs that are connected by then are left out. ``sizes``: the same rows without
     the sets, if they are at hand.
     """
     sizes = rows if sizes is None else sizes
-    tiles = sizes.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / PARTS), F.ceil(F.sum("n") / HELD)).cast("int").alias("tiles")).where("tiles > 1")
-    dealt = rows.join(_small(tiles), "grp", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    tiles = _tiles(sizes)
+    dealt = _with_marks(rows).join(_small(tiles), "grp", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("tiles")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("grp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "fp", "n", "further", "root", "els")
+    dealt = dealt.select("grp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "fp", "n", "further", "marks", "root", "els")
 
     def links(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         a, b, own, node, n, root = (table.column(c).to_numpy() for c in ("a", "b", "own", "node", "n", "root"))
         fp, further = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "further"))
+        marks = _marked(table)
         els = table.column("els").combine_chunks()
         ends = els.offsets.to_numpy().astype(np.int64)
         values, start, size = els.values.to_numpy().view(np.uint64), ends[:-1], np.diff(ends)
@@ -589,8 +648,7 @@ def _between_parts(rows: DataFrame, tau: int, least: float, sizes: DataFrame | N
             part, alone = np.unique(root[lo:hi], return_inverse=True)[1], a[lo] == b[lo]
             first, second = lo + np.flatnonzero(own[lo:hi] == a[lo]), lo + np.flatnonzero(own[lo:hi] == b[lo])
             for x in first.tolist():
-                far = np.bitwise_count(fp[x] ^ fp[second]) + np.bitwise_count(further[x] ^ further[second])
-                fits = (far <= tau) & (part[second - lo] != part[x - lo]) & (np.minimum(n[x], n[second]) >= least * np.maximum(n[x], n[second]) - ROOM)
+                fits = (part[second - lo] != part[x - lo]) & _may_be_alike(fp, further, marks, n, x, second, tau, least)
                 if alone:
                     fits &= node[second] > node[x]
                 if not fits.any():
@@ -630,16 +688,13 @@ def _buckets(classes: DataFrame) -> DataFrame:
 def _forest(tau: int, least: float):
     """Task side of ``_candidates``, over the rows of buckets: a forest ``(u, v)`` of the pairs that may be alike in each."""
 
-    def near(fp, further, n, x, y):
-        far = np.bitwise_count(fp[x] ^ fp[y]) + np.bitwise_count(further[x] ^ further[y])
-        return (far <= tau) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - ROOM)
-
     def forest(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         node, n = (table.column(c).to_numpy() for c in ("node", "n"))
         fp, further = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "further"))
-        size = np.diff(starts)
+        near = lambda x, y: _may_be_alike(fp, further, marks, n, x, y, tau, least)
+        marks, size = _marked(table), np.diff(starts)
         two = starts[:-1][size == 2]
-        two = two[near(fp, further, n, two, two + 1)]
+        two = two[near(two, two + 1)]
         us, vs = [node[two]], [node[two + 1]]
         for lo, hi in zip(starts[:-1][size > 2].tolist(), starts[1:][size > 2].tolist(), strict=True):
             # A row that is reached is compared with those that are not: dense buckets are done after a few rows.
@@ -649,7 +704,7 @@ def _forest(tau: int, least: float):
                     front, left = left[:1], left[1:]
                     continue
                 some, front = front[:64], front[64:]
-                met = near(fp, further, n, some[:, None], left[None, :])
+                met = near(some[:, None], left[None, :])
                 hit = met.any(axis=0)
                 if hit.any():
                     us.append(node[some[met[:, hit].argmax(axis=0)]])
@@ -661,38 +716,59 @@ def _forest(tau: int, least: float):
 
 
 def _candidates(buckets: DataFrame, classes: DataFrame, tile: int, tau: int, least: float) -> DataFrame:
-    """Pairs ``(u, v)`` that connect what shares a key, differs in up to ``tau`` bits and has sizes within ``least``.
+    """Pairs ``(u, v)`` that connect what shares a key, differs in up to ``tau`` bits and may be alike by sizes and ``marks``.
 
     Buckets of more than ``tile`` rows are dealt out in pairs of tiles.
     """
     rows = buckets.withColumn("tiles", F.ceil(F.col("held") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int"))
-    rows = rows.join(classes.select("node", "fp", "n", "further"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("m1", "m2", "held", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "fp", "n", "further")
+    rows = rows.join(_with_marks(classes).select("node", "fp", "n", "further", "marks"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("m1", "m2", "held", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "fp", "n", "further", "marks")
     keys = ("m1", "m2", "held", "a", "b")
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_by_runs(_forest(tau, least), keys, 50_000), "u bigint, v bigint")
 
 
-def near_components(docs: DataFrame, text_col: str = "text", shingle: int = 5, tau: int | None = None, least: float = ALIKE, far: int = FAR, tile: int = TILE) -> DataFrame:
+def _split(texts: DataFrame, info: DataFrame, shingle: int, far: int, least: float, tile: int) -> DataFrame:
+    """``info`` (``grp``, ``node``, ``fp``, ``n``, ``further``) with large groups split by long marks; nodes that stand alone then go.
+
+    What connects a large group are mostly long texts with a passage in common. Marks are small against sets, so they are
+    compared in pairs of tiles before the sets are.
+    """
+    large = durable(_tiles(info).select("grp"))
+    if large.isEmpty():
+        return info
+    inside = durable(info.join(_small(large), "grp", "left_semi"))
+    held = texts.join(_small(inside), "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "further", "text")))
+    classes = held.mapInArrow(_long_marks(shingle), "node bigint, fp bigint, n int, further bigint, marks array<bigint>")
+    sized = inside.join(_small(inside.groupBy("grp").agg(F.count("*").cast("int").alias("held"))), "grp")
+    groups = connected_components(_candidates(sized.select(F.col("grp").alias("m1"), F.lit(0).cast("long").alias("m2"), "held", "node"), classes, tile, far, least))
+    parts = groups.withColumnRenamed("root", "grp").join(_small(inside.drop("grp")), "node").select(*info.columns)
+    return durable(info.join(_small(large), "grp", "left_anti").select(*info.columns).unionByName(parts))
+
+
+def near_components(docs: DataFrame, text_col: str = "text", shingle: int = 5, tau: int | None = None, least: float = ALIKE, far: int = 2 * BITS, tile: int = TILE) -> DataFrame:
     """``(node, root)``: text classes (``text_class``) linked to others, and the smallest class of their component.
 
     Two texts are linked if their distinct ``shingle``-word shingles have a Jaccard similarity of ``least`` or more. Classes that
     are not listed stand alone. Equal texts are one class, so copies cost one row however many there are. Every text is stored
-    under its rarest shingles, so many that no pair is missed; pairs that meet there and differ in up to ``far`` bits (128: all)
-    connect texts to groups, of which a forest is enough. Inside a group the shingle sets decide. ``tau``: fingerprints at so
-    many differing bits are put into groups as well, which changes no link.
+    under its rarest shingles, so many that no pair is missed; pairs that meet there and can be alike by sizes and marks connect
+    texts to groups, of which a forest is enough. Large groups are split by longer marks. Inside a group the shingle sets decide. ``far``: pairs that differ in more
+    bits of 128 of their fingerprints are left out, none by default. ``tau``: fingerprints at so many differing bits are put
+    into groups as well, which changes no link.
     """
     texts = plain(docs, text=text_col).where(has_word(F.col("text"))).select(text_class(F.col("text")).alias("node"), "text")
     counts = shingle_counts(texts.select("text"), shingle)
-    prints = texts.mapInArrow(_sketched(shingle, counts, least), "node bigint, fp bigint, n int, further bigint, keys array<bigint>")
-    classes = durable(prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "further", "keys"))))
+    sketched = _sketched(shingle, counts, least, tau is not None or far < 2 * BITS)
+    prints = texts.mapInArrow(sketched, "node bigint, fp bigint, n int, further bigint, marks array<bigint>, keys array<bigint>")
+    classes = durable(prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "further", "marks", "keys"))))
     found = _candidates(_buckets(classes), classes, tile, far, least)
     if tau is not None:
         found = found.unionByName(near_links(classes.select("node", "fp", "n"), tau, least=least))
     groups = connected_components(found).withColumnRenamed("root", "grp")
     info = durable(groups.join(classes.select("node", "fp", "n", "further"), "node").select("grp", "node", "fp", "n", "further"))
+    info = _split(texts, info, shingle, far, least, tile)
     held = texts.join(_small(info), "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("grp", "fp", "n", "further", "text")))
     sets = held.select("grp", "node", "fp", "n", "further", F.col("node").alias("root"), "text")
-    sets = sets.mapInArrow(_sets(shingle), "grp bigint, node bigint, fp bigint, n int, further bigint, root bigint, els array<bigint>")
+    sets = sets.mapInArrow(_sets(shingle), "grp bigint, node bigint, fp bigint, n int, further bigint, root bigint, marks array<bigint>, els array<bigint>")
     return connected_components(_between_parts(sets, far, least, info))
 
 

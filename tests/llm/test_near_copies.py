@@ -201,3 +201,45 @@ def test_rows_of_one_id_and_of_none(spark):
     rows += [(None, "no id but copies all the same here", "en", "s", 1)] * 3 + [(None, "a copy of what has an id", "en", "s", 1), (7, "a copy of what has an id", "en", "s", 1)]
     want = sorted({r[:2] for r in rows if r[:2] != (None, "a copy of what has an id")}, key=repr)
     assert kept(spark, rows) == want
+
+
+def test_alike_texts_whose_fingerprints_differ_widely(spark):
+    """Four of five shingles, Jaccard 0.8, and 46 of 128 bits of the fingerprints apart."""
+    words = "w948765 w837932 w402184 w837373 w840204 w29602 w94103 w150570 w686027".split()
+    texts = [" ".join(words), " ".join(words[:8]), " ".join(words[:7])]
+    assert groups(texts) == [[0, 1], [2]] and components(spark, texts) == [[0, 1], [2]]
+
+
+def test_large_groups_are_split_and_lose_no_link(spark, monkeypatch):
+    """Long texts with passages in common are one group by their rare shingles, and by longer marks none."""
+    monkeypatch.setattr(simhash, "PARTS", 7)
+    texts, before, after = near_texts(random.Random(9)), [], []
+    common = [f"c{k}" for k in range(400)]
+    texts += [" ".join([f"u{k}_{i}" for i in range(1600)] + common) for k in range(12)]
+    split = simhash._split
+    sizes = lambda info: sorted(r["count"] for r in info.groupBy("grp").count().collect())
+
+    def shown(texts, info, *args):
+        out = split(texts, info, *args)
+        before.extend(sizes(info))
+        after.extend(sizes(out))
+        return out
+
+    monkeypatch.setattr(simhash, "_split", shown)
+    assert components(spark, texts) == groups(texts)
+    assert max(before) > 7 and after
+
+
+def test_marks_rule_out_no_alike_sets():
+    """Sets at the limit and above are never ruled out, of whatever size; most others are."""
+    rng, ruled = np.random.default_rng(6), []
+    for n in [*range(1, 60), 300, 2000]:
+        pool = np.unique(rng.integers(0, 1 << 63, 4 * n).astype(np.uint64))
+        for shared in (n, n - n // 10, n - n // 9, n // 2, 0):
+            x, y = pool[:n], np.sort(np.concatenate([pool[:shared], pool[n : 2 * n - shared]]))
+            alike = 5 * shared >= 4 * (n + len(y) - shared)
+            for words in (simhash.MARKS, simhash.LONG_MARKS):
+                held = simhash._may_be_alike(None, None, simhash._marks([x, y], words), np.array([n, len(y)]), np.array([0]), np.array([1]), 128, 0.8)[0]
+                assert held or not alike
+                ruled += [not held] if not alike else []
+    assert sum(ruled) > 0.7 * len(ruled)
