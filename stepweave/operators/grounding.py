@@ -20,6 +20,8 @@ STOPWORDS = (
 DECIDING = r"(?is)\b(?:WHERE|HAVING|ON|AND|WHEN)\b(.{0,240})"
 NO_FILTER = r"(?i)\b(?:without|no|not)\b[^.\n]{0,60}?\bfilter"
 DICTIONARY_LINES = 30
+#: What is between words, and the characters of a name by which it is looked up in the words of fragments.
+NO_WORD, RUN = r"[^\p{L}\p{N}_]+", 6
 
 _FOUND = "array<struct<kind:string,value:string>>"
 
@@ -92,18 +94,42 @@ def scope_violations(texts: DataFrame) -> DataFrame:
     return rows.where(F.rlike("line", F.lit(NO_FILTER))).select("owner", (F.col("pos") + 1).alias("line_no"), "line")
 
 
+def _names_within(steps: DataFrame, names: DataFrame) -> DataFrame:
+    """``(step_id, low)``: which lower-case ``names`` (``low``, distinct) may stand in a step's fragment, each once.
+
+    A text that holds a name has a word that holds the name's longest word; a word that holds another has its rarest run of
+    ``RUN`` characters. Words of both sides meet by that run, once however many texts have them. A name of one word surely
+    stands there; names of several, or of none, still have to be looked for.
+    """
+    words = lambda c: F.filter(F.split(c, NO_WORD), lambda w: w != "")
+    longest = F.array_max(F.transform(words(F.col("low")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n)))
+    names = names.withColumn("key", F.coalesce(longest, F.lit("")))
+    keys = names.select("key").distinct().withColumn("size", F.least(F.length("key"), F.lit(RUN)))
+    each = keys.withColumn("run", F.explode(runs(F.col("key"), F.col("size"))))
+    often = each.groupBy("run").agg(F.count("*").alias("often"))
+    rarest = each.join(often, "run").groupBy("key").agg(F.min(F.struct("often", "run"))["run"].alias("run"))
+    held = steps.select("step_id", F.explode(F.array_distinct(F.concat(words(F.col("_low")), F.array(F.lit(""))))).alias("word"))
+    parts = held.select("word").distinct().join(F.broadcast(keys.select("size").distinct()), (F.length("word") >= F.col("size")) & ((F.col("size") == 0) == (F.col("word") == "")))
+    met = parts.select("word", F.explode(runs(F.col("word"), F.col("size"))).alias("run")).join(rarest, "run").where(F.contains("word", "key")).select("word", "key").distinct()
+    return held.join(met.join(names, "key").select("word", "low"), "word").select("step_id", "low").distinct()
+
+
 def dictionary_lines(steps: DataFrame, reads: DataFrame, columns: DataFrame, described: DataFrame, most: int = DICTIONARY_LINES) -> DataFrame:
     """``(step_id, lines)``: what the dictionary says of the tables a step reads, and of those columns that it names.
 
     ``steps`` is ``(step_id, fragment)``, ``reads`` ``(step_id, table_id)``, ``columns`` ``(table_id, column_id)``,
     ``described`` ``(node_id, name, description)``. Tables go by id, each followed by its columns by id; what has no
-    description has no line. ``most`` lines of a step at the most; steps without any are left out.
+    description has no line. ``most`` lines of a step at the most; steps without any are left out. Names are found in the
+    fragments first, so that a step meets those columns alone which it names.
     """
     told = described.where(F.trim(F.coalesce("description", F.lit(""))) != "").select("node_id", "name", F.trim("description").alias("said"))
     own = reads.select("step_id", "table_id").distinct()
     tables = own.join(told, own.table_id == told.node_id).select("step_id", "table_id", F.lit("").alias("column_id"), F.concat(F.lit("- "), "name", F.lit(": "), "said").alias("line"))
-    known = columns.select("table_id", "column_id").distinct().join(told, F.col("column_id") == F.col("node_id")).select("table_id", "column_id", "name", "said")
-    named = own.join(known, "table_id").join(steps.select("step_id", F.lower("fragment").alias("_low")), "step_id").where(F.contains("_low", F.lower("name")))
+    known = columns.select("table_id", "column_id").distinct().join(told, F.col("column_id") == F.col("node_id")).select("table_id", "column_id", "name", "said", F.lower("name").alias("low"))
+    low = steps.select("step_id", F.lower("fragment").alias("_low"))
+    within = _names_within(low, known.select("low").distinct()).join(low, "step_id").where(F.contains("_low", "low")).select("step_id", "low")
+    named = own.join(within, "step_id").join(known, ["table_id", "low"])
     lines = tables.unionByName(named.select("step_id", "table_id", "column_id", F.concat(F.lit("  - "), "name", F.lit(": "), "said").alias("line")))
     order = Window.partitionBy("step_id").orderBy("table_id", "column_id", "line")
     lines = lines.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)

@@ -190,3 +190,42 @@ def test_line_differences_against_difflib(spark):
             lines = list(difflib.unified_diff((r.a or "").splitlines(), (r.b or "").splitlines(), *names, lineterm="", n=1))[0 if named else 2 :]
             assert r.diff.splitlines()[:most] == lines[:most] and len(r.diff.splitlines()) == min(len(lines), most + 1)
             assert len(lines) <= most or r.diff.endswith(f"... ({len(lines) - most} more diff lines)")
+
+
+def most_rows(df):
+    """The most rows that a join of the plan gave, once the rows are collected."""
+
+    def seen(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return seen(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return seen(node.plan())
+        rows = [seen(node.children().apply(i)) for i in range(node.children().size())]
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            rows.append(node.metrics().apply("numOutputRows").value())
+        return max(rows, default=0)
+
+    return seen(df._jdf.queryExecution().executedPlan())
+
+
+def test_a_step_meets_the_columns_it_names_alone(spark):
+    steps = spark.range(300).selectExpr("concat('s', id) AS step_id", "concat('SELECT Col', id, 'x FROM t') AS fragment", "concat('t', id % 2) AS table_id")
+    reads, columns = steps.select("step_id", "table_id"), spark.range(300).selectExpr("concat('t', id % 2) AS table_id", "concat('c', id) AS column_id")
+    told = spark.range(300).selectExpr("concat('c', id) AS node_id", "concat('cOl', id, 'X') AS name", "'said' AS description")
+    out = grounding.dictionary_lines(steps, reads, columns, told)
+    assert {r.step_id: r.lines for r in out.collect()} == {f"s{k}": [f"  - cOl{k}X: said"] for k in range(300)}
+    assert most_rows(out) < 3000  # of 45000 pairs of a step and a column of its table
+
+
+def test_names_anywhere_in_a_fragment(spark):
+    """Names inside words, of several words, of none, empty and null ones, against a loop."""
+    texts = ["select PAT_ID, b from t1", "x", "", "  ", "order id = 'ÄÖ-straße'", "a.b$$c [order  id]", None, "patient_id_number"]
+    names = ["id", "pat_id", "ID_NUM", "order id", "$$", "", "b", "äö", "STRASSE", "straße", "d_nu", "no such", None, "r i", ".", "patient_id_numbers"]
+    steps = spark.createDataFrame([(f"s{k}", t) for k, t in enumerate(texts)], "step_id string, fragment string")
+    reads = steps.selectExpr("step_id", "'t' AS table_id")
+    columns = spark.createDataFrame([("t", f"c{k}") for k in range(len(names))], "table_id string, column_id string")
+    told = spark.createDataFrame([(f"c{k}", n, f"n{k}") for k, n in enumerate(names)], "node_id string, name string, description string")
+    got = {r.step_id: sorted(x.rsplit(": ", 1)[1] for x in r.lines) for r in grounding.dictionary_lines(steps, reads, columns, told).collect()}
+    held = {f"s{k}": sorted(f"n{j}" for j, n in enumerate(names) if t is not None and n is not None and n.lower() in t.lower()) for k, t in enumerate(texts)}
+    assert got == {k: v for k, v in held.items() if v}
