@@ -48,6 +48,25 @@ def resolve(refs: DataFrame, targets: DataFrame, group: str, name: str) -> DataF
     return out.select(*(F.col(c) for c in refs.columns), target.alias("target"), how.alias("how"))
 
 
+def candidates(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """``(a, b)``: pairs of steps of ``(a, t_a)`` and ``(b, t_b)``, with distinct tables, that can overlap by ``least`` or more.
+
+    Tables go by how few steps read them. What a pair shares lies in both first parts, or past the end of the one that ends
+    first, so that the rest of one of them bounds it. A null among the tables counts like any other.
+    """
+    flat = [x.select(s, F.size(f"t_{s}").alias("n"), F.explode(f"t_{s}").alias("table")) for x, s in ((a, "a"), (b, "b"))]
+    often = flat[0].select("table").unionByName(flat[1].select("table")).groupBy(F.col("table").alias("_t")).agg(F.count("*").alias("often"))
+
+    def rare(rows: DataFrame, s: str) -> DataFrame:
+        ranked = rows.join(often, F.col("table").eqNullSafe(F.col("_t"))).withColumn("_r", F.row_number().over(Window.partitionBy(s).orderBy("often", "table")))
+        rest = (F.ceil(F.col("n") * least - 1e-9) - 1).cast("int")
+        return ranked.where(F.col("_r") <= F.col("n") - rest).select(s, F.col("table").alias(f"table_{s}"), F.col("n").alias(f"n_{s}"), rest.alias(f"rest_{s}"))
+
+    near = F.col("table_a").eqNullSafe(F.col("table_b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
+    met = rare(flat[0], "a").join(rare(flat[1], "b"), near).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("k"), F.max(F.greatest("rest_a", "rest_b")).alias("rest"))
+    return met.where((F.col("k") + F.col("rest")) * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-9).select("a", "b")
+
+
 def align_steps(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
     """``(a, b, matched_by)``: steps of two decompositions aligned one to one; null where a step has no partner.
 
@@ -55,8 +74,9 @@ def align_steps(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
     then, among those left, by content, then by the overlap of their tables (Jaccard, ``least`` or more), best first,
     ties by step. Equal names and contents pair in order of step. Two sets at ``least`` or more share one of the rarest
     tables of each (all but ``least`` of them, rounded up, and one more), so steps are joined on those and tables that
-    nearly all read make no pairs; candidates are measured whole. Best first is reached by rounds that take all pairs
-    that are the best of both their steps.
+    nearly all read make no pairs. How many of those a pair shares bounds its overlap, for past the end of the shorter one's
+    nothing but the rest can be shared: only pairs that can still reach ``least`` are measured whole. Best first is
+    reached by rounds that take all pairs that are the best of both their steps.
     """
     matched = None
     left, right = a.select("step", "name", "content", "tables"), b.select("step", "name", "content", "tables")
@@ -67,14 +87,7 @@ def align_steps(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
         matched = pairs if matched is None else matched.unionByName(pairs)
         left, right = (x.join(pairs.select(F.col(s).alias("step")), "step", "left_anti") for x, s in ((left, "a"), (right, "b")))
     sets = [x.select(F.col("step").alias(s), F.array_distinct("tables").alias(f"t_{s}")).where(F.size(f"t_{s}") > 0) for x, s in ((left, "a"), (right, "b"))]
-    flat = [x.select(s, F.size(f"t_{s}").alias("n"), F.explode(f"t_{s}").alias("table")) for x, s in zip(sets, "ab", strict=True)]
-    often = flat[0].select("table").unionByName(flat[1].select("table")).groupBy("table").agg(F.count("*").alias("often"))
-
-    def rare(rows: DataFrame, s: str) -> DataFrame:
-        ranked = rows.join(often, "table").withColumn("_r", F.row_number().over(Window.partitionBy(s).orderBy("often", "table")))
-        return ranked.where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(s, "table")
-
-    pairs = rare(flat[0], "a").join(rare(flat[1], "b"), "table").select("a", "b").distinct().join(sets[0], "a").join(sets[1], "b")
+    pairs = candidates(sets[0], sets[1], least).join(sets[0], "a").join(sets[1], "b")
     n = F.size(F.array_intersect("t_a", "t_b"))
     score = n / (F.size("t_a") + F.size("t_b") - n)
     open_pairs = settled(pairs.withColumn("score", score).where(F.col("score") >= least).select("a", "b", "score"))

@@ -96,3 +96,22 @@ def test_medians_and_fuzzy_names_against_loops(spark):
         if best:
             want[k] = (min(best)[1], round(-min(best)[0], 9))
     assert out == want and want
+
+
+def test_alignment_measures_only_what_can_overlap(spark):
+    """Sets that share a rare table by chance are no candidates, and no pair at the limit is lost, nulls included."""
+    rng = random.Random(11)
+    a = {k: rng.sample(range(400), rng.choice([1, 2, 30, 60])) for k in range(80)} | {80: [None], 81: [None, 5], 82: [None, *range(20)]}
+    b = {k: rng.sample(x, -(-2 * len(x) // 3)) + [1000 + k, *range(2000, 2000 + len(x) // 3)] for k, x in a.items()} | {90: [None], 91: [None, 5]}
+    frames = [spark.createDataFrame(list(x.items()), f"{s} long, t_{s} array<int>") for x, s in ((a, "a"), (b, "b"))]
+    alike = lambda x, y: 2 * len(x & y) >= len(x | y)
+    want = {(i, j) for i, x in a.items() for j, y in b.items() if alike(set(x), set(y))}
+    got = [tuple(r) for r in compare.candidates(*frames, 0.5).collect()]
+    shared = sum(bool(set(x) & set(y)) for x in a.values() for y in b.values())
+    assert len(got) == len(set(got)) and want <= set(got)
+    assert len(want) > 30 and 3 * len(got) < shared
+
+
+def test_steps_that_read_an_unnamed_table(spark):
+    side = spark.createDataFrame([(1, None, None, [None]), (2, None, None, [None, "x"])], "step long, name string, content string, tables array<string>")
+    assert {tuple(r) for r in compare.align_steps(side, side).collect()} == {(1, 1, "tables"), (2, 2, "tables")}
